@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate a value once and hand it to `fn`; lambdas would redo it per element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
@@ -23,8 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    size = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
-    return F.transform(a, lambda x: x.cast("double") / size)
+    def scale(v: Column) -> Column:
+        size = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
+        return let(size, lambda s: F.transform(v, lambda x: x.cast("double") / s))
+    return let(a, scale)
 
 
 def unit_project(a: Column, dim: int) -> Column:
@@ -36,16 +43,17 @@ def unit_project(a: Column, dim: int) -> Column:
 
 def hash_embed(text: Column, dim: int) -> Column:
     """Deterministic text vector from counter-mode sha256 blocks, 32 values each."""
-    seed = F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256)
+    return let(F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256), lambda seed: _from_seed(seed, dim))
+
+
+def _from_seed(seed: Column, dim: int) -> Column:
     blocks = []
     for i in range(math.ceil(dim / 32)):
         counter = i.to_bytes(4, "little").hex()
         blocks.append(F.sha2(F.unhex(F.concat(seed, F.lit(counter))), 256))
-    digits = F.concat(*blocks)
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0)
-    return normalise(values)
+    value = lambda d, i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0
+    return normalise(let(F.concat(*blocks), lambda d: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: value(d, i))))
 
 
 def emo_project(scalars: list[Column], dim: int) -> Column:

@@ -176,11 +176,12 @@ def response_reject(t):
 @query("event_out", with_ctes("""
     select e.event_id, epoch_us(e.create_time) as at_us, md5(content_raw) as content_md5, length(s1)::int as l1_chars,
       e.is_abstract, e.is_abstracted, e.status, 0 as abstraction_level,
-      round(a,4) as activation_energy, round(a,4) as affective_energy
+      round(a*0.9999::double,4) as activation_energy, round(a*0.9999::double,4) as affective_energy
     from event_text e join (select event_id, least(max(arousal),1.0) as a from event_role group by event_id) r using (event_id)""",
     "event_text", "event_role"))
 def event_out(t):
     full = t.event_text.join(tl.event_affect(t.event, t.event_role), "event_id").withColumn(
+        "affective_energy", F.col("affective_energy") * 0.9999).withColumn(
         "activation_energy", F.col("affective_energy")).withColumn("abstraction_level", F.lit(0))
     return lake.event_out(full).select(
         "event_id", us("create_time", "at_us"), F.md5("content_raw").alias("content_md5"),

@@ -86,10 +86,10 @@ def event_weight(t):
 
 @query("w_eff", with_ctes("""
     select event_id, round(greatest(w_i*(1-least(greatest(asf,0),0.999999)),1e-6),6) as w_eff
-    from weight join (select event_id, (n%130)/100.0-0.1 as asf from event) using (event_id)""",
+    from weight join (select event_id, (n%130)/97::double-0.1::double as asf from event) using (event_id)""",
     "event", "event_role", "timeline", "clock", weight=_WEIGHT))
 def w_eff(t):
-    asf = t.event.select("event_id", ((F.col("n") % 130) / 100.0 - 0.1).alias("asf"))
+    asf = t.event.select("event_id", ((F.col("n") % 130) / 97.0 - 0.1).alias("asf"))
     return tl.event_weight(t.event_role, t.timeline, t.as_of).join(asf, "event_id").select(
         "event_id", r6(scoring.w_eff(F.col("w_i"), F.col("asf")), "w_eff"))
 
