@@ -130,7 +130,7 @@ def abstract_build(members: DataFrame, nodes: DataFrame, evidence: DataFrame) ->
     size = (F.length("content_raw") + 1).cast("long")
     placed = running_total(with_time_slot(evidence, "create_time"), ["subset_id"], order, size, "upto")
     lead = (
-        placed.join(stats.select("subset_id", "target_len"), "subset_id").filter(F.col("upto") - size < F.col("target_len"))
+        placed.join(stats.select("subset_id", "target_len"), "subset_id").filter(F.col("upto") - size <= F.col("target_len"))
         .groupBy("subset_id", "target_len").agg(F.array_sort(F.collect_list(F.struct("upto", "event_id", "content_raw"))).alias("t"))
         .select("subset_id", F.expr("left(array_join(transform(t, s -> s.content_raw), '\n'), target_len)").alias("content_raw")))
     return level.join(stats, "subset_id").join(lead, "subset_id", "left").withColumn("is_abstract", F.lit(True))
