@@ -168,7 +168,7 @@ def open_shadow(turns: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     placed = running_total(with_time_slot(turns.select("conv_id", "turn", "ts", "text"), "ts"), ["conv_id"], newest,
                            length, "to_end", descending=True)
     total = turns.groupBy("conv_id").agg((F.sum(F.length("text") + 1) - 1).alias("shadow_chars"))
-    keep = placed.filter(F.col("to_end") - length < cfg.safe_watermark)
+    keep = placed.filter(F.col("to_end") - length <= cfg.safe_watermark)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "turn", "text"))), lambda s: s["text"]), "\n")
     tail = keep.groupBy("conv_id").agg(F.right(joined, F.lit(cfg.safe_watermark)).alias("shadow"))
     return total.join(tail, "conv_id")

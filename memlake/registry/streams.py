@@ -1 +1,102 @@
-"""Named queries."""
+"""Streaming jobs run to the end of the given tables."""
+
+from pyspark.sql import functions as F
+
+from memlake.functions import affect
+from memlake.mappings import Tables, with_ctes
+from memlake.registry.core import query, r6
+from memlake.streaming import jobs, state
+
+
+def live(t: Tables, *tables: str) -> Tables:
+    """The same mappings over streams of the given tables."""
+    class Live(Tables):
+        def raw(self, name):
+            return jobs.table_stream(t.spark, t.path, name) if name in tables else t.raw(name)
+    return Live(t.spark, t.path, t.cfg)
+
+
+@query("stream_windows", with_ctes("""
+    select epoch_us(time_bucket(interval 1 hour, ts)) as start_us, event_type, count(*) as n from events group by all"""))
+def stream_windows(t):
+    src = jobs.table_stream(t.spark, t.path, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = jobs.drain(jobs.window_counts(src, "ts", "event_type", "1 hour"), jobs.scratch(t.spark, "windows"), "update")
+    return jobs.latest(rows, ["window_start", "event_type"]).select(F.unix_micros("window_start").alias("start_us"), "event_type", "n")
+
+
+@query("stream_dedupe", "select event_id, value from events")
+def stream_dedupe(t):
+    src = jobs.table_stream(t.spark, t.path, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    again = jobs.table_stream(t.spark, t.path, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = jobs.drain(jobs.dedupe(src.union(again), "event_id", "ts"), jobs.scratch(t.spark, "dedupe"))
+    return rows.select("event_id", "value")
+
+
+_SESS = """select *, sum(new) over (partition by conv_id order by ts, turn rows unbounded preceding)::bigint as session_no from (
+  select *, case when coalesce(epoch_us(ts)-epoch_us(lag(ts) over (partition by conv_id order by ts, turn))>1800000000, true) then 1 else 0 end as new from turns)"""
+_SEALED = """select conv_id, session_no, count(*) as turns, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us,
+    string_agg(text, chr(10) order by ts, turn) as content from sess s
+  where session_no < (select max(session_no) from sess m where m.conv_id=s.conv_id) group by conv_id, session_no"""
+
+
+@query("stream_unclosed", with_ctes("select conv_id, session_no, turns, start_us, end_us, md5(content) as content_md5, 'gap' as closed_by from sealed",
+                                    "turns", sess=_SESS, sealed=_SEALED))
+def stream_unclosed(t):
+    turns = live(t, "conversations").turn.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", jobs.WATERMARK)
+    rows = jobs.drain(state.unclosed_fragments(turns, 30), jobs.scratch(t.spark, "unclosed"))
+    # rows sealed by the 24-hour timer depend on where the stream stops, so they are left to the tests
+    return rows.filter("closed_by = 'gap'").select("conv_id", "session_no", "turns", "start_us", "end_us", F.md5("content").alias("content_md5"), "closed_by")
+
+
+@query("stream_ingest", with_ctes("""
+    select conv_id, session_no, turns, least(length(content),2000)::int as event_length, 1 as log_rows from sealed""", "turns", sess=_SESS, sealed=_SEALED))
+def stream_ingest(t):
+    turns = live(t, "conversations").turn.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = jobs.scratch(t.spark, "ingest")
+    jobs.ingest(turns, out).awaitTermination()
+    events = t.spark.read.parquet(f"{out}/event")
+    log = t.spark.read.parquet(f"{out}/recall_log").select(F.explode("event_ids").alias("event_id"))
+    per = log.groupBy("event_id").agg(F.count("*").cast("int").alias("log_rows"))
+    return events.join(per, "event_id").select("conv_id", "session_no", "turns", "event_length", "log_rows")
+
+
+
+@query("stream_rolling_affect", with_ctes("""
+    select role_id, epoch_us(max(m)) as last_us, round(sum(valence*w)/sum(w),6) as rolling_valence, round(sum(arousal*w)/sum(w),6) as rolling_arousal,
+      round(sum(arousal*w),6) as energy, count(*) as rows
+    from (select *, exp(-0.1*(epoch_us(m)-epoch_us(create_time))/3600e6) as w from (select *, max(create_time) over (partition by role_id) as m from event_role))
+    group by role_id""", "event_role"))
+def stream_rolling_affect(t):
+    entries = live(t, "events").event_role.select("role_id", "create_time", "arousal", "valence")
+    rows = jobs.drain(state.rolling_affect(entries), jobs.scratch(t.spark, "affect"), "update")
+    return jobs.latest(rows, ["role_id"]).select("role_id", "last_us", r6("rolling_valence", "rolling_valence"),
+                                                 r6("rolling_arousal", "rolling_arousal"), r6("energy", "energy"), "rows")
+
+
+@query("stream_perf", with_ctes("""
+    select phase, max(seq) as last_seq, round(avg(elapsed_ms),6) as mean_ms, count(*)::int as samples from (
+      select *, row_number() over (partition by phase order by seq desc) as rn from phase_sample) where rn<=32 group by phase""", "phase_sample"))
+def stream_perf(t):
+    rows = jobs.drain(state.perf_window(live(t, "events").phase_sample.select("phase", "seq", "elapsed_ms")), jobs.scratch(t.spark, "perf"), "update")
+    return jobs.latest(rows, ["phase"]).select("phase", "last_seq", r6("mean_ms", "mean_ms"), "samples")
+
+
+@query("stream_bypass_limit")
+def stream_bypass_limit(t):
+    asks = live(t, "events").event.select(F.concat(F.lit("S-"), F.col("user_id") % 7).alias("source"), F.col("event_id").alias("query_id"),
+                                          F.col("create_time").alias("asked_at"), (F.col("value") / 500).alias("best_score"))
+    rows = jobs.drain(state.bypass_limit(asks), jobs.scratch(t.spark, "bypass"))
+    return rows.select("source", "query_id", "asked_us")
+
+
+@query("stream_quality_ema", "with recursive " + with_ctes("""
+    select user_id::varchar as source, seq as last_seq, round(a,6) as ema_a, round(b,6) as ema_b from walk
+    qualify row_number() over (partition by user_id order by rn desc)=1""", "event",
+    num="select user_id, n as seq, (n%100)/100::double as ra, k/100::double as rb, row_number() over (partition by user_id order by n) as rn from event",
+    walk="""select user_id, seq, rn, ra as a, rb as b from num where rn=1
+      union all select n.user_id, n.seq, n.rn, 0.25*n.ra+0.75*w.a, 0.25*n.rb+0.75*w.b from walk w join num n on n.user_id=w.user_id and n.rn=w.rn+1""")[5:])
+def stream_quality_ema(t):
+    rates = live(t, "events").event.select(F.col("user_id").cast("string").alias("source"), F.col("n").alias("seq"),
+                                           ((F.col("n") % 100) / 100).alias("rate_a"), (F.col("k") / 100).alias("rate_b"))
+    rows = jobs.drain(state.quality_ema(rates), jobs.scratch(t.spark, "quality"), "update")
+    return jobs.latest(rows, ["source"]).select("source", "last_seq", r6("ema_a", "ema_a"), r6("ema_b", "ema_b"))
