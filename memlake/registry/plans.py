@@ -1 +1,223 @@
-"""Named queries."""
+"""Composite jobs: sealing, recall, compression, reports."""
+
+from pyspark.sql import Window, functions as F
+
+from memlake.config import DEFAULT as CFG
+from memlake.functions import ids
+from memlake.mappings import with_ctes
+from memlake.operators import output, recall, sampling, timeline as tl
+from memlake.plans import recall_block as rb, seal
+from memlake.registry.core import query, r6
+from memlake.registry.search import USER_FOCUS, _COVER, _FACTOR, _MOOD, _U, encode_events, user_focus
+from memlake.registry.text import _B, _ladder_sql
+from memlake.registry.timeline import _EFF, _WEIGHT
+
+_RECALL = dict(
+    near="select query_id, event_id, min(distance) as distance from hits group by query_id, event_id",
+    silent=f"""select event_id from (select r.event_id, {_EFF} as eff from event_role r left join timeline t on t.role_id=r.role_id and t.event_id=r.event_id)
+      group by event_id having bool_and(eff is null or eff<0.02)""",
+    cand="""select n.query_id, n.event_id, n.distance, e.abstract_coverage, q.query_valence, coalesce(w.w_i,0) as weight, coalesce(a.v,0) as event_valence
+      from near n join event e using (event_id) join (select query_id, max(query_valence) as query_valence from hits group by query_id) q using (query_id)
+      left join weight w on w.event_id=n.event_id left join (select event_id, avg(valence) as v from event_role group by event_id) a on a.event_id=n.event_id
+      where not e.is_tombstoned and e.status<>'silent' and n.event_id not in (select event_id from silent)""",
+    ranked=f"""select *, 1.0::double/(60+row_number() over (partition by query_id order by distance, event_id))*{_FACTOR}*{_MOOD} as s0 from cand""",
+    scored=f"""select query_id, event_id, s0*{_COVER} as score from (select *, row_number() over (partition by query_id order by s0 desc, event_id) as place from ranked) where place<=60""")
+_TIERED = dict(
+    focus=USER_FOCUS,
+    offs="""select s.query_id, s.event_id, s.score, case when not exists (select 1 from focus f where f.query_id=s.query_id) then 0
+        when best>=4 then -1 when best=3 then 0 else 1 end as off from scored s
+      left join (select f.query_id, r.event_id, max(rank) as best from focus f join event_role r using (role_id) group by all) b
+        on b.query_id=s.query_id and b.event_id=s.event_id""",
+    texts="select o.query_id, o.event_id, o.score, 'L'||(3+off) as level, [s1,s2,s3,s4][3+off] as text from offs o join event_text using (event_id)",
+    cut="""select * from (select *, row_number() over w as p1, sum(length(text)) over w as u1 from texts where text<>''
+        window w as (partition by query_id order by score desc, event_id rows unbounded preceding)) where u1<=24000 or p1=1""",
+    block="""select * from (select *, row_number() over w as position, (sum(length(text)) over w)::bigint as used from cut
+        window w as (partition by query_id order by score desc, event_id rows unbounded preceding)) where used<=20000 or position=1""")
+
+
+def recall_input(t):
+    return rb.RecallInput(hits=t.hits, event=t.event_text, event_role=t.event_role, timeline=t.timeline, focus=user_focus(t))
+
+
+@query("recall_scores", with_ctes("select query_id, event_id, round(score,6) as score from scored",
+                                  "hits", "event_role", "timeline", "clock", weight=_WEIGHT, **_RECALL))
+def recall_scores(t):
+    return rb.score_candidates(recall_input(t), t.as_of).select("query_id", "event_id", r6("score", "score"))
+
+
+@query("recall_block", with_ctes("select query_id, event_id, position::int as position, used, level, round(score,6) as score, md5(text) as text_md5 from block",
+                                 "hits", "event_text", "event_role", "timeline", "clock", weight=_WEIGHT, **_RECALL, **_TIERED))
+def recall_block(t):
+    return rb.recall_block(recall_input(t), t.as_of).select(
+        "query_id", "event_id", "position", "used", "level", r6("score", "score"), F.md5("text").alias("text_md5"))
+
+
+@query("recall_flow", with_ctes("""
+    select query_id, count(*) as items, length(c)::int as context_chars, md5(c) as context_md5 from (
+      select query_id, position, '[历史回忆]'||chr(10)||string_agg(text, chr(10)||'---'||chr(10) order by position) over (partition by query_id
+        rows between unbounded preceding and unbounded following)||chr(10)||chr(10)||'[当前输入]'||chr(10)||query_id as c from block)
+    group by query_id, c""", "hits", "event_text", "event_role", "timeline", "clock", weight=_WEIGHT, **_RECALL, **_TIERED))
+def recall_flow(t):
+    block = rb.recall_block(recall_input(t), t.as_of)
+    asks = t.hits.select("query_id").distinct().select("query_id", F.lit("").alias("shadow"), F.col("query_id").alias("text"))
+    text = rb.context_package(block, asks)
+    n = block.groupBy("query_id").agg(F.count("*").alias("items"))
+    return n.join(text, "query_id").select("query_id", "items", F.length("context").alias("context_chars"), F.md5("context").alias("context_md5"))
+
+
+_CHOSEN = """select 'Q-'||user_id as query_id, event_id, position, [content_raw,s1,s2,s3,s4] as texts from (
+  select *, row_number() over (partition by user_id order by value, event_id) as position from event_text) where position<=40"""
+
+
+@query("block_compress", with_ctes("""
+    select query_id, first>3000 as tight, case when first<=3000 then (select max(u) from (select sum(length(texts[1])) over (order by position) as u
+        from chosen i where i.query_id=o.query_id) where u<=3000)::bigint end as calm_chars, true as fits
+    from (select query_id, arg_min(length(texts[1]), position) as first from chosen group by query_id) o""", "event_text", chosen=_CHOSEN))
+def block_compress(t):
+    w = Window.partitionBy("user_id").orderBy("value", "event_id")
+    rows = t.event_text.withColumn("position", F.row_number().over(w)).filter("position <= 40")
+    block = rows.select(F.concat(F.lit("Q-"), "user_id").alias("query_id"), "event_id", "position",
+                        F.array(*[F.lit(f"L{k}") for k in range(5)]).alias("levels"),
+                        F.array("content_raw", *[F.col("summaries")[f"L{k}"] for k in range(1, 5)]).alias("texts"))
+    first = block.groupBy("query_id").agg((F.min_by(F.length(F.get("texts", F.lit(0))), "position") > 3000).alias("tight"))
+    out = recall.block_compress(block, 3000).groupBy("query_id").agg(F.sum(F.length("text")).alias("chars"))
+    return first.join(out, "query_id").select("query_id", "tight", F.when(~F.col("tight"), F.col("chars")).alias("calm_chars"),
+                                              (F.col("chars") <= 3000).alias("fits"))
+
+
+_SEAL_LADDER = _ladder_sql().replace("text as s0", "left(text,2000) as s0")
+_CAP_B = _B.replace("length(text) as n", "least(length(text),2000) as n")
+
+
+@query("seal_events", with_ctes("""
+    select event_id, event_length, budget_total, round(coalesce(a,0),6) as affective_energy, round(coalesce(v,0),6) as event_valence,
+      coalesce(im,false) as ptsd_immune, audit_chars, round((audit_chars+coalesce(snap,0))/event_length::double,6) as compression_ratio
+    from (select 'EVT-'||lpad(doc_id::varchar,12,'0') as event_id, length(s0)::int as event_length, total as budget_total,
+        length(coalesce(s5,s4,s3,s2,s1))::int as audit_chars from ladder join b using (doc_id))
+    left join (select event_id, least(max(arousal),1.0) as a, avg(valence) as v, max(arousal)>0.8 as im,
+        sum(length(coalesce(l2_interaction,l1_mention,''))) as snap from event_role group by event_id) using (event_id)""",
+    "event_role", b=_CAP_B, ladder=_SEAL_LADDER))
+def seal_events(t):
+    frag = t.raw("documents").select(F.concat(F.lit("EVT-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("event_id"), F.col("text").alias("content"))
+    out = seal.seal_events(frag, t.event_role)
+    return out.select("event_id", "event_length", "budget_total", r6("affective_energy", "affective_energy"), r6("event_valence", "event_valence"),
+                      "ptsd_immune", "audit_chars", r6("compression_ratio", "compression_ratio"))
+
+
+@query("compression_audit", with_ctes("""
+    select event_id, round((length(s4)+snap+coalesce(length(insight),0))/length(content_raw)::double,6) as compression_ratio from event_text
+    join (select event_id, sum(length(coalesce(l2_interaction,l1_mention,''))) as snap from event_role group by event_id) using (event_id)""",
+    "event_text", "event_role"))
+def compression_audit(t):
+    snap = t.event_role.groupBy("event_id").agg(F.sum(F.length(F.coalesce("l2_interaction", "l1_mention", F.lit("")))).alias("snapshot_chars"))
+    out = seal.with_compression(t.event_text.join(snap, "event_id"), F.coalesce(F.length("insight"), F.lit(0)))
+    return out.select("event_id", r6("compression_ratio", "compression_ratio"))
+
+
+@query("npc_mentions", with_ctes("""
+    select query_id, mentions, round(mentions*0.2::double,6) as threat, case when mentions>=3 then 'flee' when mentions>=2 then 'watch' else 'idle' end as action,
+      case when mentions>=3 then 'fear:0.4,anger:0.2' when mentions>=2 then 'anticipation:0.2,fear:0.1' else '' end as emotion_delta
+    from (select 'Q-'||user_id as query_id, sum(contains(text, 'KEY_'||(user_id%10))::int)::bigint as mentions
+      from (select user_id, 'met KEY_'||k||' today' as text from event) group by user_id)""", "event"))
+def npc_mentions(t):
+    items = t.event.select(F.concat(F.lit("Q-"), "user_id").alias("query_id"), F.concat(F.lit("KEY_"), F.col("user_id") % 10).alias("npc"),
+                           F.concat(F.lit("met KEY_"), "k", F.lit(" today")).alias("content"))
+    return output.npc_directives(items, F.col("npc")).select("query_id", "mentions", r6("threat", "threat"), "action", "emotion_delta")
+
+
+@query("vector_reindex", with_ctes(f"""
+    select event_id, 'EVT-'||substr(event_id,5) as payload_id, 32 as act_dims, 32 as emo_dims, 32 as ent_dims, round(w_i,6) as w_i,
+      round(pow(u, 1/greatest(w_i,1e-6)),6) as sample_key
+    from (select event_id, w_i, {_U} as u from weight join event using (event_id) where not is_tombstoned and status<>'silent')""",
+    "event", "event_role", "timeline", "clock", weight=_WEIGHT))
+def vector_reindex(t):
+    from memlake.sources.lake import visible_events
+    vec = encode_events(visible_events(t.event_text), t.event_role, t.role, 32)
+    rows = sampling.tier1_refresh(t.event, t.event_role, t.timeline, t.as_of)
+    return vec.join(rows, "event_id").select(
+        "event_id", F.col("event_id").alias("payload_id"), F.size("act").alias("act_dims"), F.size("emo").alias("emo_dims"), F.size("ent").alias("ent_dims"),
+        r6("w_i", "w_i"), r6("sample_key", "sample_key"))
+
+
+@query("plug_recall_score", with_ctes("select query_id, event_id, round(1-distance+weight/1000,6) as score from hits", "hits"))
+def plug_recall_score(t):
+    from memlake.operators.plugins import apply_score
+    mine = lambda h: 1 - h["distance"] + h["weight"] / 1000
+    return apply_score(t.hits, mine).select("query_id", "event_id", r6("score", "score"))
+
+
+def _checks():
+    from memlake.operators import segment
+    row = lambda f, name, severity: f.select(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.col("fragment_id").alias("subject"))
+
+    def broken(f):
+        raise RuntimeError("an evaluator that fails")
+
+    return {"long": lambda f: row(f.filter(segment.oversized(F.col("content"))), "too_long", "error"),
+            "loose": lambda f: row(f.filter(F.col("split_id").isNull()), "no_split_id", "warn"), "broken": broken}
+
+
+@query("plug_evaluator", with_ctes("""
+    select check_name, severity, count(*) as issues from (
+      select 'too_long' as check_name, 'error' as severity from fragment where length(content)>2400
+      union all select 'no_split_id', 'warn' from fragment where split_id is null
+      union all select 'evaluator_error', 'warn') group by all""", "fragment"))
+def plug_evaluator(t):
+    from memlake.operators import plugins
+    _, issues = plugins.evaluate(t.fragment, _checks())
+    return issues.groupBy("check_name", "severity").agg(F.count("*").alias("issues"))
+
+
+@query("plug_remediator", with_ctes("""
+    select fragment_id, length(content)>2400 and split_id is not null as repaired, least(length(content), case when split_id is not null then 2400 else length(content) end)::int as chars
+    from fragment""", "fragment"))
+def plug_remediator(t):
+    from memlake.operators import plugins, segment
+
+    def repair(f, issues):
+        bad = issues.filter("check_name = 'too_long'").select(F.col("subject").alias("fragment_id"), F.lit(True).alias("bad"))
+        fix = F.col("bad").isNotNull() & F.col("split_id").isNotNull()
+        return f.join(bad, "fragment_id", "left").withColumn("repaired", fix).withColumn(
+            "content", F.when(fix, F.substring("content", 1, CFG.force_threshold)).otherwise(F.col("content")))
+
+    fixed, _ = plugins.evaluate(t.fragment, _checks(), repair)
+    return fixed.select("fragment_id", "repaired", F.length("content").alias("chars"))
+
+
+@query("plug_tier_policy", with_ctes("select event_id, role_id, (case when rank>=4 then -2 else 2 end)::int as tier from event_role", "event_role"))
+def plug_tier_policy(t):
+    from memlake.operators.plugins import apply_tier
+    coarse = lambda rank, has_focus: F.when(has_focus & (rank >= 4), -2).otherwise(2)
+    return apply_tier(t.event_role, coarse).select("event_id", "role_id", "tier")
+
+
+@query("plug_retention", with_ctes(f"""
+    select role_id, event_id, round({_EFF},6) as kept, round(memory_weight,6) as flat from timeline""", "timeline", "clock"))
+def plug_retention(t):
+    from memlake.operators import plugins
+    usual = plugins.apply_retention(t.timeline, lambda r: plugins.default_retention(r["forgetting_factor"], r["last_accessed_time"], t.as_of), "kept")
+    both = plugins.apply_retention(usual, lambda r: r["memory_weight"], "flat")
+    return both.select("role_id", "event_id", r6("kept", "kept"), r6("flat", "flat"))
+
+
+@query("plug_evidence", with_ctes("""
+    select distinct subset_id, child as event_id from basket_edge join (select 'SUB-'||o_custkey as subset_id, 'ORD-'||o_orderkey as parent from orders) using (parent)""",
+    "basket_edge"))
+def plug_evidence(t):
+    from memlake.operators.plugins import collect_evidence
+    from memlake.registry.graph import basket_members, basket_nodes
+    direct = lambda nodes, edges, members: members.join(edges, F.col("member") == F.col("parent")).select("subset_id", F.col("child").alias("event_id")).distinct()
+    return collect_evidence(basket_nodes(t), t.basket_edge, basket_members(t), direct)
+
+
+@query("plug_embedder", """
+    select doc_id, length(text)::double as v1, (length(text)-length(replace(text,' ','')))::double as v2 from documents""")
+def plug_embedder(t):
+    from memlake.operators.plugins import text_embedder
+
+    def load():
+        return lambda texts: [[len(x), x.count(" ")] for x in texts]
+
+    v = text_embedder(load)(F.col("text"))
+    return t.raw("documents").select("doc_id", v.alias("v")).select(
+        "doc_id", F.col("v")[0].cast("double").alias("v1"), F.col("v")[1].cast("double").alias("v2"))

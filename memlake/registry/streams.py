@@ -81,7 +81,13 @@ def stream_perf(t):
     return jobs.latest(rows, ["phase"]).select("phase", "last_seq", r6("mean_ms", "mean_ms"), "samples")
 
 
-@query("stream_bypass_limit")
+@query("stream_bypass_limit", "with recursive " + with_ctes("""
+    select source, query_id, asked_us from walk where granted""", "event",
+    num="""select 'S-'||(user_id%7) as source, event_id as query_id, epoch_us(create_time) as asked_us,
+        row_number() over (partition by user_id%7 order by create_time, event_id) as rn from event where value/500<0.5""",
+    walk="""select source, query_id, asked_us, rn, asked_us as start_us, true as granted from num where rn=1
+      union all select n.source, n.query_id, n.asked_us, n.rn, case when n.asked_us-w.start_us>60000000 then n.asked_us else w.start_us end,
+        n.asked_us-w.start_us>60000000 from walk w join num n on n.source=w.source and n.rn=w.rn+1""")[5:])
 def stream_bypass_limit(t):
     asks = live(t, "events").event.select(F.concat(F.lit("S-"), F.col("user_id") % 7).alias("source"), F.col("event_id").alias("query_id"),
                                           F.col("create_time").alias("asked_at"), (F.col("value") / 500).alias("best_score"))
