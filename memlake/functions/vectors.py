@@ -47,23 +47,25 @@ def hash_embed(text: Column, dim: int) -> Column:
 
 
 def _from_seed(seed: Column, dim: int) -> Column:
-    blocks = []
-    for i in range(math.ceil(dim / 32)):
-        counter = i.to_bytes(4, "little").hex()
-        blocks.append(F.sha2(F.unhex(F.concat(seed, F.lit(counter))), 256))
-    value = lambda d, i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2.0 - 1.0
-    return normalise(let(F.concat(*blocks), lambda d: F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: value(d, i))))
+    counters = F.lit([i.to_bytes(4, "little").hex() for i in range(math.ceil(dim / 32))])
+    # a block as Latin-1 text: one character per byte, so a byte is one `ascii` call
+    block = lambda c: F.decode(F.unhex(F.sha2(F.unhex(F.concat(seed, c)), 256)), "ISO-8859-1")
+    spread = lambda text: F.transform(
+        F.lit(list(range(1, 33))), lambda i: F.ascii(F.substr(text, i, F.lit(1))) / 255.0 * 2.0 - 1.0)
+    values = F.flatten(F.transform(counters, lambda c: let(block(c), spread)))
+    return normalise(F.slice(values, 1, dim))
 
 
 def emo_project(scalars: list[Column], dim: int) -> Column:
     """Fixed sine projection of affect scalars onto `dim` values."""
-    def cell(j: Column) -> Column:
-        total = F.lit(0.0)
-        for i, s in enumerate(scalars):
-            total = total + F.sin((j + 1) * F.lit(i + 1) * 0.17) * s
+    matrix = [[math.sin((j + 1) * (i + 1) * 0.17) for i in range(len(scalars))] for j in range(dim)]
+
+    def cell(row: Column) -> Column:
+        total = row[0] * scalars[0]
+        for i, s in enumerate(scalars[1:], 1):
+            total = total + row[i] * s
         return total
-    return normalise(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell))
+    return normalise(F.transform(F.lit(matrix), cell))
 
 
 def emo_query(valence: Column, arousal: Column, dim: int) -> Column:

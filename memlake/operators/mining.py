@@ -100,11 +100,13 @@ def closed_itemsets(log: DataFrame, as_of: Column, min_size: int, min_support: f
     """Closed frequent sets with decayed support.
 
     Candidates are the pair intersections and their one-smaller subsets; those
-    with enough support stay, unless a larger one is equally supported.
+    with enough support stay, unless a larger one is equally supported. The
+    collapsed transactions and the frequent sets are each used several times,
+    so both are computed once and kept.
     """
-    sets = distinct_sets(log, as_of, lam)
+    sets = checkpointed(distinct_sets(log, as_of, lam))
     cand = candidates(pair_intersections(sets, min_size), min_size)
-    found = subset_support(cand, sets).filter(F.col("support") + 1e-6 >= min_support)
+    found = checkpointed(subset_support(cand, sets).filter(F.col("support") + 1e-6 >= min_support))
     return closed_only(found)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import affect, scoring
+from memlake.functions.vectors import let
 from memlake.operators.ordered import exact_percentile, first_per_key
 
 
@@ -99,24 +100,25 @@ def mid_tier(levels: Column, offset: Column) -> Column:
 
 def summary_pick(levels: Column, raw: Column, budget: Column, offset: Column, cfg: MemoryConfig = DEFAULT) -> Column:
     """Text and level for a budget: scan to shorter levels, then back to longer ones, then any that fits."""
+    return let(levels, lambda lv: let(mid_tier(lv, offset), lambda at: _pick(lv, at, raw, budget, cfg)))
+
+
+def _pick(levels: Column, at: Column, raw: Column, budget: Column, cfg: MemoryConfig) -> Column:
     n = F.size(levels)
-    at = mid_tier(levels, offset)
-    mid = F.floor(n / 2).cast("int")
     fits = lambda x: F.length(x["v"]) <= budget
-    item = lambda x: F.struct(x["v"].alias("text"), F.concat(F.lit("L"), x["k"].cast("string")).alias("level"))
-    deeper = F.slice(levels, at + 1, F.greatest(n - at, F.lit(0)))
     # the downward scan ends at the first text at or under the floor, fitting or not
-    stops = F.transform(deeper, lambda x: F.length(x["v"]) <= cfg.min_summary_chars)
-    end = F.array_position(stops, True).cast("int")
-    scan = F.when(end > 0, F.slice(deeper, F.lit(1), end)).otherwise(deeper)
-    down = F.get(F.filter(scan, fits), F.lit(0))
-    up = F.get(F.filter(F.reverse(F.slice(levels, F.lit(1), at + 1)), fits), F.lit(0))
-    rest = F.get(F.filter(F.reverse(levels), fits), F.lit(0))
+    ends = lambda x: fits(x) | (F.length(x["v"]) <= cfg.min_summary_chars)
+    first = lambda found: F.get(found, F.lit(0))
+    stop = first(F.filter(F.slice(levels, at + 1, F.greatest(n - at, F.lit(0))), ends))
+    item = lambda x: F.struct(x["v"].alias("text"), F.concat(F.lit("L"), x["k"].cast("string")).alias("level"))
+    longer = first(F.filter(F.reverse(F.slice(levels, F.lit(1), at + 1)), fits))
+    rest = first(F.filter(F.reverse(levels), fits))
     nothing = F.struct(F.lit("").alias("text"), F.lit("").alias("level"))
     whole = F.when(F.length(raw) <= budget, F.struct(raw.alias("text"), F.lit("L0").alias("level"))).otherwise(nothing)
-    chosen = F.when(down.isNotNull(), item(down)).when((at < mid) & up.isNotNull(), item(up)).when(
-        rest.isNotNull(), item(rest)).otherwise(nothing)
-    return F.when(n == 0, whole).otherwise(chosen)
+    fall = lambda up: F.when(up.isNotNull() & (at < F.floor(n / 2)), item(up)).otherwise(
+        let(rest, lambda r: F.when(r.isNotNull(), item(r)).otherwise(nothing)))
+    return F.when(n == 0, whole).otherwise(
+        let(stop, lambda d: F.when(d.isNotNull() & fits(d), item(d)).otherwise(let(longer, fall))))
 
 
 def tier_offsets(pairs: DataFrame, event_role: DataFrame, focus: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:

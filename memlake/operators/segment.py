@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import ids, scoring, text as tx
+from memlake.functions.vectors import let
 from memlake.operators.ordered import SLOT, running_total, with_preceding, with_time_slot
 
 # Marks that end a sentence when a long text is cut, in both scripts.
@@ -27,19 +28,24 @@ def split_point(text: Column, cfg: MemoryConfig = DEFAULT) -> Column:
     Only the two stretches around the target are looked at; on equal distance
     the earlier end wins.
     """
-    n = F.length(text)
+    return let(text, lambda x: let(F.length(x), lambda n: _nearest_end(x, n, cfg)))
+
+
+def _nearest_end(text: Column, n: Column, cfg: MemoryConfig) -> Column:
     share = lambda x: F.lit(round(x * 100))
     low = F.ceil(n * share(cfg.split_min) / 100).cast("int")
     mid = F.floor(n * share(cfg.split_target) / 100).cast("int")
     high = F.floor(n * share(cfg.split_max) / 100).cast("int")
     left = F.substr(text, low, mid - low + 1)
     right = F.substr(text, mid + 1, high - mid)
-    back = F.length(F.regexp_extract(left, f"[^{CUT_MARKS}]*\\z", 0))
-    before = F.when(back < F.length(left), mid - back)
+    # read backwards so the pattern is anchored and never retried
+    back = F.length(F.regexp_extract(F.reverse(left), f"\\A[^{CUT_MARKS}]*", 0))
+    before = F.when(back < mid - low + 1, mid - back)
     step = F.length(F.regexp_extract(right, f"\\A[^{CUT_MARKS}]*[{CUT_MARKS}]", 0))
     after = F.when(step > 0, mid + step)
     goal = n * share(cfg.split_target)
-    return F.when(before.isNotNull() & (after.isNull() | (goal - before * 100 <= after * 100 - goal)), before).otherwise(after)
+    nearer = lambda b, a: F.when(b.isNotNull() & (a.isNull() | (goal - b * 100 <= a * 100 - goal)), b).otherwise(a)
+    return let(before, lambda b: let(after, lambda a: nearer(b, a)))
 
 
 def split_overlong(fragment: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.config import DEFAULT, EMOTIONS, MemoryConfig
 from memlake.functions import affect, scoring
+from memlake.functions.vectors import let
 from memlake.operators.ordered import (SLOT, first_per_key, running_total, with_preceding,
                                        with_time_slot)
 
@@ -118,15 +119,15 @@ def rolling_affect(timeline: DataFrame, cfg: MemoryConfig = DEFAULT, history: st
         prior = Window.partitionBy("role_id", SLOT).orderBy("create_time", "event_id").rowsBetween(-n, -1)
         staged = (with_preceding(with_time_slot(base, "create_time"), ["role_id"], ["create_time", "event_id"], n)
                   .withColumn("_h", F.collect_list(past).over(prior)).filter(~F.col("_carried")))
-    weigh = lambda field: F.aggregate("_h", F.lit(0.0), lambda acc, h: acc + F.exp(
-        F.lit(-lam) * scoring.age_hours(h["create_time"], F.col("create_time"))) * field(h))
-    staged = staged.withColumns({
-        "_w": weigh(lambda h: F.lit(1.0)), "_v": weigh(lambda h: h["valence"]), "_a": weigh(lambda h: h["arousal"])})
-    return staged.select(
-        "role_id", "event_id",
-        ((F.col("valence") + F.col("_v")) / (1 + F.col("_w"))).alias("rolling_valence"),
-        ((F.col("arousal") + F.col("_a")) / (1 + F.col("_w"))).alias("rolling_arousal"),
-        (F.col("arousal") + F.col("_a")).alias("energy"))
+    def add(acc: Column, h: Column) -> Column:
+        w = F.exp(F.lit(-lam) * scoring.age_hours(h["create_time"], F.col("create_time")))
+        return let(w, lambda x: F.struct((acc["w"] + x).alias("w"), (acc["v"] + h["valence"] * x).alias("v"),
+                                         (acc["a"] + h["arousal"] * x).alias("a")))
+
+    start = F.struct(F.lit(1.0).alias("w"), F.col("valence").alias("v"), F.col("arousal").alias("a"))
+    return staged.withColumn("_s", F.aggregate("_h", start, add)).select(
+        "role_id", "event_id", (F.col("_s.v") / F.col("_s.w")).alias("rolling_valence"),
+        (F.col("_s.a") / F.col("_s.w")).alias("rolling_arousal"), F.col("_s.a").alias("energy"))
 
 
 def event_affect(event: DataFrame, event_role: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ _CHOSEN = """select 'Q-'||user_id as query_id, event_id, position, [content_raw,
     from (select query_id, arg_min(length(texts[1]), position) as first from chosen group by query_id) o""", "event_text", chosen=_CHOSEN))
 def block_compress(t):
     w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    rows = t.event_text.withColumn("position", F.row_number().over(w)).filter("position <= 40")
+    near = t.event.withColumn("position", F.row_number().over(w)).filter("position <= 40").select("event_id", "position")
+    rows = t.event_text.join(near, "event_id")
     block = rows.select(F.concat(F.lit("Q-"), "user_id").alias("query_id"), "event_id", "position",
                         F.array(*[F.lit(f"L{k}") for k in range(5)]).alias("levels"),
                         F.array("content_raw", *[F.col("summaries")[f"L{k}"] for k in range(1, 5)]).alias("texts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.functions.text import strip
+from memlake.functions.vectors import let
 
 # The text keys worth saving from an answer that is not valid JSON.
 SALVAGE_KEYS = ("remaining_shadow", "summary", "logical_gaps", "content")
@@ -28,49 +29,57 @@ def _outer(text: Column) -> Column:
                   F.substr(text, opened, closed - opened + 1))
 
 
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
+def _struct_type(schema: str) -> str:
+    return "struct<" + ", ".join(": ".join(part.split()) for part in schema.split(",")) + ">"
+
+
 def _salvage(text: Column, schema: str) -> Column:
     """Struct rebuilt from `"key": "value"` pairs of the known text keys."""
-    import re
-    names = re.findall(r"(\w+)\s+\w+", schema)
     fields = []
-    for name in names:
+    for name in _names(schema):
         if name in SALVAGE_KEYS:
-            pattern = f'(?s)"{name}"\\s*:\\s*"(.*?)"\\s*(?:,|\\}})'
-            got = F.replace(F.regexp_extract(text, pattern, 1), F.lit('\\"'), F.lit('"'))
-            fields.append(F.when(text.rlike(pattern), got).alias(name))
+            got = F.regexp_extract_all(text, F.lit(f'(?s)"{name}"\\s*:\\s*"(.*?)"\\s*(?:,|\\}})'), F.lit(1))
+            fields.append(F.replace(F.get(got, F.lit(0)), F.lit('\\"'), F.lit('"')).alias(name))
         else:
             fields.append(F.lit(None).alias(name))
-    return F.struct(*fields).cast(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    return F.struct(*fields).cast(_struct_type(schema))
 
 
 def response_parse(df: DataFrame, col: str, schema: str) -> DataFrame:
     """Add `stage` and `parsed`; `stage` names the first reading that worked.
 
-    `schema` is a flat list such as "summary string, char_count int". All
-    readings are built-in expressions, so the job is one narrow pass.
+    `schema` is a flat list such as "summary string, char_count int". Each
+    reading is tried only when the one before failed, in one narrow pass of
+    built-in expressions.
     """
-    read = lambda c: F.from_json(c, f"{schema}, {_BAD} string",
+    names = _names(schema)
+    read = lambda c: F.from_json(F.when(F.startswith(c, F.lit("{")), c), f"{schema}, {_BAD} string",
                                  {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
-    ok = lambda s: F.col(s).isNotNull() & F.col(f"{s}.{_BAD}").isNull()
-    plain = lambda s: F.struct(*[F.col(f"{s}.{n}") for n in names])
-    import re
-    names = re.findall(r"(\w+)\s+\w+", schema)
-    staged = (
-        df.withColumn("_c0", _tidy(_fence(F.col(col))))
-        .withColumn("_c1", _tidy(F.regexp_replace("_c0", r"[\x00-\x1f]", " ")))
-        .withColumn("_c2", _tidy(_outer(F.col("_c1"))))
-        .withColumns({f"_p{i}": read(F.when(F.startswith(F.col(f"_c{i}"), F.lit("{")), F.col(f"_c{i}"))) for i in range(3)})
-        .withColumn("_p3", _salvage(F.col("_c2"), schema)))
-    saved = F.col("_p3." + names[0]).isNotNull()
-    for n in names[1:]:
-        saved = saved | F.col(f"_p3.{n}").isNotNull()
-    return staged.withColumn(
-        "stage", F.when(ok("_p0"), "clean").when(ok("_p1"), "controls").when(ok("_p2"), "braces")
-        .when(saved, "salvaged").otherwise("rejected")
-    ).withColumn(
-        "parsed", F.when(ok("_p0"), plain("_p0")).when(ok("_p1"), plain("_p1")).when(ok("_p2"), plain("_p2"))
-        .when(saved, F.col("_p3"))
-    ).drop("_c0", "_c1", "_c2", "_p0", "_p1", "_p2", "_p3")
+    found = lambda stage, value: F.struct(F.lit(stage).alias("stage"), value.alias("parsed"))
+    plain = lambda p: F.struct(*[p[n].alias(n) for n in names]).cast(_struct_type(schema))
+    none = F.lit(None).cast(_struct_type(schema))
+
+    def attempt(text: Column, stage: str, other) -> Column:
+        return let(text, lambda c: let(read(c), lambda p: F.when(
+            p.isNotNull() & p[_BAD].isNull(), found(stage, plain(p))).otherwise(other(c))))
+
+    def salvage(c: Column) -> Column:
+        def judge(p: Column) -> Column:
+            any_set = p[names[0]].isNotNull()
+            for n in names[1:]:
+                any_set = any_set | p[n].isNotNull()
+            return F.when(any_set, found("salvaged", p)).otherwise(found("rejected", none))
+        return let(_salvage(c, schema), judge)
+
+    outcome = attempt(
+        _tidy(_fence(F.col(col))), "clean", lambda c: attempt(
+            _tidy(F.regexp_replace(c, r"[\x00-\x1f]", " ")), "controls", lambda d: attempt(
+                _tidy(_outer(d)), "braces", salvage)))
+    return df.withColumn("_o", outcome).withColumns({"stage": F.col("_o.stage"), "parsed": F.col("_o.parsed")}).drop("_o")
 
 
 def response_reject(parsed: DataFrame, col: str) -> DataFrame:
