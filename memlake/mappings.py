@@ -24,9 +24,12 @@ def scalar(df: DataFrame, agg: Column) -> Column:
 class Tables:
     def __init__(self, spark: SparkSession, path: str, cfg: MemoryConfig = DEFAULT):
         self.spark, self.path, self.cfg = spark, path.rstrip("/"), cfg
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._raw[name]
 
     # -- events -----------------------------------------------------------
     @cached_property

@@ -145,6 +145,18 @@ def replace_subset(log: DataFrame, subset: Column, abstract_id: Column) -> DataF
     return log.withColumns({"changed": hit, "event_ids": F.when(hit, new).otherwise(F.col("event_ids"))})
 
 
+def replace_subsets(log: DataFrame, made: list[tuple[str, list[str]]]) -> DataFrame:
+    """Apply replacements one after the other in a single pass over the log."""
+    if not made:
+        return log
+    steps = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(m) for m in members]).alias("s")) for i, members in made])
+
+    def step(ids: Column, r: Column) -> Column:
+        new = F.array_sort(F.array_union(F.array_except(ids, r["s"]), F.array(r["id"])))
+        return F.when(F.size(F.array_except(r["s"], ids)) == 0, new).otherwise(ids)
+    return log.withColumn("event_ids", F.aggregate(steps, F.col("event_ids"), step))
+
+
 def coherence_gate(parts: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Check each (`subset`, `coherent`, `excluded`) partition and rate it."""
     s, c, x = [F.array_distinct(n) for n in ("subset", "coherent", "excluded")]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLOT = "_slot"
 DEFAULT_SLOT_SECONDS = 6 * 3600
+ROWS_PER_SLOT = 200_000
 
 
 def time_slot(ts: Column, seconds: int = DEFAULT_SLOT_SECONDS) -> Column:
@@ -53,14 +54,30 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     return running_total(df, keys, order, F.lit(1), out, descending)
 
 
-def with_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+def balanced(df: DataFrame, keys: Sequence[str], rows_per_slot: int) -> DataFrame:
+    """Merge neighbouring slots of a key until each holds about `rows_per_slot` rows.
+
+    Keys with few rows end up in a single slot, hot keys keep many.
+    """
+    keys = list(keys)
+    before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    merged = (
+        df.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_c"))
+        .select(*keys, SLOT, F.floor(F.coalesce(F.sum("_c").over(before), F.lit(0)) / rows_per_slot).alias("_merged")))
+    return df.join(merged, [*keys, SLOT]).drop(SLOT).withColumnRenamed("_merged", SLOT)
+
+
+def with_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
+                   rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Prepend to every slot the last n rows before it, flagged `_carried`.
 
-    Every non-empty slot keeps at most its last n rows, and n non-empty slots
-    hold at least n rows, so looking back n slots is exact. A window frame of
-    n preceding rows over (key, slot) then sees what it would over the key.
+    A window frame of n preceding rows over (key, slot) then sees what it
+    would over the key. Slots are balanced first, so carried rows are few
+    beside a slot's own. Every slot keeps at most its last n rows, and n
+    non-empty slots hold at least n rows, so looking back n slots is exact.
     """
     keys = list(keys)
+    df = balanced(df, keys, rows_per_slot)
     newest = Window.partitionBy(*keys, SLOT).orderBy(*[F.col(c).desc() for c in order])
     row = F.struct(*[F.col(c) for c in df.columns if c not in keys and c != SLOT])
     tails = (

@@ -13,6 +13,7 @@ from memlake.functions import scoring
 from memlake.operators.ordered import first_per_key, value_at_rank
 
 MAX_QUERY_ROWS = 4096
+QUERY_BLOCK = 256
 HITS = "query_id string, event_id string, score double"
 
 
@@ -33,23 +34,33 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pd.DataFrame], names: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """Keep the k best rows per query while a partition streams by."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object)) for _ in names]
+    """Keep the k best rows per query while a partition streams by.
+
+    Scores are made for a block of queries at a time, and once a query has k
+    rows only scores that reach its worst one are looked at.
+    """
+    kept = [(np.empty(0), np.empty(0, dtype=object)) for _ in names]
+    floor = np.full(len(names), -np.inf)
     for batch in batches:
         if not len(batch):
             continue
-        scores = matrix @ _unit_rows(batch.vec).T
+        vectors = _unit_rows(batch.vec).T
         ids = batch.event_id.to_numpy(dtype=object)
-        for q in range(len(names)):
-            top = _best(scores[q], ids, k)
-            s = np.concatenate([kept[q][0], scores[q][top]])
-            i = np.concatenate([kept[q][1], ids[top]])
-            order = _best(s, i, k)
-            kept[q] = (s[order], i[order])
+        for at in range(0, len(names), QUERY_BLOCK):
+            scores = matrix[at:at + QUERY_BLOCK] @ vectors
+            reach = scores >= floor[at:at + QUERY_BLOCK, None]
+            for row in np.flatnonzero(reach.any(axis=1)):
+                hit, q = np.flatnonzero(reach[row]), at + row
+                s = np.concatenate([kept[q][0], scores[row, hit]])
+                i = np.concatenate([kept[q][1], ids[hit]])
+                order = _best(s, i, k)
+                kept[q] = (s[order], i[order])
+                if len(order) == k:
+                    floor[q] = s[order[-1]]
     yield pd.DataFrame({
         "query_id": np.repeat(names, [len(s) for s, _ in kept]),
-        "event_id": np.concatenate([i for _, i in kept]) if len(kept) else [],
-        "score": np.concatenate([s for s, _ in kept]) if len(kept) else []})
+        "event_id": np.concatenate([i for _, i in kept]) if kept else [],
+        "score": np.concatenate([s for s, _ in kept]) if kept else []})
 
 
 def vector_topk(queries: DataFrame, events: DataFrame, k: int, band: str = "embedding",

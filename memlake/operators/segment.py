@@ -158,10 +158,11 @@ def segment_turns(turns: DataFrame, gap_minutes: int, as_of: Column, cfg: Memory
     agg = sessions.groupBy("conv_id", "session_no").agg(
         F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.min("ts").alias("start_time"),
         F.max("ts").alias("end_time"), F.max_by(F.right(tx.strip(F.col("text")), F.lit(1)), F.struct("ts", "turn")).alias("last_char"))
-    last = F.max("session_no").over(Window.partitionBy("conv_id"))
+    last = agg.groupBy("conv_id").agg(F.max("session_no").alias("_last"))
     idle = scoring.micros(as_of) - scoring.micros(F.col("end_time")) > gap_minutes * 60_000_000
     stop = F.col("last_char").isin(*[c for c in CUT_MARKS if c != "\n"])
-    return agg.withColumn("is_closed", (F.col("session_no") < last) | idle | stop).drop("last_char")
+    return agg.join(last, "conv_id").withColumn(
+        "is_closed", (F.col("session_no") < F.col("_last")) | idle | stop).drop("last_char", "_last")
 
 
 def open_shadow(turns: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
@@ -190,19 +191,25 @@ def redline_compact(unclosed: DataFrame, shadow_chars: Column, as_of: Column, cf
         "action", F.when(~over, "keep").when(long, "seal").when(stale, "drop").otherwise("keep"))
 
 
-def force_save(unclosed: DataFrame, current: DataFrame, dedupe: bool = False) -> DataFrame:
+def force_save(unclosed: DataFrame, current: DataFrame, cfg: MemoryConfig = DEFAULT, dedupe: bool = False) -> DataFrame:
     """Seal everything: shadow with the input per owner, and every open row on its own.
 
     The open text is sealed inside the shadow and alone; `dedupe` keeps only
     the former. `unclosed` is (owner, item, content), `current` is (owner, text).
+    A sealed text holds `len_msg` characters, so only the open rows that reach
+    into the first ones of an owner are gathered.
     """
+    size = (F.length("content") + 1).cast("long")
+    slotted = unclosed.withColumn(SLOT, F.floor(F.col("item") / 256))
+    lead = running_total(slotted, ["owner"], [F.col("item")], size, "upto").filter(F.col("upto") - size <= cfg.len_msg)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "content"))), lambda s: s["content"]), "\n")
-    shadow = unclosed.groupBy("owner").agg(joined.alias("shadow"))
+    shadow = lead.groupBy("owner").agg(joined.alias("shadow"))
     body = current.join(shadow, "owner", "full_outer").select("owner", F.lit("shadow").alias("source"), F.concat_ws(
         "\n", F.nullif("shadow", F.lit("")), F.nullif("text", F.lit(""))).alias("content_raw"))
     alone = unclosed.select("owner", F.concat(F.lit("open-"), "item").alias("source"), F.col("content").alias("content_raw"))
     out = body if dedupe else body.unionByName(alone)
-    return out.filter(tx.strip(F.col("content_raw")) != "").withColumn(
+    return out.withColumn("content_raw", F.substring("content_raw", 1, cfg.len_msg)).filter(
+        tx.strip(F.col("content_raw")) != "").withColumn(
         "event_id", ids.content_id("EVT-", F.col("owner"), F.col("source"), F.col("content_raw")))
 
 

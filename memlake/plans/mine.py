@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.config import DEFAULT, MARK_INCOHERENT, MARK_NOOP, MemoryConfig
 from memlake.operators import graph, mining
-from memlake.functions import ids
 from memlake.session import checkpointed
 from memlake.sources import lake
 
@@ -29,9 +28,8 @@ def all_coherent(subsets: DataFrame) -> DataFrame:
     return subsets.withColumns({"coherent": F.col("subset"), "excluded": F.array().cast("array<string>")})
 
 
-def ordered_candidates(log: DataFrame, fired: DataFrame, as_of: Column, min_support: int, cfg: MemoryConfig) -> DataFrame:
-    """Unfired closed sets of the recent log; largest, then best supported, then by ids."""
-    recent = lake.newest(log, cfg.recent_k, ["created_at", "recall_id"])
+def ordered_candidates(recent: DataFrame, fired: DataFrame, as_of: Column, min_support: int, cfg: MemoryConfig) -> DataFrame:
+    """Unfired closed sets of the recent transactions."""
     big = recent.filter(F.size("event_ids") >= cfg.min_size)
     return mining.fired_anti(mining.closed_itemsets(big, as_of, cfg.min_size, min_support, cfg.support_decay), fired)
 
@@ -39,28 +37,30 @@ def ordered_candidates(log: DataFrame, fired: DataFrame, as_of: Column, min_supp
 def mine_abstracts(log: DataFrame, fired: DataFrame, as_of: Column, cfg: MemoryConfig = DEFAULT,
                    partition: Gate = all_coherent, known: DataFrame | None = None,
                    subset_leaves: Callable[[DataFrame], DataFrame] | None = None,
-                   abstract_leaves: DataFrame | None = None, max_rounds: int | None = None) -> Mined:
+                   abstract_leaves: DataFrame | None = None, alive: DataFrame | None = None,
+                   max_rounds: int | None = None) -> Mined:
     """Rounds of mining until one brings nothing new.
 
-    Only the recent window is mined (at most `recent_k` rows); the rest of the
-    log is rewritten by an expression. A round's first candidate that passes
-    the duplicate check and the gate becomes an abstract event. The driver
-    sees that one candidate per round and nothing else.
+    A round looks at the newest `recent_k` transactions, which stay the same
+    rows however often they are rewritten, so they are cut out once. Its first
+    candidate that passes the duplicate check and the gate becomes an abstract
+    event; the driver sees that one candidate per round and nothing else. The
+    whole log is rewritten at the end in one pass. With `alive` (event ids that
+    exist and are not tombstoned) a subset counts with its living members only.
     """
     spark = log.sparkSession
-    log = checkpointed(log.select("recall_id", "created_at", "event_ids"))
+    log = log.select("recall_id", "created_at", "event_ids")
+    recent = checkpointed(lake.newest(log, cfg.recent_k, ["created_at", "recall_id"]))
     fired = fired.select("fingerprint", "abstract_event_id")
     made: list[tuple] = []
     rounds = 0
     for rounds in range(1, (max_rounds or cfg.max_rounds) + 1):
         support = cfg.escalated_support if len(made) > cfg.escalate_after else cfg.min_support
-        recent = lake.newest(log, cfg.recent_k, ["created_at", "recall_id"])
         if recent.filter(F.size("event_ids") >= cfg.min_size).limit(support).count() < support:
             break
-        cand = checkpointed(ordered_candidates(log, fired, as_of, support, cfg))
-        marks, pick = _first_good(cand, cfg, partition, subset_leaves, abstract_leaves, known)
-        if marks is not None:
-            fired = fired.unionByName(marks)
+        cand = checkpointed(ordered_candidates(recent, fired, as_of, support, cfg))
+        marks, pick = _first_good(cand, cfg, partition, subset_leaves, abstract_leaves, known, alive)
+        fired = fired.unionByName(marks)
         if pick is None:
             break
         members = sorted(pick.kept)
@@ -68,29 +68,36 @@ def mine_abstracts(log: DataFrame, fired: DataFrame, as_of: Column, cfg: MemoryC
         made.append((abstract_id, members, float(pick.support), rounds))
         fired = checkpointed(fired.unionByName(spark.createDataFrame(
             [(pick.fingerprint, abstract_id)], "fingerprint string, abstract_event_id string")))
-        arr = F.array(*[F.lit(m) for m in members])
-        log = checkpointed(mining.replace_subset(log, arr, F.lit(abstract_id)).drop("changed"))
+        recent = checkpointed(mining.replace_subsets(recent, [(abstract_id, members)]))
     abstract = spark.createDataFrame(made, "abstract_id string, members array<string>, support double, round int")
-    return Mined(abstract, fired, log, rounds)
+    return Mined(abstract, fired, mining.replace_subsets(log, [(m[0], m[1]) for m in made]), rounds)
 
 
-def _first_good(cand: DataFrame, cfg: MemoryConfig, partition: Gate, subset_leaves, abstract_leaves, known):
+def _living(cand: DataFrame, alive: DataFrame) -> DataFrame:
+    """Candidates reduced to their living members."""
+    found = cand.select("fingerprint", F.explode("subset").alias("event_id")).join(
+        alive.select("event_id"), "event_id", "left_semi").groupBy("fingerprint").agg(F.collect_set("event_id").alias("_in"))
+    none = F.array().cast("array<string>")
+    return cand.join(found, "fingerprint", "left").withColumn(
+        "subset", F.array_sort(F.coalesce("_in", none))).drop("_in")
+
+
+def _first_good(cand: DataFrame, cfg: MemoryConfig, partition: Gate, subset_leaves, abstract_leaves, known, alive):
     """The first acceptable candidate as a row, and marks for the ones passed over before it."""
-    gated = mining.coherence_gate(partition(cand), cfg).withColumn("dup_of", F.lit(None).cast("string"))
+    ranked = cand.withColumns({"_n": F.size("subset"), "_s": F.round("support", 9)})
+    staged = ranked if alive is None else _living(ranked, alive)
+    gated = mining.coherence_gate(partition(staged), cfg).withColumn("dup_of", F.lit(None).cast("string"))
     if known is not None and subset_leaves is not None:
         dup = graph.narrative_dedupe(subset_leaves(cand), abstract_leaves, known, cfg).select(
             F.col("subset_id").alias("fingerprint"), F.col("matched_id").alias("_dup"))
         gated = gated.join(dup, "fingerprint", "left").withColumn("dup_of", F.col("_dup")).drop("_dup")
-    order = [F.size("subset").desc(), F.round("support", 9).desc(), F.col("fingerprint")]
-    good = F.col("dup_of").isNull() & F.col("passed")
-    best = gated.filter(good).orderBy(*order).limit(1).select(
-        "fingerprint", F.md5("fingerprint").alias("fingerprint_md5"), "kept", "support", F.size("subset").alias("n")).collect()
+    enough = F.size("subset") >= cfg.min_size
+    good = F.col("dup_of").isNull() & enough & F.col("passed")
+    best = gated.filter(good).orderBy(F.col("_n").desc(), F.col("_s").desc(), "fingerprint").limit(1).select(
+        "fingerprint", F.md5("fingerprint").alias("fingerprint_md5"), "kept", "support", "_n", "_s").collect()
     bad = gated.filter(~good)
     if best:
-        b = best[0]
-        key = F.round("support", 9)
-        top = round(b.support, 9)
-        bad = bad.filter((F.size("subset") > b.n) | ((F.size("subset") == b.n) & (
-            (key > top) | ((key == top) & (F.col("fingerprint") < b.fingerprint)))))
-    marks = bad.select("fingerprint", F.coalesce("dup_of", F.lit(MARK_INCOHERENT)).alias("abstract_event_id"))
-    return marks, (best[0] if best else None)
+        b, n, s = best[0], F.col("_n"), F.col("_s")
+        bad = bad.filter((n > b._n) | ((n == b._n) & ((s > b._s) | ((s == b._s) & (F.col("fingerprint") < b.fingerprint)))))
+    reason = F.coalesce("dup_of", F.when(~enough, MARK_NOOP).otherwise(MARK_INCOHERENT))
+    return bad.select("fingerprint", reason.alias("abstract_event_id")), (best[0] if best else None)

@@ -171,8 +171,8 @@ def redline_compact(t):
 
 
 @query("force_save", with_ctes("""
-    select conv_id, 'shadow' as source, md5(x) as content_md5 from (select conv_id, string_agg(text, chr(10) order by turn)||chr(10)||'now '||conv_id as x from turns group by conv_id)
-    union all select conv_id, 'open-'||turn, md5(text) from turns where trim(text)<>''""", "turns"))
+    select conv_id, 'shadow' as source, md5(left(x,2000)) as content_md5 from (select conv_id, string_agg(text, chr(10) order by turn)||chr(10)||'now '||conv_id as x from turns group by conv_id)
+    union all select conv_id, 'open-'||turn, md5(left(text,2000)) from turns where trim(text)<>''""", "turns"))
 def force_save(t):
     opened = t.turn.select(F.col("conv_id").alias("owner"), F.col("turn").alias("item"), F.col("text").alias("content"))
     now = t.turn.select(F.col("conv_id").alias("owner"), F.concat(F.lit("now "), "conv_id").alias("text")).distinct()

@@ -17,6 +17,8 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(name, spark, con):
     df = registry.queries()[name](spark, PATH)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     sql = registry.oracle_sql().get(name)
     if sql is None:
         assert df.columns
