@@ -176,6 +176,20 @@ def event_weight(event_role: DataFrame, timeline: DataFrame, as_of: Column, cfg:
         "event_id", F.when(F.col("ptsd_immune"), F.lit(cfg.factor_cap)).otherwise(F.col("b.eff")).alias("w_i"))
 
 
+def event_standing(event_role: DataFrame, timeline: DataFrame, as_of: Column, cfg: MemoryConfig = DEFAULT,
+                   zero_factor: str = "as_one") -> DataFrame:
+    """Weight, silence and mean valence of each event from one join and one aggregation."""
+    joined = role_timeline_join(event_role, timeline)
+    eff = joined.withColumn("_eff", _effective(joined, as_of, cfg, zero_factor))
+    best = F.max(F.struct(scoring.importance_rank(F.col("importance")).alias("rank"), F.coalesce("_eff", F.lit(0.0)).alias("eff")))
+    weak = F.coalesce(F.col("_eff") < cfg.silence_threshold, F.lit(True))
+    return eff.groupBy("event_id").agg(
+        best.alias("b"), (F.max("arousal") > cfg.immune_arousal).alias("ptsd_immune"),
+        F.bool_and(weak).alias("is_silent"), F.avg("valence").alias("event_valence")).select(
+        "event_id", F.when(F.col("ptsd_immune"), F.lit(cfg.factor_cap)).otherwise(F.col("b.eff")).alias("w_i"),
+        "is_silent", "event_valence")
+
+
 def abstract_weight(leaf_weight: DataFrame, leaves: DataFrame) -> DataFrame:
     """An abstract event weighs as much as its strongest leaf."""
     return leaves.join(leaf_weight, "event_id", "left").groupBy(F.col("root").alias("event_id")).agg(

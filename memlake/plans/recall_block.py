@@ -29,13 +29,10 @@ def score_candidates(src: RecallInput, as_of: Column, cfg: MemoryConfig = DEFAUL
     query = src.hits.groupBy("query_id").agg(F.max("query_valence").alias("query_valence"))
     wanted = near.select("event_id").distinct()
     roles = src.event_role.join(wanted, "event_id", "left_semi")
-    entries = src.timeline.join(wanted, "event_id", "left_semi")
-    silent = tl.silence_check(roles, entries, as_of, cfg).filter("is_silent").select("event_id")
-    weight = tl.event_weight(roles, entries, as_of, cfg)
-    affect = roles.groupBy("event_id").agg(F.avg("valence").alias("event_valence"))
+    standing = tl.event_standing(roles, src.timeline, as_of, cfg)
     live = (
-        lake.visible_events(src.event).select("event_id", "abstract_coverage").join(wanted, "event_id", "left_semi")
-        .join(silent, "event_id", "left_anti").join(weight, "event_id", "left").join(affect, "event_id", "left"))
+        lake.visible_events(src.event).select("event_id", "abstract_coverage").join(standing, "event_id", "left")
+        .filter(~F.coalesce("is_silent", F.lit(False))))
     rows = near.join(live, "event_id").join(query, "query_id").select(
         "query_id", "event_id", "distance", "abstract_coverage", "query_valence",
         F.coalesce("w_i", F.lit(0.0)).alias("weight"), F.coalesce("event_valence", F.lit(0.0)).alias("event_valence"))
@@ -65,8 +62,8 @@ def reinforced_timeline(block: DataFrame, timeline: DataFrame, as_of: Column, cf
 
 
 def context_package(block: DataFrame, queries: DataFrame) -> DataFrame:
-    """One context text per query (`query_id`, `shadow`, `text`); blocks are under the redline."""
+    """Number of items and one context text per query (`query_id`, `shadow`, `text`); blocks are under the redline."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "text")))
-    joined = block.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), ITEM_SEPARATOR).alias("recall"))
+    joined = block.groupBy("query_id").agg(F.count("*").alias("items"), F.array_join(F.transform(ordered, lambda s: s["text"]), ITEM_SEPARATOR).alias("recall"))
     return queries.join(joined, "query_id", "left").select(
-        "query_id", context_text(F.col("recall"), F.col("shadow"), F.col("text")).alias("context"))
+        "query_id", F.coalesce("items", F.lit(0)).alias("items"), context_text(F.col("recall"), F.col("shadow"), F.col("text")).alias("context"))

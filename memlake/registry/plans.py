@@ -60,9 +60,7 @@ def recall_block(t):
 def recall_flow(t):
     block = rb.recall_block(recall_input(t), t.as_of)
     asks = t.hits.select("query_id").distinct().select("query_id", F.lit("").alias("shadow"), F.col("query_id").alias("text"))
-    text = rb.context_package(block, asks)
-    n = block.groupBy("query_id").agg(F.count("*").alias("items"))
-    return n.join(text, "query_id").select("query_id", "items", F.length("context").alias("context_chars"), F.md5("context").alias("context_md5"))
+    return rb.context_package(block, asks).filter("items > 0").select("query_id", "items", F.length("context").alias("context_chars"), F.md5("context").alias("context_md5"))
 
 
 _CHOSEN = """select 'Q-'||user_id as query_id, event_id, position, [content_raw,s1,s2,s3,s4] as texts from (

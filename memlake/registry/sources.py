@@ -15,7 +15,7 @@ _STOPS = "。.!?！？”』〉\"'"
 
 
 @query("corpus_trim", with_ctes(
-    f"""select page_id, length(t) as chars, md5(t) as body_md5 from (
+    f"""select page_id, length(t)::int as chars, md5(t) as body_md5 from (
         select page_id, {_STRIP.format(x="replace(case when strpos(b,'</body>')>0 then left(b, strpos(b,'</body>')-1) else b end, chr(13)||chr(10), chr(10))")} as t
         from (select page_id, case when strpos(html,'<body>')>0 then substr(html, strpos(html,'<body>')+6) else html end as b
               from pages))"""))
