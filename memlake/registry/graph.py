@@ -136,14 +136,14 @@ def mark_abstracted(t):
 @query("entity_text", with_ctes("""
     select e.event_id, coalesce(x.t, e.event_id) as entity_text from (select event_id from event union all select distinct 'ABS-'||(n//7) from event) e
     left join (select event_id, string_agg(words, ' ' order by via, pos) as t from (
-        select event_id, '' as via, pos, words from words where event_id in (select event_id from event where n%10<>3)
-        union all select 'ABS-'||(n//7), event_id, pos, words from words join (select event_id, n from event where n%10<>3) using (event_id))
+        select event_id, '' as via, pos, words from words where event_id in (select event_id from event where event_type<>'signup')
+        union all select 'ABS-'||(n//7), event_id, pos, words from words join (select event_id, n from event where event_type<>'signup') using (event_id))
       group by event_id) x using (event_id)""", "event_role", "role",
     words="select event_id, pos, r.role_id||coalesce(' '||array_to_string([name]||aliases,' '),'') as words from event_role r left join role using (role_id)"))
 def entity_text(t):
     leaves = t.event.select(F.concat(F.lit("ABS-"), F.floor(F.col("n") / 7)).alias("root"), "event_id")
     events = t.event.select("event_id").unionByName(leaves.select(F.col("root").alias("event_id")).distinct())
-    return roles.entity_text(events, t.event_role.filter("n % 10 <> 3"), t.role, leaves)
+    return roles.entity_text(events, t.event_role.filter("event_type <> 'signup'"), t.role, leaves)
 
 
 # -- split chains ------------------------------------------------------------------
@@ -173,9 +173,9 @@ def prefix_chain(t):
 
 
 @query("prefix_expand", with_ctes("""
-    select query_id, event_id, out_position, is_anchor, round(score,6) as score, case when gain>0 and over-before>0 then short else text end as text from (
+    select query_id, event_id, out_position, is_anchor, round(score,6) as score, case when gain>0 and over-before>0 then md5(short) else md5(text) end as text_md5 from (
       select *, coalesce(sum(gain) over (partition by query_id order by position, k rows between unbounded preceding and 1 preceding),0) as before from (
-        select *, sum(length(text)) over (partition by query_id) - 1200 as over,
+        select *, sum(length(text)) over (partition by query_id) - 20000 as over,
           row_number() over (partition by query_id order by position, k)::int as out_position,
           case when not is_anchor and length(short)<length(text) then length(text)-length(short) else 0 end as gain
         from (select *, '['||event_id||'] '||left(text,40)||'…' as short from (
@@ -183,25 +183,24 @@ def prefix_chain(t):
             coalesce(max(case when anchor then score end), arg_min(score, (position, k))) as score,
             coalesce(max(case when anchor then text end), arg_min(text, (position, k))) as text
           from (select query_id, event_id, position, 9 as k, true as anchor, score, text from block
-            union all select b.query_id, c.prefix_id, b.position, 3-c.depth, false, b.score*0.9::double, left(d.text, 150)
+            union all select b.query_id, c.prefix_id, b.position, 3-c.depth, false, b.score*0.9::double, d.text
               from block b join chain c on c.root=b.event_id join documents d on 'DOC-'||d.doc_id=c.prefix_id) r
           group by r.query_id, r.event_id)))) """, "hits", ce=_CHAIN_EDGE, vis=_VIS, chain=_CHAIN,
-    block="""select query_id, 'DOC-'||doc_id as event_id, position, 1/(60+position)::double as score, left(d.text, 200) as text from (
+    block="""select query_id, 'DOC-'||doc_id as event_id, position, 1/(60+position)::double as score, d.text from (
         select query_id, min(position) as position, doc from (select query_id, row_number() over (partition by query_id order by distance, event_id) as position,
-          substr(event_id,5)::bigint % (select count(*) from documents) as doc from hits) where position<=8 group by query_id, doc) b
+          substr(event_id,5)::bigint % (select count(*) from documents) as doc from hits) where position<=60 group by query_id, doc) b
       join documents d on d.doc_id=b.doc"""))
 def prefix_expand(t):
     w = Window.partitionBy("query_id").orderBy("distance", "event_id")
     docs = t.raw("documents")
     block = (
-        t.hits.withColumn("position", F.row_number().over(w)).filter("position <= 8")
+        t.hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= CFG.n_results)
         .withColumn("doc_id", F.substr("event_id", F.lit(5)).cast("long") % scalar(docs, F.count("*")))
         .groupBy("query_id", "doc_id").agg(F.min("position").alias("position")).join(docs.select("doc_id", "text"), "doc_id")
-        .select("query_id", F.concat(F.lit("DOC-"), "doc_id").alias("event_id"), "position", (1 / (60 + F.col("position"))).alias("score"),
-                F.substring("text", 1, 200).alias("text")))
-    texts = docs.select(F.concat(F.lit("DOC-"), "doc_id").alias("prefix_id"), F.substring("text", 1, 150).alias("text"))
-    out = recall.prefix_expand(block, chains(t).join(texts, "prefix_id"), 1200)
-    return out.select("query_id", "event_id", "out_position", "is_anchor", r6("score", "score"), "text")
+        .select("query_id", F.concat(F.lit("DOC-"), "doc_id").alias("event_id"), "position", (1 / (60 + F.col("position"))).alias("score"), "text"))
+    texts = docs.select(F.concat(F.lit("DOC-"), "doc_id").alias("prefix_id"), "text")
+    out = recall.prefix_expand(block, chains(t).join(texts, "prefix_id"), CFG.redline)
+    return out.select("query_id", "event_id", "out_position", "is_anchor", r6("score", "score"), F.md5("text").alias("text_md5"))
 
 
 @query("split_successor_link", with_ctes("""

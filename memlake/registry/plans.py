@@ -64,24 +64,24 @@ def recall_flow(t):
 
 
 _CHOSEN = """select 'Q-'||user_id as query_id, event_id, position, [content_raw,s1,s2,s3,s4] as texts from (
-  select *, row_number() over (partition by user_id order by value, event_id) as position from event_text) where position<=40"""
+  select *, row_number() over (partition by user_id order by value, event_id) as position from event_text) where position<=60"""
 
 
 @query("block_compress", with_ctes("""
-    select query_id, first>3000 as tight, case when first<=3000 then (select max(u) from (select sum(length(texts[1])) over (order by position) as u
-        from chosen i where i.query_id=o.query_id) where u<=3000)::bigint end as calm_chars, true as fits
+    select query_id, first>6000 as tight, case when first<=6000 then (select max(u) from (select sum(length(texts[1])) over (order by position) as u
+        from chosen i where i.query_id=o.query_id) where u<=6000)::bigint end as calm_chars, true as fits
     from (select query_id, arg_min(length(texts[1]), position) as first from chosen group by query_id) o""", "event_text", chosen=_CHOSEN))
 def block_compress(t):
     w = Window.partitionBy("user_id").orderBy("value", "event_id")
-    near = t.event.withColumn("position", F.row_number().over(w)).filter("position <= 40").select("event_id", "position")
+    near = t.event.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= CFG.n_results).select("event_id", "position")
     rows = t.event_text.join(near, "event_id")
     block = rows.select(F.concat(F.lit("Q-"), "user_id").alias("query_id"), "event_id", "position",
                         F.array(*[F.lit(f"L{k}") for k in range(5)]).alias("levels"),
                         F.array("content_raw", *[F.col("summaries")[f"L{k}"] for k in range(1, 5)]).alias("texts"))
-    first = block.groupBy("query_id").agg((F.min_by(F.length(F.get("texts", F.lit(0))), "position") > 3000).alias("tight"))
-    out = recall.block_compress(block, 3000).groupBy("query_id").agg(F.sum(F.length("text")).alias("chars"))
+    first = block.groupBy("query_id").agg((F.min_by(F.length(F.get("texts", F.lit(0))), "position") > 6000).alias("tight"))
+    out = recall.block_compress(block, 6000).groupBy("query_id").agg(F.sum(F.length("text")).alias("chars"))
     return first.join(out, "query_id").select("query_id", "tight", F.when(~F.col("tight"), F.col("chars")).alias("calm_chars"),
-                                              (F.col("chars") <= 3000).alias("fits"))
+                                              (F.col("chars") <= 6000).alias("fits"))
 
 
 _SEAL_LADDER = _ladder_sql().replace("text as s0", "left(text,2000) as s0")

@@ -24,6 +24,14 @@ def stream_windows(t):
     return jobs.latest(rows, ["window_start", "event_type"]).select(F.unix_micros("window_start").alias("start_us"), "event_type", "n")
 
 
+@query("stream_windows_sliding", """
+    select epoch_us(time_bucket(interval 1 hour, ts) - to_hours(i)) as start_us, event_type, count(*) as n from events, (values (0),(1)) v(i) group by all""")
+def stream_windows_sliding(t):
+    src = jobs.table_stream(t.spark, t.path, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = jobs.drain(jobs.window_counts(src, "ts", "event_type", "2 hours", "1 hour"), jobs.scratch(t.spark, "sliding"), "update")
+    return jobs.latest(rows, ["window_start", "event_type"]).select(F.unix_micros("window_start").alias("start_us"), "event_type", "n")
+
+
 @query("stream_dedupe", "select event_id, value from events")
 def stream_dedupe(t):
     src = jobs.table_stream(t.spark, t.path, "events").withColumn("ts", F.col("ts").cast("timestamp"))

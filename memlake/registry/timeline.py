@@ -17,9 +17,9 @@ _RET = "exp(-0.693*" + AGE_DAYS.format(a="create_time", b=_ASOF) + "/60.0)"
 
 @query("event_role_timeline_join", with_ctes("""
     select r.role_id, r.event_id, round(t.forgetting_factor,6) as forgetting_factor, t.event_id is null as is_forgotten
-    from event_role r left join (select * from timeline where n%3<>0) t using (role_id, event_id)""", "event_role", "timeline"))
+    from event_role r left join (select * from timeline where importance<>'D') t using (role_id, event_id)""", "event_role", "timeline"))
 def event_role_timeline_join(t):
-    out = tl.role_timeline_join(t.event_role, t.timeline.filter("n % 3 <> 0"))
+    out = tl.role_timeline_join(t.event_role, t.timeline.filter("importance <> 'D'"))
     return out.select("role_id", "event_id", r6("forgetting_factor", "forgetting_factor"), "is_forgotten")
 
 
@@ -97,10 +97,10 @@ def w_eff(t):
 @query("silence_check", with_ctes(f"""
     select event_id, bool_and(eff is null or eff<0.02) as is_silent from (
       select r.event_id, {_EFF} as eff from event_role r
-      left join (select * from timeline where n%3<>0) t on t.role_id=r.role_id and t.event_id=r.event_id) group by event_id""",
+      left join (select * from timeline where importance<>'D') t on t.role_id=r.role_id and t.event_id=r.event_id) group by event_id""",
     "event_role", "timeline", "clock"))
 def silence_check(t):
-    return tl.silence_check(t.event_role, t.timeline.filter("n % 3 <> 0"), t.as_of)
+    return tl.silence_check(t.event_role, t.timeline.filter("importance <> 'D'"), t.as_of)
 
 
 @query("ptsd_flag", with_ctes("select event_id, max(arousal)>0.8 as ptsd_immune from event_role group by event_id", "event_role"))

@@ -79,3 +79,23 @@ def test_sessions_and_repeats(spark, tmp_path):
     src = source(spark, tmp_path, [[(1, 0, T0, "a")], [(1, 0, T0, "a"), (1, 1, T0 + MIN, "b")]], TURN)
     out = jobs.drain(jobs.dedupe(src, "turn", "ts"), str(tmp_path / "out"))
     assert rows(out, "turn") == [(0,), (1,)]
+
+
+def test_session_windows_close_behind_the_watermark(spark, tmp_path):
+    src = source(spark, tmp_path, [[(1, 0, T0, "a"), (1, 1, T0 + 5 * MIN, "b")], [(1, 2, T0 + 300 * MIN, "c")], [(2, 0, T0 + 600 * MIN, "d")]], TURN)
+    out = jobs.drain(jobs.session_counts(src, "ts", "conv_id", "10 minutes"), str(tmp_path / "out"))
+    assert (1, 2) in rows(out, "conv_id", "n")
+
+
+def test_ingest_tables_agree_with_the_batch_sessions(spark, tmp_path):
+    from memlake.operators.segment import gap_sessions
+    turns = [(c, i, T0 + (i * 11 + (i // 4) * 60 + c) * MIN, f"text {c} {i}.") for i in range(12) for c in range(3)]
+    src = source(spark, tmp_path, [turns[:9], turns[9:20], turns[20:]], TURN)
+    jobs.ingest(src, str(tmp_path / "lake")).awaitTermination()
+    events = spark.read.parquet(str(tmp_path / "lake" / "event"))
+    batch = gap_sessions(spark.createDataFrame(turns, TURN), 30).groupBy("conv_id", "session_no").agg(F.count("*").alias("turns"))
+    last = batch.groupBy("conv_id").agg(F.max("session_no").alias("last"))
+    closed = batch.join(last, "conv_id").filter("session_no < last")
+    assert rows(events, "conv_id", "session_no", "turns") == rows(closed, "conv_id", "session_no", "turns")
+    log = spark.read.parquet(str(tmp_path / "lake" / "recall_log"))
+    assert log.count() == events.count() > 0
