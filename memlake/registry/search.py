@@ -232,7 +232,7 @@ def time_boundary(t):
     select query_id, event_id, round(distance,6) as distance, rn::int as place from (
       select *, row_number() over (partition by query_id order by distance, event_id) as rn from (
         select query_id, event_id, distance from (select *, row_number() over (partition by query_id order by distance, event_id) as r
-          from hits where create_time >= (select b from bound)) where r<=60
+          from hits where coalesce(create_time >= (select b from bound), true)) where r<=60
         union all
         select query_id, event_id, distance from (select *, row_number() over (partition by query_id order by distance, event_id) as r
           from hits h where create_time < (select b from bound) and exists (
