@@ -96,29 +96,30 @@ def closed_only(found: DataFrame) -> DataFrame:
     return found.join(shadowed, "subset", "left_anti")
 
 
-def closed_itemsets(log: DataFrame, as_of: Column, min_size: int, min_support: float, lam: float) -> DataFrame:
+def closed_itemsets(log: DataFrame, as_of: Column, min_size: int, min_support: float, lam: float,
+                    exact: bool = False) -> DataFrame:
     """Closed frequent sets with decayed support.
 
     Candidates are the pair intersections and their one-smaller subsets; those
     with enough support stay, unless a larger one is equally supported. The
     collapsed transactions and the frequent sets are each used several times,
-    so both are computed once and kept.
+    so both are computed once and kept. `exact=True` takes the intersections of
+    any number of transactions, which gives every closed frequent set.
     """
     sets = checkpointed(distinct_sets(log, as_of, lam))
-    cand = candidates(pair_intersections(sets, min_size), min_size)
+    met = intersection_closure(sets, min_size) if exact else pair_intersections(sets, min_size)
+    cand = candidates(met, min_size)
     found = checkpointed(subset_support(cand, sets).filter(F.col("support") + 1e-6 >= min_support))
     return closed_only(found)
 
 
-def frequent_subsets(log: DataFrame, min_size: int, min_support: int) -> DataFrame:
-    """All intersections of transactions (to any depth) with their plain support.
+def intersection_closure(sets: DataFrame, min_size: int) -> DataFrame:
+    """All intersections of one or more transactions with at least `min_size` items.
 
     Each round meets the newest intersections with the transactions until
     nothing new appears. Rare sets stay in the frontier, since a frequent set
     can be the meeting of rare ones. Rounds are checkpointed.
     """
-    zero = F.lit("1970-01-01").cast("timestamp")
-    sets = checkpointed(distinct_sets(log, zero, 0.0))
     base = sets.select("sid", "items").filter(F.size("items") >= min_size)
     seen = fresh = checkpointed(base.select(F.col("items").alias("subset")).distinct())
     while not fresh.isEmpty():
@@ -129,7 +130,15 @@ def frequent_subsets(log: DataFrame, min_size: int, min_support: int) -> DataFra
             F.size("subset") >= min_size).distinct()
         fresh = checkpointed(met.join(seen, "subset", "left_anti"))
         seen = seen.unionByName(fresh)
-    return subset_support(seen, sets).filter(F.col("txns") >= min_support).select("subset", F.col("txns").alias("support"))
+    return seen
+
+
+def frequent_subsets(log: DataFrame, min_size: int, min_support: int) -> DataFrame:
+    """All intersections of transactions with their plain, undecayed support."""
+    zero = F.lit("1970-01-01").cast("timestamp")
+    sets = checkpointed(distinct_sets(log, zero, 0.0))
+    return subset_support(intersection_closure(sets, min_size), sets).filter(
+        F.col("txns") >= min_support).select("subset", F.col("txns").alias("support"))
 
 
 def fired_anti(subsets: DataFrame, fired: DataFrame) -> DataFrame:

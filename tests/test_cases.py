@@ -190,6 +190,15 @@ def test_closed_sets_equal_brute_force(spark, seed, monkeypatch):
     assert got == brute_closed(sets, 2, 3)
 
 
+def test_exact_mode_gives_every_closed_set(spark):
+    from itertools import combinations
+    sets = [E6[:4], E6[1:5], E6[2:], [*E6[:3], "e6"], E6, E6[:5], ["e1", "e3", "e5"]]
+    sup = {c: sum(set(c) <= set(s) for s in sets) for n in range(2, 7) for c in combinations(E6, n)}
+    want = {c: n for c, n in sup.items() if n >= 2 and not any(set(c) < set(d) and m == n for d, m in sup.items())}
+    out = mining.closed_itemsets(log_of(spark, sets), F.lit(T0), 2, 2, 0.0, exact=True)
+    assert {tuple(r.subset): round(r.support) for r in out.collect()} == want
+
+
 def test_frequent_counts_agree_with_fpgrowth(spark):
     from pyspark.ml.fpm import FPGrowth
     log = log_of(spark, [E6] * 4 + [E6[:4]] * 2 + [E6[2:]] * 3)
