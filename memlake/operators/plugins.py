@@ -67,7 +67,7 @@ def evaluate(df: DataFrame, checks: Mapping[str, Evaluator], remediator: Remedia
 
 
 def text_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[Column], Column]:
-    """A column function from a text model; `load` runs once per Python worker."""
+    """A column function from a text model; `load` runs once per task."""
     cache: dict[str, object] = {}
 
     @F.pandas_udf("array<float>")
