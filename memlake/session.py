@@ -19,23 +19,30 @@ def local_session(name: str = "memlake", cpus: str = "8", memory: str = "12g") -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
     A machine-local folder is used only where the setting is absent and the
     session is local; a cluster without a shared folder gets an error instead.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="memlake-ckpt-")
-        sc.setCheckpointDir(shared)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        found = tempfile.mkdtemp(prefix="memlake-ckpt-")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -26,7 +26,3 @@ def test_query_equals_sql(name, spark, con):
     else:
         assert oracle.compare(df, con, sql) is None
 
-
-def test_names_do_not_use_reserved_words():
-    for name in NAMES:
-        assert not name.startswith("op") and "pipeline" not in name and "llm" not in name
