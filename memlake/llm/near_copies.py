@@ -24,7 +24,7 @@ from memlake.llm.components import components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-LEAF_ROWS = 8192
+LEAF_ROWS = 65_536
 TREE_SAMPLE = 65_536
 _CHUNK = 1 << 16
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
