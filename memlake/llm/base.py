@@ -51,14 +51,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most `bound` labelled documents in an order by hash: (doc_id, y, text), none of them held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, even: bool = False) -> DataFrame:
+    """At most `bound` labelled documents in an order by hash: (doc_id, y, weight, text), none of them held out.
 
-    Repeated labels of one document are averaged, ties count as 1; null labels are left out.
+    Repeated labels of one document are averaged, ties count as 1; null labels
+    are left out. With `even`, each of the two labels has at most half of the
+    bound, and `weight` is how many labelled rows each sampled one stands for.
     The ids are bounded, so broadcasting them is safe at any size of the corpus.
     """
-    ids = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-           .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-           .filter(~held_out(F.col("doc_id")))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+    known = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+             .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+             .filter(~held_out(F.col("doc_id"))))
+
+    def first(rows: DataFrame, most: int, share: float) -> DataFrame:
+        return rows.withColumn("weight", F.lit(share)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    if even:
+        half = bound // 2
+        sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+        ids = (first(known.filter("y = 0"), half, max(1.0, sizes.get(0, 0) / half))
+               .unionByName(first(known.filter("y = 1"), half, max(1.0, sizes.get(1, 0) / half))))
+    else:
+        ids = first(known, bound, 1.0)
     return text_rows(docs).join(F.broadcast(ids), "doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import bpe, near_copies
+from memlake.llm import bpe, decontaminate, hilbert, near_copies, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,26 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+@query("op3_decontamination")
+def decontamination(spark, path):
+    return decontaminate.contamination(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
+@query("op4_toxicity")
+def toxicity_grades(spark, path):
+    return toxicity.toxicity(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query("op5_quality_votes")
+def quality_votes(spark, path):
+    return quality.quality(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query("op6_hilbert_neighbours")
+def hilbert_neighbours(spark, path):
+    return hilbert.neighbours(table(spark, path, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 @query("op7_simhash_near_dup")
 def simhash_near_dup(spark, path):
     found = near_copies.near_copies(table(spark, path, "documents"))
@@ -44,3 +64,17 @@ def simhash_near_dup(spark, path):
 @query("op8_byte_bpe")
 def byte_bpe(spark, path):
     return bpe.digests(table(spark, path, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query("op10_secret_grammar")
+def secret_grammar(spark, path):
+    def written(spans):
+        kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s.kind], s.start, s.end)), ",")
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == secrets.KINDS.index(kind))).cast("bigint")
+    base = F.filter("spans", lambda s: s.kind < secrets.KINDS.index("format"))
+    return secrets.scan(table(spark, path, "documents")).select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
