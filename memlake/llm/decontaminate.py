@@ -161,7 +161,7 @@ class Items:
                 mine = at[np.isin(keys[at], self.keys[size, n])] if len(self.lengths[size]) > 1 else at
                 if len(mine) and len(keys) >= n:
                     self._windows(keys, n, mine, size, best)
-        return [(i, s, p) for i, (s, p) in sorted(best.items())]
+        return sorted(((i, s, p) for i, (s, p) in best.items()), key=lambda h: (h[0] is not None, h[0]))
 
     def _windows(self, keys: np.ndarray, n: int, at: np.ndarray, size: int, best: dict) -> None:
         """Fingerprint the windows of n shingles that hold one of the positions `at`, a stretch at a time."""

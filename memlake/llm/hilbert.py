@@ -107,6 +107,7 @@ def _nearest(k: int, window: int):
             rank, ids = rows.column("rank").to_numpy(), rows.column("class_id").to_numpy()
             for row, at, own in zip(q, asked.column("rank").to_pylist(), asked.column("class_id").to_pylist()):
                 near = np.flatnonzero(np.abs(rank - at) <= window)
+                near = near[np.unique(ids[near], return_index=True)[1]]  # a window may reach into the next curve
                 d = np.sqrt(((x[near] - row) ** 2).sum(axis=1))
                 if len(d) > k + 1:
                     short = d <= np.partition(d, k)[k]

@@ -165,14 +165,17 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Voters:
 
 
 def scored(docs: DataFrame, model: Voters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of every row with `score`; each task streams its rows past the broadcast vectors.
+    """The columns `keep` of every row and the score last (named `score`, with underscores before it where that name is kept); each task streams its rows past the broadcast vectors.
 
     The labelled vectors are at most FIT_ROWS x RANK numbers, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     text = F.coalesce(F.col("text"), F.lit(""))
     frame = docs.select(*keep, text.alias("_whole_text"))
-    out = docs.select(*keep).schema.add("score", "double")
+    name = "score"
+    while name in keep:
+        name = "_" + name
+    out = docs.select(*keep).schema.add(name, "double")
 
     def run(batches):
         features, model = Features(), Voters(**shared.value)
@@ -180,7 +183,7 @@ def scored(docs: DataFrame, model: Voters, keep: tuple[str, ...] = ("doc_id",))
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 score = model.vote(features.rows(part.column(part.num_columns - 1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*keep, name])
     return frame.mapInArrow(run, out)
 
 
@@ -200,4 +203,5 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFr
 def accepted(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
     """The rows of `docs` that the classifier does not reject, as they are: the text column is sent along once more as itself."""
     names = tuple(docs.columns)
-    return scored(docs, train(docs, labels, bound), names).filter("score >= 0.5").select(*names)
+    out = scored(docs, train(docs, labels, bound), names)
+    return out.filter(F.col(out.columns[-1]) >= 0.5).select(*names)
