@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
@@ -12,27 +11,18 @@ from memlake.operators.ordered import exact_percentile, first_per_key
 
 
 def rrf_single(hits: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Rank score of each query's nearest hits, then its modifiers.
+    """Rank score of all hits of each query, then its modifiers, then the best 60.
 
-    The modifiers can lift a hit past others, so every rank counts for the
-    cut. They are bounded: factor by the weight cap, mood by 1+β. A hit too
-    far down to reach the 60th place even with both at most is left out early.
+    The modifiers can lift a hit past any other, so every hit is ranked and
+    scored before the one cut; only the cut is a limit.
     """
-    most = scoring_bound(cfg)
-    reach = int((cfg.rrf_k + cfg.n_results) * most) + 1
-    ranked = first_per_key(hits, ["query_id"], [F.col("distance"), F.col("event_id")], reach, "rank")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "event_id"))
     score = (1 / (cfg.rrf_k + F.col("rank")) * scoring.factor_modifier(F.col("weight"), cfg)
              * affect.mood_modifier(F.col("event_valence"), F.col("query_valence"), cfg))
-    scored = ranked.withColumn("score", score)
+    scored = hits.withColumn("rank", rank).withColumn("score", score)
     return first_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("event_id")], cfg.n_results, "place")
 
 
-def scoring_bound(cfg: MemoryConfig) -> float:
-    """Largest product of factor and mood modifier (weight at its cap, |valence| at 1)."""
-    import math
-    return (1 + cfg.factor_alpha * math.log10(1 + cfg.factor_cap)) * (1 + cfg.mood_beta)
-
-
 def rrf_dual(stream_a: DataFrame, stream_b: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Fusion of two searches of 60 hits each; the factor counts only for hits of stream B."""
     order = [F.col("distance"), F.col("event_id")]
@@ -133,63 +123,62 @@ def tier_offsets(pairs: DataFrame, event_role: DataFrame, focus: DataFrame, cfg:
 
 
 # -- compression -------------------------------------------------------------
-BLOCK = "query_id string, event_id string, position int, level string, text string"
+def _descent(texts: Column, start: int) -> Column:
+    """How many levels in a row from `start` on are each strictly shorter than the one before."""
+    size = F.transform(texts, lambda x: F.length(x))
+    later = F.slice(size, start + 2, F.greatest(F.size(size) - start - 1, F.lit(0)))
+    shorter = F.zip_with(later, F.slice(size, start + 1, F.greatest(F.size(size) - start - 1, F.lit(0))), lambda b, a: b < a)
+    return F.coalesce(F.nullif(F.array_position(shorter, False), F.lit(0)) - 1, F.size(shorter)).cast("int")
+
+
+def block_levels(block: DataFrame, ceiling: int, cfg: MemoryConfig = DEFAULT) -> DataFrame:
+    """Every row of a block with the level and text it gets and whether the block keeps it.
+
+    A block is shortened only while its first text alone is over the ceiling, so the
+    number of steps follows from that text. In a step every row of the tail goes one
+    level down while that shortens it; when none can, the last row of the head goes
+    down one level and joins the tail. Hence a tail row stands at min(steps, its
+    descent), and row j of the head starts to move once the tail and all head rows
+    behind it are through. If `compress_rounds` steps do not help, the first text
+    becomes a stub and is kept alone if that fits. Rows not kept have `kept` false.
+    """
+    first = F.get("texts", F.lit(0))
+    line = Window.partitionBy("query_id").orderBy("position")
+    whole = Window.partitionBy("query_id")
+    rows = block.withColumns({"_row": F.row_number().over(line), "_rows": F.count("*").over(whole), "_tail": _descent(F.col("texts"), 0)})
+    rows = rows.withColumn("_in_head", F.col("_row") <= F.floor(F.col("_rows") * cfg.head_ratio))
+    behind = line.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("_own", F.when(F.col("_in_head"), 1 + _descent(F.col("texts"), 1)).otherwise(0))
+    tail_steps = F.max(F.when(~F.col("_in_head"), F.col("_tail")).otherwise(0)).over(whole)
+    rows = rows.withColumn("_from", F.when(F.col("_in_head"), tail_steps + F.coalesce(F.sum("_own").over(behind), F.lit(0))).otherwise(0))
+    rows = rows.withColumn("_most", F.when(F.col("_in_head"), F.col("_own")).otherwise(F.col("_tail")))
+    # the first text that is not empty decides; its levels are looked through from the top
+    sizes = F.transform("texts", lambda x: F.length(x))
+    down = F.filter(F.sequence(F.lit(0), F.least(F.col("_most"), F.size("texts") - 1)), lambda d: F.get(sizes, d) <= ceiling)
+    need = F.when(F.length(first) <= ceiling, F.lit(0)).otherwise(F.col("_from") + F.get(down, F.lit(0)))
+    opening = F.min(F.when(F.length(first) > 0, F.struct("position", F.coalesce(need, F.lit(cfg.compress_rounds)).alias("steps")))).over(whole)
+    rows = rows.withColumn("_opening", opening)
+    fits = F.col("_opening.steps") < cfg.compress_rounds
+    depth = F.least(F.greatest(F.least(F.col("_opening.steps"), F.lit(cfg.compress_rounds)) - F.col("_from"), F.lit(0)), F.col("_most"), F.size("texts") - 1)
+    rows = rows.withColumn("_text", F.get("texts", depth)).withColumn("_level", F.get("levels", depth))
+    stub = F.concat(F.lit("["), F.col("event_id"), F.lit("] "), F.substring("_text", 1, cfg.stub_chars), F.lit("…"))
+    opens = F.col("position") == F.col("_opening.position")
+    text = F.when(~fits & opens, stub).otherwise(F.col("_text"))
+    rows = rows.withColumn("text", text).withColumn("level", F.when(~fits & opens, F.lit("ultra")).otherwise(F.col("_level")))
+    used = F.sum(F.length("text")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = (F.length("text") > 0) & (used <= ceiling) & (fits | opens)
+    out = rows.withColumn("kept", F.coalesce(kept, F.lit(False)))
+    return out.select("query_id", "event_id", "position", "level", "text", "kept")
 
 
 def block_compress(block: DataFrame, ceiling: int, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Cut blocks to the ceiling; compress those whose first text alone is too long.
+    """The rows that a block keeps under its ceiling, numbered anew.
 
     `block` has at most 60 rows per query with `levels` and `texts` arrays from
-    the chosen level on. Only a block that starts too long takes the grouped step.
+    the chosen level on. `block_levels` also tells which rows were dropped.
     """
-    first = F.get(F.col("texts"), F.lit(0))
-    opening = block.filter(F.length(first) > 0).groupBy("query_id").agg(
-        F.min(F.struct("position", F.length(first).alias("len"))).alias("o"))
-    staged = block.join(opening.select("query_id", (F.col("o.len") > ceiling).alias("tight")), "query_id")
-    calm = budget_prefix(staged.filter(~F.col("tight")).withColumn("text_len", F.length(first)).drop("used"),
-                         ceiling, order=[F.col("position")])
-    calm = calm.select("query_id", "event_id", "position", F.get("levels", F.lit(0)).alias("level"), first.alias("text"))
-    tight = staged.filter("tight").select("query_id", "event_id", "position", "levels", "texts")
-    return calm.unionByName(tight.groupBy("query_id").applyInPandas(lambda pdf: _tighten(pdf, ceiling, cfg), BLOCK))
-
-
-def _tighten(pdf: pd.DataFrame, ceiling: int, cfg: MemoryConfig) -> pd.DataFrame:
-    """Rounds of shortening for one block of at most 60 rows."""
-    pdf = pdf.sort_values("position").reset_index(drop=True)
-    n = len(pdf)
-    depth, head = [0] * n, int(n * cfg.head_ratio)
-    at = lambda i, extra=0: min(depth[i] + extra, len(pdf.texts[i]) - 1)
-    text = lambda i, extra=0: pdf.texts[i][at(i, extra)]
-    shorter = lambda i: at(i, 1) != at(i) and len(text(i, 1)) < len(text(i))
-    kept: list[int] = []
-    for _ in range(cfg.compress_rounds):
-        kept, used = [], 0
-        for i in range(n):
-            if text(i):
-                if kept and used + len(text(i)) > ceiling:
-                    break
-                kept.append(i)
-                used += len(text(i))
-        if used <= ceiling:
-            break
-        able = [i for i in range(head, n) if shorter(i)]
-        if able:
-            for i in able:
-                depth[i] += 1
-        elif head:
-            head -= 1
-            depth[head] += 1
-        else:
-            break
-    rows, used = [], 0
-    for i in kept:
-        level, body = pdf.levels[i][at(i)], text(i)
-        if used + len(body) > ceiling:
-            level, body = "ultra", f"[{pdf.event_id[i]}] {body[:cfg.stub_chars]}…"
-        if used + len(body) <= ceiling:
-            used += len(body)
-            rows.append((pdf.query_id[i], pdf.event_id[i], len(rows) + 1, level, body))
-    return pd.DataFrame(rows, columns=["query_id", "event_id", "position", "level", "text"])
+    kept = block_levels(block, ceiling, cfg).filter("kept").drop("kept")
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("position")))
 
 
 def prefix_expand(block: DataFrame, chains: DataFrame, redline: int, cfg: MemoryConfig = DEFAULT) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,26 +20,32 @@ def read_corpus(spark: SparkSession, path: str, start: str, end: str) -> DataFra
     return raw.select("path", trim_markers(F.col("value"), start, end).alias("text"))
 
 
-def _pieces(doc_id: int, text: str, low: int, high: int, stops: str) -> Iterator[tuple[int, str]]:
-    at, number, total = 0, 0, len(text)
-    while at < total:
-        number += 1
-        if total - at <= high:
-            cut = total
-        else:
-            aim = at + low + zlib.crc32(f"{doc_id}:{number}".encode()) % (high - low + 1)
-            before = max(text.rfind(s, at, aim + 1) for s in stops)
-            after = min((p for p in (text.find(s, aim) for s in stops) if p >= 0), default=-1)
-            if before <= at + low // 2:
-                before = -1
-            if before >= 0 and (after < 0 or aim - before <= after - aim):
-                cut = before + 1
-            else:
-                cut = after + 1 if after >= 0 else aim
-        while cut < total and text[cut] in CLOSING_MARKS:
-            cut += 1
-        yield number, text[at:cut]
-        at = cut
+def _cuts(doc_id: int, text: str, low: int, high: int, stops: str) -> list[int]:
+    """Ends of the pieces of one text.
+
+    All places where a sentence stops are known beforehand, as is for each place
+    the first one behind it that is no closing mark. The aim of a piece lies
+    between two stops; the nearer one ends it, the earlier of equals, unless it
+    would leave half a minimal piece or less. Without either, the aim itself ends it.
+    """
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    stop = np.flatnonzero(np.isin(chars, [ord(c) for c in stops]))
+    open_at = np.append(np.flatnonzero(~np.isin(chars, [ord(c) for c in CLOSING_MARKS])), len(text))
+    ends = [0]
+    while ends[-1] + high < len(text):
+        at = ends[-1]
+        aim = at + low + zlib.crc32(f"{doc_id}:{len(ends)}".encode()) % (high - low + 1)
+        usable, nearest = np.searchsorted(stop, [at + low // 2 + 1, aim])
+        around = stop[max(usable, nearest - 1):nearest + 1]
+        end = int(around[np.abs(around - aim).argmin()]) + 1 if len(around) else aim
+        ends.append(int(open_at[np.searchsorted(open_at, end)]))
+    return ends[1:] + [len(text)] * (ends[-1] < len(text))
+
+
+def _pieces(doc_id: int, text: str | None, low: int, high: int, stops: str) -> Iterator[tuple[int, str]]:
+    ends = _cuts(doc_id, text, low, high, stops) if text else []
+    for number, (a, b) in enumerate(zip([0, *ends], ends), 1):
+        yield number, text[a:b]
 
 
 def corpus_chunk(df: DataFrame, low: int = 300, high: int = 2000, stops: str = CHUNK_STOPS) -> DataFrame:
