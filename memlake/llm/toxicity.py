@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm.base import by_row, held_out, labelled_sample, stored, text_rows
 
-FIT_ROWS = 8000
-VOCABULARY = 60_000
+FIT_ROWS = 4000
+VOCABULARY = 20_000
 LEAST_ROWS = 4
+SCREEN = 4.0
 BEGINNINGS = (4, 5)
 KNOWN_WORDS = 300_000
 GRADES = 3
-PENALTY = 4e-4
-ROUNDS = 300
+PENALTY = 5e-5
+ROUNDS = 800
 _WORD = re.compile(r"\w+").findall
 
 
@@ -130,7 +131,11 @@ def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grader:
-    """Fit on at most `bound` labelled rows that are not held out, over words that several of them hold."""
+    """Fit on at most `bound` labelled rows that are not held out.
+
+    Spark counts in how many rows of either label each feature occurs; those
+    whose shares differ by SCREEN standard errors or more, VOCABULARY at most, reach the driver.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("weight", pa.float64()), ("word", pa.string()), ("n", pa.int32())])
 
     def each(rows):
@@ -139,13 +144,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grader:
                 yield doc_id, y, weight, word, n
     sample = labelled_sample(docs, labels, "toxic", bound, even=True).select("doc_id", "y", "weight", "text")
     words = stored(sample.mapInArrow(by_row(each, schema, 20_000), "doc_id bigint, y int, weight double, word string, n int"), "words")
-    known = (words.groupBy("word").agg(F.count("*").alias("docs")).filter(F.col("docs") >= LEAST_ROWS)
-             .orderBy(F.desc("docs"), "word").limit(VOCABULARY).select("word").toPandas()["word"].tolist())
-    place = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(sorted(known))], "word string, col int")
     ys = words.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("weight").alias("weight")).toPandas().sort_values("doc_id")
-    got = words.join(F.broadcast(place), "word").groupBy("doc_id", "col").agg(F.sum("n").alias("n")).toPandas().sort_values(["doc_id", "col"])
+    n1 = max(1, int((ys["y"] > 0).sum()))
+    n0 = max(1, len(ys) - n1)
+    share = (F.col("docs") + 1) / (n1 + n0 + 2)
+    z = (F.col("bad") / n1 - (F.col("docs") - F.col("bad")) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    known = (words.groupBy("word").agg(F.count("*").alias("docs"), F.sum("y").alias("bad")).withColumn("z", F.abs(z))
+             .filter((F.col("docs") >= LEAST_ROWS) & (F.col("z") >= SCREEN))
+             .orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").toPandas()["word"].tolist())
+    place = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(sorted(known))], "word string, col int")
+    got = words.join(F.broadcast(place), "word").groupBy("doc_id", "col").agg(F.sum("n").cast("int").alias("n")).toPandas().sort_values(["doc_id", "col"], ignore_index=True)
     row = np.searchsorted(ys["doc_id"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64))
     col, count = got["col"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
+    del got
     y, width = ys["y"].to_numpy(np.int64), len(known)
     grade = grades(row, col, count, y, width)
     w, theta = fit(row, col, np.log1p(count), grade, ys["weight"].to_numpy(np.float64), width)
