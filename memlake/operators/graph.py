@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import vectors
-from memlake.operators.ordered import running_total, with_time_slot
+from memlake.operators.ordered import running_total
 from memlake.session import checkpointed
 
 
@@ -128,7 +128,7 @@ def abstract_build(members: DataFrame, nodes: DataFrame, evidence: DataFrame) ->
     stats = leaf_evidence_stats(evidence)
     order = [F.col("create_time"), F.col("event_id")]
     size = (F.length("content_raw") + 1).cast("long")
-    placed = running_total(with_time_slot(evidence, "create_time"), ["subset_id"], order, size, "upto")
+    placed = running_total(evidence, ["subset_id"], order, size, "upto")
     lead = (
         placed.join(stats.select("subset_id", "target_len"), "subset_id").filter(F.col("upto") - size <= F.col("target_len"))
         .groupBy("subset_id", "target_len").agg(F.array_sort(F.collect_list(F.struct("upto", "event_id", "content_raw"))).alias("t"))

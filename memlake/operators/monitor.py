@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from memlake.config import (ABSTRACT_PHASES, DEFAULT, DEFAULT_PHASE_LIMIT_MS, PHASE_LIMIT_MS,
                             RECALL_PHASES, MemoryConfig)
 from memlake.functions import scoring
-from memlake.operators.ordered import (SLOT, first_per_key, row_position, with_preceding,
-                                       with_time_slot)
+from memlake.operators.ordered import SLOT, first_per_key, row_position, with_preceding
 
 
 def audit_schedule(events: DataFrame, source: str, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Every N-th ingest of a source."""
-    placed = row_position(with_time_slot(events, "create_time"), [source],
-                          [F.col("create_time"), F.col("event_id")], "seq")
-    return placed.filter(F.col("seq") % cfg.audit_every == 0).drop(SLOT)
+    placed = row_position(events, [source], [F.col("create_time"), F.col("event_id")], "seq")
+    return placed.filter(F.col("seq") % cfg.audit_every == 0)
 
 
 def phase_limit(phase: Column) -> Column:
@@ -30,7 +28,7 @@ def phase_limit(phase: Column) -> Column:
 def perf_rolling_mean(samples: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Mean of the last 32 samples at every sample; each phase may be hot, so it is slotted."""
     n = cfg.perf_window
-    src = with_time_slot(samples, "create_time").select("phase", "seq", "elapsed_ms", SLOT)
+    src = samples.select("phase", "seq", "elapsed_ms")
     frame = Window.partitionBy("phase", SLOT).orderBy("seq").rowsBetween(1 - n, 0)
     return (
         with_preceding(src, ["phase"], ["seq"], n - 1)
@@ -74,7 +72,7 @@ def quality_ema(rates: DataFrame, key: str, order: list[str], rate: str, out: st
     a = min(max(cfg.ema_alpha, 1e-6), 1.0)
     depth = 1 if a == 1.0 else math.ceil(40 / -math.log1p(-a))
     src = rates.withColumn("_r", F.least(F.greatest(F.col(rate), F.lit(0.0)), F.lit(1.0)))
-    src = src.select(key, *order, "_r", SLOT)
+    src = src.select(key, *order, "_r")
     frame = Window.partitionBy(key, SLOT).orderBy(*order).rowsBetween(-depth, 0)
     staged = with_preceding(src, [key], order, depth).withColumn("_h", F.collect_list("_r").over(frame))
     folded = F.aggregate(F.slice("_h", F.lit(2), F.size("_h")), F.get(F.col("_h"), F.lit(0)),

@@ -1,83 +1,69 @@
 """Ordered computations that stay parallel when one key holds a third of all rows.
 
-A plain window over a hot key sorts that key in one task. These helpers split
-each key into slots that follow the order (usually time), work inside a slot,
-and carry only small per-slot summaries from one slot to the next.
+A plain window over a hot key sorts that key in one task. These helpers cut the
+rows into slots of bounded size along (key, order), work inside a slot, and
+carry only small per-slot summaries from one slot to the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from memlake.session import checkpointed
+
 SLOT = "_slot"
-DEFAULT_SLOT_SECONDS = 6 * 3600
 ROWS_PER_SLOT = 200_000
+CELLS = 4096
 
 
-def time_slot(ts: Column, seconds: int = DEFAULT_SLOT_SECONDS) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
-
-
-def with_time_slot(df: DataFrame, ts: str, seconds: int = DEFAULT_SLOT_SECONDS) -> DataFrame:
-    return df.withColumn(SLOT, time_slot(F.col(ts), seconds))
+def by_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Rows with a slot number that follows (keys, order), about `rows_per_slot` rows each.
 
+    Slots are the parts of a range partitioning, so equal keys and equal times
+    are cut as well, wherever `order` ends with something unique. A table that
+    fits one slot is left as it is. The parts are stored, since their numbers must
+    not change between the uses of a slot.
+    """
+    slots = -(-df.count() // rows_per_slot)
+    if slots <= 1:
+        return df.withColumn(SLOT, F.lit(0))
+    cut = df.repartitionByRange(slots, *[F.col(k) for k in keys], *order)
+    return checkpointed(cut.withColumn(SLOT, F.spark_partition_id()))
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column,
-                  out: str, descending: bool = False) -> DataFrame:
-    """Inclusive running total of an integer value per key in `order`.
 
-    The input carries a `_slot` column that follows the order; pass
-    `descending=True` when `order` runs from newest to oldest.
-    """
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str,
+                  rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Inclusive running total of an integer value per key in `order`."""
     keys = list(keys)
-    staged = df.withColumn("_v", value)
-    slot_order = F.col(SLOT).desc() if descending else F.col(SLOT).asc()
-    before = Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, -1)
+    staged = by_rows(df.withColumn("_v", value), keys, order, rows_per_slot)
+    before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         staged.groupBy(*keys, SLOT).agg(F.sum("_v").alias("_t"))
-        .select(*keys, SLOT, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    )
+        .select(*keys, SLOT, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before")))
     inside = (Window.partitionBy(*keys, SLOT).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        staged.join(offsets, [*keys, SLOT])
-        .withColumn(out, F.sum("_v").over(inside) + F.col("_before"))
-        .drop("_v", "_before")
-    )
+    return (staged.join(offsets, [*keys, SLOT]).withColumn(out, F.sum("_v").over(inside) + F.col("_before"))
+            .drop("_v", "_before", SLOT))
 
 
 def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str,
-                 descending: bool = False) -> DataFrame:
+                 rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """1-based position of every row in its key's order."""
-    return running_total(df, keys, order, F.lit(1), out, descending)
-
-
-def balanced(df: DataFrame, keys: Sequence[str], rows_per_slot: int) -> DataFrame:
-    """Merge neighbouring slots of a key until each holds about `rows_per_slot` rows.
-
-    Keys with few rows end up in a single slot, hot keys keep many.
-    """
-    keys = list(keys)
-    before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    merged = (
-        df.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_c"))
-        .select(*keys, SLOT, F.floor(F.coalesce(F.sum("_c").over(before), F.lit(0)) / rows_per_slot).alias("_merged")))
-    return df.join(merged, [*keys, SLOT]).drop(SLOT).withColumnRenamed("_merged", SLOT)
+    return running_total(df, keys, order, F.lit(1), out, rows_per_slot)
 
 
 def with_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
                    rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """Prepend to every slot the last n rows before it, flagged `_carried`.
+    """Prepend to every slot the last n rows of its key before it, flagged `_carried`.
 
     A window frame of n preceding rows over (key, slot) then sees what it
-    would over the key. Slots are balanced first, so carried rows are few
-    beside a slot's own. Every slot keeps at most its last n rows, and n
+    would over the key. Every slot keeps at most its last n rows, and n
     non-empty slots hold at least n rows, so looking back n slots is exact.
     """
     keys = list(keys)
-    df = balanced(df, keys, rows_per_slot)
+    df = by_rows(df, keys, [F.col(c) for c in order], rows_per_slot)
     newest = Window.partitionBy(*keys, SLOT).orderBy(*[F.col(c).desc() for c in order])
     row = F.struct(*[F.col(c) for c in df.columns if c not in keys and c != SLOT])
     tails = (
@@ -95,65 +81,55 @@ def with_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], n:
     return df.withColumn("_carried", F.lit(False)).unionByName(carried)
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str,
-                     cells: int = 4096) -> DataFrame:
-    """Linear-interpolated percentile per key without gathering a key's values.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float],
+                      rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Linear-interpolated percentiles per key, all from one pass, without gathering a key's values.
 
-    Counts per value cell locate the one or two cells that hold the two
-    neighbouring ranks; only the rows of those cells are then ordered.
+    Equal values are counted together first, so neither ties nor outliers make a
+    large slot. Keys without a value have none of the percentiles.
     """
     keys = list(keys)
-    spread = df.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * cells)).otherwise(F.lit(0))
-    placed = df.filter(F.col(value).isNotNull()).join(spread, keys).withColumn("_cell", cell.cast("int"))
-    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    pos = (F.col("_n") - 1) * F.lit(min(max(p, 0.0), 1.0))
-    wanted = (
-        placed.groupBy(*keys, "_cell", "_n").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-        .withColumn("_r0", F.floor(pos)).withColumn("_r1", F.ceil(pos)).withColumn("_w", pos - F.floor(pos))
-        .filter((F.col("_before") <= F.col("_r1")) & (F.col("_before") + F.col("_c") > F.col("_r0")))
-        .select(*keys, "_cell", "_before", "_r0", "_r1", "_w")
-    )
-    inside = (Window.partitionBy(*keys, "_cell").orderBy("_x")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    distinct = (
-        placed.select(*keys, "_cell", F.col(value).alias("_x")).join(wanted, [*keys, "_cell"])
-        .groupBy(*keys, "_cell", "_before", "_r0", "_r1", "_w", "_x").agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_end", F.col("_before") + F.sum("_m").over(inside))
-    )
-    hit = lambda r: (F.col("_end") > F.col(r)) & (F.col("_end") - F.col("_m") <= F.col(r))
-    return distinct.groupBy(*keys).agg(
-        (F.max(F.when(hit("_r0"), F.col("_x"))) * (1 - F.max("_w"))
-         + F.max(F.when(hit("_r1"), F.col("_x"))) * F.max("_w")).alias(out))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_m"))
+    placed = running_total(counts, keys, [F.col("_x")], F.col("_m"), "_end", rows_per_slot)
+    total = counts.groupBy(*keys).agg(F.sum("_m").alias("_n"))
+    rows = placed.join(total, keys)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_m") <= rank), F.col("_x")))
+
+    def percentile(p: float) -> Column:
+        pos = (F.col("_n") - 1) * F.lit(min(max(p, 0.0), 1.0))
+        share = F.max(pos - F.floor(pos))
+        return at(F.floor(pos)) * (1 - share) + at(F.ceil(pos)) * share
+    return rows.groupBy(*keys).agg(*[percentile(p).alias(out) for out, p in wanted.items()])
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, out: str,
+                     rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    return exact_percentiles(df, keys, value, {out: p}, rows_per_slot)
 
 
-def value_at_rank(df: DataFrame, value: str, rank: Column, out: str) -> DataFrame:
-    """The value at a 0-based ascending rank of a whole long column, as one row.
+def value_at_rank(df: DataFrame, value: str, rank: Callable[[int], int]) -> int | None:
+    """The value at a 0-based ascending rank of a whole long column; `rank` gets the number of values.
 
-    Three rounds of counting narrow the range by high bits, so each
-    global window orders at most 2**18 counts plus the span of the top bits.
+    Each scan counts at most CELLS cells of the range that is left, and only those
+    counts reach the driver; a range of microseconds over a century takes five scans.
     """
-    def narrow(src: DataFrame, shift: int) -> DataFrame:
-        upto = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-        cell = F.shiftright(F.col(value), shift) if shift else F.col(value)
-        counts = src.groupBy(cell.alias("_k"), "_rank").agg(F.count(F.lit(1)).alias("_c"))
-        found = (
-            counts.withColumn("_b", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-            .filter((F.col("_b") <= F.col("_rank")) & (F.col("_b") + F.col("_c") > F.col("_rank")))
-            .select(F.col("_k"), (F.col("_rank") - F.col("_b")).alias("_rank"))
-        )
-        if shift == 0:
-            return found.select(F.col("_k").alias(out))
-        return (src.drop("_rank").withColumn("_k", cell)
-                .join(F.broadcast(found), "_k").select(value, "_rank"))
-
-    cur = df.select(value).withColumn("_rank", rank)
-    for shift in (36, 18, 0):
-        cur = narrow(cur, shift)
-    return cur
+    src = df.select(F.col(value).cast("bigint").alias("_x")).filter("_x is not null")
+    low, high, n = src.agg(F.min("_x"), F.max("_x"), F.count("*")).first()
+    left = rank(n)
+    if not 0 <= left < n:
+        return None
+    while low < high:
+        width = max(1, -(-(high - low + 1) // CELLS))
+        cell = F.floor((F.col("_x") - low) / width)
+        counts = src.filter(F.col("_x").between(low, high)).groupBy(cell.alias("c")).count().collect()
+        for c, m in sorted((r.c, r["count"]) for r in counts):
+            if left < m:
+                low, high = low + c * width, min(high, low + (c + 1) * width - 1)
+                break
+            left -= m
+    return low
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

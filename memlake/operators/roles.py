@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from memlake.functions import ids, text as tx
 
-MAX_AUTOMATON_NAMES = 100_000
-ANCHOR = 8
+BLOCK_NAMES = 100_000
 
 
 def name_index(role: DataFrame) -> DataFrame:
@@ -54,25 +53,26 @@ def role_pool_backfill(names: DataFrame, role: DataFrame, pool: DataFrame) -> Da
 
 
 def focus_roles(texts: DataFrame, role: DataFrame, core_role: str | None = None,
-                max_names: int = MAX_AUTOMATON_NAMES) -> DataFrame:
-    """(query_id, role_id) where a role name or alias occurs in the text, ignoring case.
+                block_names: int = BLOCK_NAMES) -> DataFrame:
+    """(query_id, role_id), each once, where a role name or alias occurs in a text of the query, ignoring case.
 
-    Up to `max_names` names one automaton per task finds all of them in a
-    single pass over the text. A larger registry is matched by equi-join:
-    each name is anchored by its last characters, each text offers its
-    fragments of that length, and candidates are verified.
+    Names go to the tasks in blocks of about `block_names`, dealt by hash: one
+    automaton for each finds all of its names in a single pass over the texts. Null
+    texts hold no name; null and empty names occur nowhere.
     """
-    low = role.select("role_id", F.explode(F.array_union(F.array("name"), F.col("aliases"))).alias("name")).select(
+    names = role.select("role_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select(
         "role_id", F.lower("name").alias("name")).filter(F.length("name") > 0).distinct()
     texts = texts.select("query_id", F.lower("text").alias("text"))
-    sample = low.limit(max_names + 1).toPandas()
-    if len(sample) <= max_names:
-        found = _by_automaton(texts, sample)
-    else:
-        found = _by_anchor(texts, low)
+    held = texts.filter(F.length("text") > 0)
+    passes = max(1, -(-names.count() // block_names))
+    found = None
+    for i in range(passes):
+        part = names if passes == 1 else names.filter(F.pmod(F.xxhash64("name"), F.lit(passes)) == i)
+        hits = _by_automaton(held, part.toPandas())
+        found = hits if found is None else found.unionByName(hits)
     if core_role:
-        found = found.unionByName(texts.select("query_id", F.lit(core_role).alias("role_id")).distinct()).distinct()
-    return found
+        found = found.unionByName(texts.select("query_id", F.lit(core_role).alias("role_id")))
+    return found.distinct()
 
 
 def _by_automaton(texts: DataFrame, names: pd.DataFrame) -> DataFrame:
@@ -95,21 +95,6 @@ def _by_automaton(texts: DataFrame, names: pd.DataFrame) -> DataFrame:
     return texts.mapInPandas(scan, "query_id string, role_id string")
 
 
-def _by_anchor(texts: DataFrame, names: DataFrame) -> DataFrame:
-    keyed = names.withColumn("w", F.least(F.length("name"), F.lit(ANCHOR))).withColumn(
-        "gram", F.expr("right(name, w)"))
-    widths = [r.w for r in keyed.select("w").distinct().collect()]  # at most ANCHOR values
-    grams = None
-    for w in widths:
-        last = F.length("text") - w + 1
-        part = texts.filter(F.length("text") >= w).select(
-            "query_id", F.lit(w).alias("w"),
-            F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr("text", i, F.lit(w))))).alias("gram"))
-        grams = part if grams is None else grams.unionByName(part)
-    candidates = grams.join(keyed, ["w", "gram"]).select("query_id", "role_id", "name")
-    return candidates.join(texts, "query_id").filter(F.contains("text", "name")).select("query_id", "role_id").distinct()
-
-
 def entity_hint(focus: DataFrame, role: DataFrame) -> DataFrame:
     """Names and aliases of the focus roles of a query as one string, each once, in role order."""
     words = focus.join(role, "role_id").select(

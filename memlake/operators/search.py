@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,10 @@ from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import scoring
 from memlake.operators.ordered import first_per_key, value_at_rank
 
-MAX_QUERY_ROWS = 4096
+PASS_BYTES = 64_000_000
 QUERY_BLOCK = 256
-HITS = "query_id string, event_id string, score double"
+MERGE_GROUPS = 64
+HITS = "band string, query_id string, event_id string, score double"
 
 
 def _unit_rows(arrays) -> np.ndarray:
@@ -33,89 +34,100 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def _scan(batches: Iterator[pd.DataFrame], names: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """Keep the k best rows per query while a partition streams by.
+class _Nearest:
+    """The k best rows of each query so far.
 
     Scores are made for a block of queries at a time, and once a query has k
     rows only scores that reach its worst one are looked at.
     """
-    kept = [(np.empty(0), np.empty(0, dtype=object)) for _ in names]
-    floor = np.full(len(names), -np.inf)
-    for batch in batches:
-        if not len(batch):
-            continue
-        vectors = _unit_rows(batch.vec).T
-        ids = batch.event_id.to_numpy(dtype=object)
-        for at in range(0, len(names), QUERY_BLOCK):
-            scores = matrix[at:at + QUERY_BLOCK] @ vectors
-            reach = scores >= floor[at:at + QUERY_BLOCK, None]
+
+    def __init__(self, names: np.ndarray, matrix: np.ndarray, k: int):
+        self.names, self.matrix, self.k = names, matrix, k
+        self.kept = [(np.empty(0), np.empty(0, dtype=object)) for _ in names]
+        self.floor = np.full(len(names), -np.inf)
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(self.names), QUERY_BLOCK):
+            scores = self.matrix[at:at + QUERY_BLOCK] @ vectors.T
+            reach = scores >= self.floor[at:at + QUERY_BLOCK, None]
             for row in np.flatnonzero(reach.any(axis=1)):
                 hit, q = np.flatnonzero(reach[row]), at + row
-                s = np.concatenate([kept[q][0], scores[row, hit]])
-                i = np.concatenate([kept[q][1], ids[hit]])
-                order = _best(s, i, k)
-                kept[q] = (s[order], i[order])
-                if len(order) == k:
-                    floor[q] = s[order[-1]]
-    yield pd.DataFrame({
-        "query_id": np.repeat(names, [len(s) for s, _ in kept]),
-        "event_id": np.concatenate([i for _, i in kept]) if kept else [],
-        "score": np.concatenate([s for s, _ in kept]) if kept else []})
-
-
-def vector_topk(queries: DataFrame, events: DataFrame, k: int, band: str = "embedding",
-                max_queries: int = MAX_QUERY_ROWS) -> DataFrame:
-    """Exact cosine top-k of every query (`query_id`) over every event (`event_id`).
-
-    Up to `max_queries` query vectors are sent to the tasks, which stream the
-    events once and give k rows per query. More queries are split into blocks
-    that meet event blocks in a keyed shuffle; each cell gives its local top-k.
-    """
-    q = queries.select("query_id", F.col(band).cast("array<double>").alias("vec"))
-    e = events.select("event_id", F.col(band).cast("array<double>").alias("vec"))
-    few = q.limit(max_queries + 1).toPandas()
-    if len(few) <= max_queries:
-        if not len(few):
-            return e.sparkSession.createDataFrame([], HITS + ", rank int")
-        shared = e.sparkSession.sparkContext.broadcast(
-            (few.query_id.to_numpy(dtype=object), _unit_rows(few.vec)))
-        local = e.mapInPandas(lambda it: _scan(it, *shared.value, k), HITS)
-    else:
-        local = _blocked(q, e, k, max_queries)
-    return first_per_key(local, ["query_id"], [F.col("score").desc(), F.col("event_id")], k, "rank")
+                s = np.concatenate([self.kept[q][0], scores[row, hit]])
+                i = np.concatenate([self.kept[q][1], ids[hit]])
+                order = _best(s, i, self.k)
+                self.kept[q] = (s[order], i[order])
+                if len(order) == self.k:
+                    self.floor[q] = s[order[-1]]
 
+    def rows(self, band: str) -> pd.DataFrame:
+        n = [len(s) for s, _ in self.kept]
+        return pd.DataFrame({"band": band, "query_id": np.repeat(self.names, n),
+                             "event_id": np.concatenate([i for _, i in self.kept]), "score": np.concatenate([s for s, _ in self.kept])})
 
-def _blocked(q: DataFrame, e: DataFrame, k: int, rows: int) -> DataFrame:
-    # two counts size the grid; every (query, event) pair meets in exactly one cell
-    nq = max(1, -(-q.count() // (rows // 2 or 1)))
-    ne = max(1, -(-e.count() // 200_000))
-    cell = lambda own, n, other, m, name: [
-        F.pmod(F.xxhash64(own), F.lit(n)).alias(name), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)]
-    qs = q.select("query_id", "vec", *cell("query_id", nq, "eb", ne, "qb"))
-    es = e.select("event_id", "vec", *cell("event_id", ne, "qb", nq, "eb"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "event_id": [], "score": []})
-        return next(_scan(iter([right]), left.query_id.to_numpy(dtype=object), _unit_rows(left.vec), k))
+def _pointing(vec: Column) -> Column:
+    """Vectors with a direction: not null, without null components, not all zero."""
+    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull()) & F.exists(vec, lambda x: x != 0)
 
-    by = lambda df: df.withColumns({"qb": F.col("qb").cast("long"), "eb": F.col("eb").cast("long")}).groupBy("qb", "eb")
-    return by(qs).cogroup(by(es)).applyInPandas(run, HITS)
+
+def bands_topk(queries: DataFrame, events: DataFrame, k: int, bands: Sequence[str]) -> DataFrame:
+    """Exact cosine top-k (`band`, `query_id`, `event_id`, `score`, `rank`) of every query over every event, all bands in one scan.
+
+    Queries are the small side: they go to the tasks in blocks of at most about
+    PASS_BYTES, one pass over the events each, and events are never moved. A task gives
+    k rows per query; these meet within groups of tasks first and then per query.
+    A null or zero vector has no direction and takes no part in its band.
+    """
+    spark = events.sparkSession
+    vecs = [F.col(b).cast("array<double>").alias(b) for b in bands]
+    q = queries.select("query_id", *vecs)
+    size = q.agg(F.count("*").alias("n"), *[F.max(F.size(b)).alias(b) for b in bands]).first()
+    passes = max(1, -(-size.n * sum(8 * max(size[b] or 0, 0) for b in bands) // PASS_BYTES))
+    local = None
+    for i in range(passes):
+        part = q if passes == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+        blocks = {}
+        for b in bands:
+            rows = part.filter(_pointing(F.col(b))).select("query_id", b).toPandas()
+            if len(rows):
+                blocks[b] = (rows.query_id.to_numpy(dtype=object), _unit_rows(rows[b]))
+        if blocks:
+            held = events.select("event_id", *vecs).select("event_id", *[F.when(_pointing(F.col(b)), F.col(b)).alias(b) for b in blocks])
+            found = _pass(held, spark.sparkContext.broadcast(blocks), k)
+            local = found if local is None else local.unionByName(found)
+    if local is None:
+        return spark.createDataFrame([], HITS + ", rank int")
+    order = [F.col("score").desc(), F.col("event_id")]
+    grouped = local.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+    near = first_per_key(grouped, ["band", "query_id", "_group"], order, k).drop("rn", "_group")
+    return first_per_key(near, ["band", "query_id"], order, k, "rank")
+
+
+def _pass(events: DataFrame, shared, k: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = {b: _Nearest(names, matrix, k) for b, (names, matrix) in shared.value.items()}
+        for batch in batches:
+            for b, near in best.items():
+                held = batch[b].notna().to_numpy()
+                if held.any():
+                    near.see(batch.event_id.to_numpy(dtype=object)[held], _unit_rows(batch[b][held]))
+        for b, near in best.items():
+            yield near.rows(b)
+    return events.mapInPandas(run, HITS)
+
+
+def vector_topk(queries: DataFrame, events: DataFrame, k: int, band: str = "embedding") -> DataFrame:
+    """Exact cosine top-k of every query (`query_id`) over every event (`event_id`) in one band."""
+    return bands_topk(queries, events, k, [band]).drop("band")
 
 
 def band_fusion(queries: DataFrame, events: DataFrame, weights: dict[str, float], n: int,
                 cfg: MemoryConfig = DEFAULT, weighting: str = "presence") -> DataFrame:
     """Reciprocal-rank fusion of one search per band; a weight of 0 turns a band off."""
-    parts = []
-    for band, w in weights.items():
-        if w > 0:
-            share = w if weighting == "scaled" else 1.0
-            hits = vector_topk(queries, events, n, band)
-            parts.append(hits.select("query_id", "event_id", (F.lit(share) / (cfg.rrf_k + F.col("rank"))).alias("part")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    fused = union.groupBy("query_id", "event_id").agg(F.sum("part").alias("score"))
+    on = {b: (w if weighting == "scaled" else 1.0) for b, w in weights.items() if w > 0}
+    share = F.coalesce(*[F.when(F.col("band") == b, F.lit(w)) for b, w in on.items()])
+    hits = bands_topk(queries, events, n, list(on))
+    fused = hits.groupBy("query_id", "event_id").agg(F.sum(share / (cfg.rrf_k + F.col("rank"))).alias("score"))
     return first_per_key(fused, ["query_id"], [F.col("score").desc(), F.col("event_id")], n, "rank").withColumn(
         "distance", F.greatest(F.lit(0.0), 1 - F.col("score")))
 
@@ -156,12 +168,9 @@ def time_boundary(event: DataFrame, capacity: int, cfg: MemoryConfig = DEFAULT)
     """create_time at position int(n*(1-ratio)) of the living basic events; no row when they fit."""
     live = event.filter(~F.col("is_abstract") & ~F.col("is_tombstoned")).select(
         scoring.micros(F.col("create_time")).alias("us"))
-    n = live.agg(F.count("*").alias("n")).scalar()
-    at = F.floor(n * F.lit(1 - cfg.global_ratio))
-    if capacity <= 0:
-        return live.select(F.timestamp_micros("us").cast("timestamp_ntz").alias("boundary")).limit(0)
-    return value_at_rank(live.filter(n > capacity), "us", at, "us").select(
-        F.timestamp_micros("us").cast("timestamp_ntz").alias("boundary"))
+    at = value_at_rank(live, "us", lambda n: int(n * (1 - cfg.global_ratio)) if n > capacity > 0 else -1)
+    found = event.sparkSession.createDataFrame([] if at is None else [(at,)], "us bigint")
+    return found.select(F.timestamp_micros("us").cast("timestamp_ntz").alias("boundary"))
 
 
 def capacity_tiers(hits: DataFrame, boundary: Column, event_role: DataFrame, focus: DataFrame,

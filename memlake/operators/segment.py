@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import ids, scoring, text as tx
 from memlake.functions.vectors import let
-from memlake.operators.ordered import SLOT, running_total, with_preceding, with_time_slot
+from memlake.operators.ordered import SLOT, running_total, with_preceding
 
 # Marks that end a sentence when a long text is cut, in both scripts.
 CUT_MARKS = ".。！？；!?\n"
@@ -138,14 +138,13 @@ def gap_sessions(turns: DataFrame, gap_minutes: int, cfg: MemoryConfig = DEFAULT
     The gap looks one row back and the number is a running count, both inside
     time slots, so a conversation that never ends does not fill one task.
     """
-    src = with_time_slot(turns.select("conv_id", "turn", "ts", "text"), "ts")
-    slim = src.select("conv_id", "turn", "ts", SLOT)
+    slim = turns.select("conv_id", "turn", "ts")
     back = Window.partitionBy("conv_id", SLOT).orderBy("ts", "turn")
     gap = scoring.micros(F.col("ts")) - scoring.micros(F.lag("ts").over(back))
     starts = with_preceding(slim, ["conv_id"], ["ts", "turn"], 1).withColumn(
-        "is_start", F.coalesce(gap > F.lit(gap_minutes * 60_000_000), F.lit(True)).cast("int")).filter(~F.col("_carried")).drop("_carried")
+        "is_start", F.coalesce(gap > F.lit(gap_minutes * 60_000_000), F.lit(True)).cast("int")).filter(~F.col("_carried")).drop("_carried", SLOT)
     numbered = running_total(starts, ["conv_id"], [F.col("ts"), F.col("turn")], F.col("is_start"), "session_no")
-    return numbered.drop(SLOT).join(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    return numbered.join(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"])
 
 
 def segment_turns(turns: DataFrame, gap_minutes: int, as_of: Column, cfg: MemoryConfig = DEFAULT) -> DataFrame:
@@ -172,8 +171,7 @@ def open_shadow(turns: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """
     length = (F.length("text") + 1).cast("long")
     newest = [F.col("ts").desc(), F.col("turn").desc()]
-    placed = running_total(with_time_slot(turns.select("conv_id", "turn", "ts", "text"), "ts"), ["conv_id"], newest,
-                           length, "to_end", descending=True)
+    placed = running_total(turns.select("conv_id", "turn", "ts", "text"), ["conv_id"], newest, length, "to_end")
     total = turns.groupBy("conv_id").agg((F.sum(F.length("text") + 1) - 1).alias("shadow_chars"))
     keep = placed.filter(F.col("to_end") - length <= cfg.safe_watermark)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "turn", "text"))), lambda s: s["text"]), "\n")
@@ -200,8 +198,7 @@ def force_save(unclosed: DataFrame, current: DataFrame, cfg: MemoryConfig = DEFA
     into the first ones of an owner are gathered.
     """
     size = (F.length("content") + 1).cast("long")
-    slotted = unclosed.withColumn(SLOT, F.floor(F.col("item") / 256))
-    lead = running_total(slotted, ["owner"], [F.col("item")], size, "upto").filter(F.col("upto") - size <= cfg.len_msg)
+    lead = running_total(unclosed, ["owner"], [F.col("item")], size, "upto").filter(F.col("upto") - size <= cfg.len_msg)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "content"))), lambda s: s["content"]), "\n")
     shadow = lead.groupBy("owner").agg(joined.alias("shadow"))
     body = current.join(shadow, "owner", "full_outer").select("owner", F.lit("shadow").alias("source"), F.concat_ws(

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from memlake.config import DEFAULT, EMOTIONS, MemoryConfig
 from memlake.functions import affect, scoring
 from memlake.functions.vectors import let
-from memlake.operators.ordered import (SLOT, first_per_key, running_total, with_preceding,
-                                       with_time_slot)
+from memlake.operators.ordered import SLOT, first_per_key, running_total, with_preceding
 
 
 def primary_role(core_role: str | None = None) -> Column:
@@ -64,13 +63,12 @@ def forgetting_scores(timeline: DataFrame, as_of: Column, cfg: MemoryConfig = DE
     })
 
 
-def fifo_penalty(timeline: DataFrame, capacity: int, slot_seconds: int = 6 * 3600) -> DataFrame:
+def fifo_penalty(timeline: DataFrame, capacity: int) -> DataFrame:
     """Flag the oldest entries of each role until the rest fits the capacity."""
     length = F.length("role_summary").cast("long")
-    slotted = with_time_slot(timeline, "create_time", slot_seconds)
     newest_first = [F.col("create_time").desc(), F.col("event_id").desc()]
-    out = running_total(slotted, ["role_id"], newest_first, length, "chars_to_newest", descending=True)
-    return out.drop(SLOT).withColumn("is_penalised", F.col("chars_to_newest") > capacity)
+    out = running_total(timeline, ["role_id"], newest_first, length, "chars_to_newest")
+    return out.withColumn("is_penalised", F.col("chars_to_newest") > capacity)
 
 
 def timeline_top(timeline: DataFrame, as_of: Column, cfg: MemoryConfig = DEFAULT,
@@ -117,7 +115,7 @@ def rolling_affect(timeline: DataFrame, cfg: MemoryConfig = DEFAULT, history: st
             ((h["create_time"] == F.col("create_time")) & (h["event_id"] < F.col("event_id")))))
     else:
         prior = Window.partitionBy("role_id", SLOT).orderBy("create_time", "event_id").rowsBetween(-n, -1)
-        staged = (with_preceding(with_time_slot(base, "create_time"), ["role_id"], ["create_time", "event_id"], n)
+        staged = (with_preceding(base, ["role_id"], ["create_time", "event_id"], n)
                   .withColumn("_h", F.collect_list(past).over(prior)).filter(~F.col("_carried")))
     def add(acc: Column, h: Column) -> Column:
         w = F.exp(F.lit(-lam) * scoring.age_hours(h["create_time"], F.col("create_time")))

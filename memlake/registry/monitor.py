@@ -6,7 +6,6 @@ from memlake.config import DEFAULT as CFG
 from memlake.functions import scoring
 from memlake.mappings import with_ctes
 from memlake.operators import monitor, recall, sampling, segment, timeline as tl
-from memlake.operators.ordered import with_time_slot
 from memlake.registry.core import query, r6
 from memlake.registry.search import _KEYS, _RRF, tier1
 
@@ -44,7 +43,7 @@ def load_adjusted_limit(t):
     walk="""select user_id, event_id, rn, least(greatest(r,0),1)::double as e from num where rn=1
       union all select n.user_id, n.event_id, n.rn, 0.25*least(greatest(n.r,0),1)+0.75*w.e from walk w join num n on n.user_id=w.user_id and n.rn=w.rn+1""")[5:])
 def quality_ema(t):
-    rates = with_time_slot(t.event.withColumn("rate", F.col("k") / 80), "create_time")
+    rates = t.event.withColumn("rate", F.col("k") / 80)
     return monitor.quality_ema(rates, "user_id", ["create_time", "event_id"], "rate", "ema").select("user_id", "event_id", r6("ema", "ema_relevance"))
 
 

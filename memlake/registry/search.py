@@ -6,7 +6,7 @@ from memlake.config import DEFAULT as CFG, ENTITY_TERMS, EMOTION_TERMS, FACT_TER
 from memlake.functions import affect, ids, scoring, text as tx, vectors
 from memlake.mappings import AGE_DAYS, scalar, with_ctes
 from memlake.operators import recall, roles, sampling, search, timeline as tl
-from memlake.operators.ordered import exact_percentile
+from memlake.operators.ordered import exact_percentiles
 from memlake.operators.output import context_text
 from memlake.registry.core import query, r6, us
 from memlake.registry.sources import hit_block
@@ -332,9 +332,7 @@ def hybrid_score(t):
 @query("percentile_linear", with_ctes("""
     select event_type, round(quantile_cont(value,0.9),6) as p90, round(quantile_cont(value,0.37),6) as p37 from event group by event_type""", "event"))
 def percentile_linear(t):
-    a = exact_percentile(t.event, ["event_type"], "value", 0.9, "p90")
-    b = exact_percentile(t.event, ["event_type"], "value", 0.37, "p37")
-    return a.join(b, "event_type").select("event_type", r6("p90", "p90"), r6("p37", "p37"))
+    return exact_percentiles(t.event, ["event_type"], "value", {"p90": 0.9, "p37": 0.37}).select("event_type", r6("p90", "p90"), r6("p37", "p37"))
 
 
 @query("distance_cap", with_ctes("""

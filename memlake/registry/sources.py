@@ -6,7 +6,6 @@ from memlake.config import DEFAULT as CFG
 from memlake.functions import ids, text as tx, vectors
 from memlake.mappings import scalar, with_ctes
 from memlake.operators import timeline as tl
-from memlake.operators.ordered import row_position, with_time_slot
 from memlake.registry.core import query, r6, us
 from memlake.sources import corpus, lake, responses
 

@@ -6,7 +6,6 @@ from memlake.config import DEFAULT as CFG, EMOTIONS
 from memlake.functions import affect, ids, scoring, vectors
 from memlake.mappings import AGE_DAYS, scalar, with_ctes
 from memlake.operators import monitor, roles, timeline as tl
-from memlake.operators.ordered import exact_percentile
 from memlake.registry.core import query, r6, us
 
 _ASOF = "(select t from clock)"

@@ -30,16 +30,28 @@ def event_count(event: DataFrame) -> DataFrame:
     return event.groupBy("is_abstract", "is_tombstoned").agg(F.count("*").alias("n"))
 
 
-def upsert_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Insert-or-replace: the row with the highest version per key wins.
+def winners(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """The row with the highest version of each key; of equal versions the one whose content hashes highest.
 
     `max_by` combines before the shuffle, so a key rewritten very often costs
     one row per task.
     """
-    both = base.unionByName(delta)
-    rest = [c for c in both.columns if c not in keys]
-    row = F.struct(*rest)
-    return both.groupBy(*keys).agg(F.max_by(row, F.col(version)).alias("r")).select(*keys, "r.*")
+    rest = [c for c in rows.columns if c not in keys]
+    order = F.struct(F.col(version), F.xxhash64(*[F.col(c) for c in rest]))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def upsert_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """Insert-or-replace: the row with the highest version per key wins.
+
+    The base holds each key once. Only its rows whose keys the delta names are
+    compared; all others pass by untouched, so a small delta moves a small part
+    of the table (Spark sends the delta's keys to all tasks where they are few).
+    """
+    delta = winners(delta, keys, version)
+    named = delta.select(*keys)
+    touched = base.join(named, list(keys), "left_semi").unionByName(delta)
+    return base.join(named, list(keys), "left_anti").unionByName(winners(touched, keys, version))
 
 
 def schema_backfill(new: DataFrame, old: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -100,8 +112,8 @@ def role_nested(role: DataFrame, timeline: DataFrame, block: int = 1000) -> Data
     A role with a huge timeline becomes several rows (`block_no` 0, 1, …), so no
     single row or task holds an unbounded list.
     """
-    from memlake.operators.ordered import row_position, with_time_slot
-    placed = row_position(with_time_slot(timeline, "create_time"), ["role_id"],
+    from memlake.operators.ordered import row_position
+    placed = row_position(timeline, ["role_id"],
                           [F.col("create_time"), F.col("event_id")], "rn")
     blocks = (
         placed.withColumn("block_no", F.floor((F.col("rn") - 1) / block).cast("int"))

@@ -53,7 +53,7 @@ def drain(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The newest version of each key of an update-mode table."""
-    return lake.upsert_latest(rows.select(*rows.columns), rows.limit(0), keys, "batch")
+    return lake.winners(rows, keys, "batch")
 
 
 def window_counts(events: DataFrame, ts: str, key: str, width: str, slide: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from conftest import rows
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import affect, scoring, text as tx, vectors
 from memlake.operators import graph, mining, monitor, recall, roles, sampling, search, segment, timeline as tl
-from memlake.operators.ordered import exact_percentile, running_total, value_at_rank, with_preceding, with_time_slot
+from memlake.operators.ordered import by_rows, exact_percentile, running_total, value_at_rank, with_preceding
 from memlake.plans.mine import mine_abstracts
 from memlake.sources import corpus, lake
 
@@ -298,14 +298,19 @@ def test_event_whose_roles_have_no_entries_turns_silent(spark, sf):
     assert out.filter("not is_silent").isEmpty()
 
 
-def test_focus_roles_by_automaton_and_by_anchor_agree(spark, sf):
+def test_focus_roles_in_several_passes(spark, sf):
     from memlake.mappings import Tables
     from memlake.registry.timeline import focus_texts
     t = Tables(spark, sf)
     role = t.role.unionByName(spark.createDataFrame([("R-short", "he", "x", ["q"])], "role_id string, name string, entity_type string, aliases array<string>"))
     a = roles.focus_roles(focus_texts(t), role)
-    b = roles.focus_roles(focus_texts(t), role, max_names=3)
+    b = roles.focus_roles(focus_texts(t), role, block_names=3)
     assert rows(a) == rows(b) and not a.isEmpty()
+    odd = spark.createDataFrame([("q", "he said"), ("q", "she"), ("n", None), ("e", "")], "query_id string, text string")
+    named = spark.createDataFrame([("R", "he", None), ("S", None, ["", "she"])], "role_id string, name string, aliases array<string>")
+    for size in (1, 100):
+        assert rows(roles.focus_roles(odd, named, block_names=size)) == [("q", "R"), ("q", "S")]
+        assert rows(roles.focus_roles(odd, named, "C", block_names=size)) == [("e", "C"), ("n", "C"), ("q", "C"), ("q", "R"), ("q", "S")]
 
 
 def test_chunks_join_to_the_document(spark, sf):
@@ -332,13 +337,38 @@ def test_first_text_too_long_is_compressed(spark):
 
 
 # -- search ----------------------------------------------------------------------------
-def test_blocked_search_equals_broadcast_search(spark, sf):
+def test_search_in_several_passes(spark, sf, monkeypatch):
     from memlake.mappings import Tables
     t = Tables(spark, sf)
     q = t.vector.select(F.col("event_id").alias("query_id"), "embedding")
     a = search.vector_topk(q, t.vector, 5).withColumn("score", F.round("score", 9))
-    b = search.vector_topk(q, t.vector, 5, max_queries=16).withColumn("score", F.round("score", 9))
-    assert rows(a, "query_id", "event_id", "rank", "score") == rows(b, "query_id", "event_id", "rank", "score")
+    a = rows(a, "query_id", "event_id", "rank", "score")
+    monkeypatch.setattr(search, "PASS_BYTES", 20_000)
+    b = search.vector_topk(q, t.vector, 5).withColumn("score", F.round("score", 9))
+    assert a == rows(b, "query_id", "event_id", "rank", "score")
+
+
+def test_vectors_without_direction_take_no_part(spark):
+    schema = "event_id string, act array<double>, emo array<double>"
+    v = spark.createDataFrame([("a", [1.0, 0.0], [0.0, 1.0]), ("z", [0.0, 0.0], [1.0, 0.0]), ("n", None, [1.0, 1.0]), ("h", [None, 1.0], None)], schema)
+    q = v.withColumnRenamed("event_id", "query_id")
+    assert rows(search.vector_topk(q, v, 9, "act"), "query_id", "event_id") == [("a", "a")]
+    got = rows(search.band_fusion(q, v, {"act": 1.0, "emo": 1.0}, 9), "query_id", "event_id")
+    assert len(got) == 9 and not any("h" in r for r in got)
+    assert search.vector_topk(q.limit(0), v, 3, "act").isEmpty() and search.vector_topk(q, v.limit(0), 3, "act").isEmpty()
+
+
+def test_a_far_hit_with_a_large_weight_is_not_cut(spark):
+    h = spark.range(500).select(F.lit("q").alias("query_id"), F.format_string("e%03d", "id").alias("event_id"), (F.col("id") / 1000).alias("distance"),
+                                F.when(F.col("id") == 450, 1e9).otherwise(0.0).alias("weight"), F.lit(0.0).alias("event_valence"), F.lit(0.0).alias("query_valence"))
+    ranks = {r.event_id: r["rank"] for r in recall.rrf_single(h, MemoryConfig(factor_cap=1e9, factor_alpha=50.0)).collect()}
+    assert ranks["e450"] == 451 and len(ranks) == 60
+
+
+def test_equal_versions_are_decided_by_content(spark):
+    a, b = (1, 5, "x"), (1, 5, "y")
+    got = [lake.upsert_latest(spark.createDataFrame([p, (2, 1, "k")], "id int, version int, v string"), spark.createDataFrame([q], "id int, version int, v string"), ["id"], "version") for p, q in ((a, b), (b, a))]
+    assert rows(got[0]) == rows(got[1]) and (2, 1, "k") in rows(got[0])
 
 
 def test_hash_vector_matches_the_digest(spark):
@@ -361,7 +391,7 @@ def test_slotted_running_total_equals_the_plain_window(spark):
     df = hot(spark)
     w = Window.partitionBy("k").orderBy("ts", "id")
     want = rows(df.withColumn("t", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))), "id", "t")
-    got = running_total(with_time_slot(df, "ts", 3600), ["k"], [F.col("ts"), F.col("id")], F.col("v"), "t")
+    got = running_total(df, ["k"], [F.col("ts"), F.col("id")], F.col("v"), "t", rows_per_slot=40)
     assert rows(got, "id", "t") == want
 
 
@@ -370,7 +400,7 @@ def test_carried_rows_give_the_plain_frame(spark):
     df = hot(spark)
     frame = lambda *keys: Window.partitionBy(*keys).orderBy("ts", "id").rowsBetween(-9, 0)
     want = rows(df.withColumn("t", F.sum("v").over(frame("k"))), "id", "t")
-    slotted = with_preceding(with_time_slot(df, "ts", 1800), ["k"], ["ts", "id"], 9, rows_per_slot=7)
+    slotted = with_preceding(df, ["k"], ["ts", "id"], 9, rows_per_slot=40)
     got = slotted.withColumn("t", F.sum("v").over(frame("k", "_slot"))).filter(~F.col("_carried"))
     assert rows(got, "id", "t") == want
 
@@ -378,11 +408,28 @@ def test_carried_rows_give_the_plain_frame(spark):
 def test_percentile_and_rank_without_gathering(spark):
     df = hot(spark).withColumn("x", F.col("id") * 0.37)
     want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("x", 0.9).alias("p")).collect()}
-    got = {r.k: r.p for r in exact_percentile(df, ["k"], "x", 0.9, "p", cells=8).collect()}
+    got = {r.k: r.p for r in exact_percentile(df, ["k"], "x", 0.9, "p", rows_per_slot=60).collect()}
     assert got == pytest.approx(want)
     us = df.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     ranked = sorted(r.us for r in us.collect())
-    assert value_at_rank(us, "us", F.lit(123), "v").first().v == ranked[123]
+    for at in (0, 123, len(ranked) - 1):
+        assert value_at_rank(us, "us", lambda n: at) == ranked[at]
+    assert value_at_rank(us, "us", lambda n: n) is None and value_at_rank(us.limit(0), "us", lambda n: 0) is None
+
+
+def test_one_key_at_one_time_is_cut_into_slots(spark):
+    from memlake.operators.ordered import SLOT
+    df = spark.range(4000).select(F.lit("hot").alias("k"), F.lit(T0).alias("ts"), "id")
+    slots = by_rows(df, ["k"], [F.col("ts"), F.col("id")], rows_per_slot=500).groupBy(SLOT).agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy(SLOT).collect()
+    assert len(slots) > 4 and max(r.n for r in slots) < 1500 and all(x.b < y.a for x, y in zip(slots, slots[1:]))
+    total = running_total(df, ["k"], [F.col("ts"), F.col("id")], F.lit(1), "t", rows_per_slot=500)
+    assert total.filter("t <> id + 1").isEmpty()
+
+
+def test_percentile_with_an_outlier_and_ties(spark):
+    df = spark.createDataFrame([("a", float(i % 3)) for i in range(300)] + [("a", 1e12), ("b", None)], "k string, x double")
+    got = exact_percentile(df, ["k"], "x", 0.5, "p", rows_per_slot=2).collect()
+    assert [(r.k, r.p) for r in got] == [("a", 1.0)]
 
 
 def test_rolling_mean_window_of_three(spark):
