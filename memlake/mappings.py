@@ -63,7 +63,8 @@ class Tables:
 
     @cached_property
     def as_of(self) -> Column:
-        return scalar(self.raw("events"), F.max("ts"))
+        """The newest event time, found once and put into plans as a value."""
+        return F.lit(self.raw("events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
 
     @cached_property
     def event_role(self) -> DataFrame:

@@ -8,7 +8,7 @@ from memlake.mappings import with_ctes
 from memlake.operators import output, recall, sampling, timeline as tl
 from memlake.plans import recall_block as rb, seal
 from memlake.registry.core import query, r6
-from memlake.registry.search import USER_FOCUS, _COVER, _FACTOR, _MOOD, _U, encode_events, user_focus
+from memlake.registry.search import USER_FOCUS, _COVER, _FACTOR, _KEYS, _MOOD, _U, encode_events, tier1, user_focus
 from memlake.registry.text import _B, _ladder_sql
 from memlake.registry.timeline import _EFF, _WEIGHT
 
@@ -220,3 +220,85 @@ def plug_embedder(t):
     v = text_embedder(load)(F.col("text"))
     return t.raw("documents").select("doc_id", v.alias("v")).select(
         "doc_id", F.col("v")[0].cast("double").alias("v1"), F.col("v")[1].cast("double").alias("v2"))
+
+
+# -- recall from question to block -------------------------------------------------------
+_JOB_VECTOR = """select event_id, act, emo, ent from event join (select vec_id, embedding[1:32] as act, embedding[33:48] as emo, embedding[49:64] as ent,
+    row_number() over (order by vec_id)-1 as i from embeddings) on i = n % (select count(*) from embeddings)"""
+_JOB_FUSED = """select query_id, route, event_id, score, greatest(0.0, 1-score) as distance from (
+    select *, row_number() over (partition by query_id, route order by round(score,12) desc, event_id) as r from (
+      select query_id, route, event_id, sum(1.0::double/(60+rank)) as score from ({bands}) group by all)) where r<=60"""
+
+
+def _job_bands(asks: str, pool: str) -> str:
+    return " union all ".join(f"""(select query_id, route, event_id, row_number() over (partition by query_id, route
+      order by list_cosine_similarity(q.{b}, v.{b}) desc, event_id) as rank from {asks} q, {pool} v qualify rank<=60)""" for b in ("act", "emo", "ent"))
+
+
+_JOB = dict(
+    jv=_JOB_VECTOR,
+    asks="select distinct user_id, 'Q-'||user_id as query_id, user_id*20 as at_s, case when user_id%2=0 then 0.6 else -0.4 end as query_valence from event",
+    av="""select query_id, route, act, emo, ent from asks, (values (0),(1),(2)) r(route) join (select embedding[1:32]::double[] as act, embedding[33:48]::double[] as emo,
+        embedding[49:64]::double[] as ent, row_number() over (order by vec_id)-1 as i from embeddings) on i = (user_id*7+route*13) % (select count(*) from embeddings)""",
+    keys=_KEYS,
+    seen="select v.event_id, act::double[] as act, emo::double[] as emo, ent::double[] as ent from jv v join event e using (event_id) where not is_tombstoned and status<>'silent'",
+    active="select * from seen where event_id in (select event_id from keys order by sample_key desc, event_id limit 3000)",
+    h1=_JOB_FUSED.format(bands=_job_bands("av", "active")),
+    granted="""select query_id from (select a.query_id, row_number() over (partition by (at_s//60) order by at_s, a.query_id) as r
+        from asks a left join (select query_id, max(score) as s from h1 group by 1) b using (query_id) where coalesce(s,0)<0.5) where r<=1""",
+    av2="select query_id, 9 as route, act, emo, ent from av where route=1 and query_id in (select query_id from granted)",
+    h2=_JOB_FUSED.format(bands=_job_bands("av2", "seen")),
+    jobhits="""select h.query_id, event_id, distance, query_valence from (select query_id, event_id, distance from h1 union all select query_id, event_id, distance from h2) h
+        join asks using (query_id)""")
+_JOB_BLOCK = {k: v.replace("from hits", "from jobhits") for k, v in {**_RECALL, **_TIERED}.items()}
+_JOB_BLOCK["block"] = _TIERED["block"].replace("used<=20000 or position=1", "used<=20000")
+_JOB_EDGE = "select event_id, 'EVT-'||lpad((n-3)::varchar,12,'0') as prefix_id from event where n%10=3"
+_JOB_WHOLE = """select query_id, event_id, out_position, is_anchor, case when gain>0 and over-before>0 then short else text end as text from (
+   select *, coalesce(sum(gain) over (partition by query_id order by out_position rows between unbounded preceding and 1 preceding),0) as before from (
+    select *, sum(length(text)) over (partition by query_id) - 20000 as over, row_number() over (partition by query_id order by position, k)::int as out_position,
+      case when not is_anchor and length(short)<length(text) then length(text)-length(short) else 0 end as gain from (
+    select *, '['||event_id||'] '||left(text,40)||'…' as short from (
+    select r.query_id, r.event_id, min((position, k))[1] as position, min((position, k))[2] as k, bool_or(anchor) as is_anchor,
+      coalesce(max(case when anchor then text end), arg_min(text, (position, k))) as text
+    from (select query_id, event_id, position, 9 as k, true as anchor, text from block
+      union all select b.query_id, p.prefix_id, b.position, 1, false, t.s4 from block b join jedge p on p.event_id=b.event_id
+        join event_text t on t.event_id=p.prefix_id where not t.is_tombstoned and t.status<>'silent') r group by r.query_id, r.event_id))))"""
+
+
+def recall_of_users(t):
+    """Every user asks once, over given vectors for three routes; events get the given vectors in turn."""
+    from memlake.plans.recall_job import Memory, recall_job
+    e, n = t.raw("embeddings"), t.raw("embeddings").count()
+    cut = lambda a, b: F.slice("embedding", a, b).cast("array<double>")
+    given = e.select(cut(1, 32).alias("act"), cut(33, 16).alias("emo"), cut(49, 16).alias("ent"),
+                     (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("i"))
+    asked = t.event.select("user_id").distinct().select(
+        "user_id", F.concat(F.lit("Q-"), "user_id").alias("query_id"), F.timestamp_seconds(F.col("user_id") * 20).alias("asked_at"),
+        F.when(F.col("user_id") % 2 == 0, 0.6).otherwise(-0.4).alias("query_valence"), *[F.lit(1.0).alias(f"w_{b}") for b in ("act", "emo", "ent")])
+    routes = asked.select("query_id", "user_id", F.explode(F.array(*[F.lit(r) for r in range(3)])).alias("route"))
+    encoded = routes.withColumn("i", (F.col("user_id") * 7 + F.col("route") * 13) % n).join(given, "i").select("query_id", "route", "act", "emo", "ent")
+    vector = t.event.select("event_id", (F.col("n") % n).alias("i")).join(given, "i").drop("i")
+    edges = t.event.filter("n % 10 = 3").select("event_id", F.concat(F.lit("EVT-"), F.lpad((F.col("n") - 3).cast("string"), 12, "0")).alias("prefix_id"), F.lit(0).alias("pos"))
+    memory = Memory(t.event_text, t.event_role, t.timeline, vector, sampling.active_pool(tier1(t), 3000), edges)
+    return recall_job(asked, encoded, user_focus(t), memory, t.as_of)
+
+
+@query("recall_job", with_ctes("select query_id, event_id, out_position, is_anchor, md5(text) as text_md5 from whole",
+                               "event", "event_text", "event_role", "timeline", "clock", weight=_WEIGHT, **_JOB, **_JOB_BLOCK, jedge=_JOB_EDGE, whole=_JOB_WHOLE))
+def recall_job_(t):
+    return recall_of_users(t).block.select("query_id", "event_id", "out_position", "is_anchor", F.md5("text").alias("text_md5"))
+
+
+@query("recall_job_search", with_ctes("""
+    select query_id, event_id, round(min(distance),6) as distance, query_id in (select query_id from granted) as granted from jobhits group by all""",
+    "event", **_JOB))
+def recall_job_search(t):
+    out = recall_of_users(t)
+    second = out.granted.select("query_id", F.lit(True).alias("granted"))
+    return out.hits.join(second, "query_id", "left").select("query_id", "event_id", r6("distance", "distance"), F.coalesce("granted", F.lit(False)).alias("granted"))
+
+
+@query("recall_job_log", with_ctes("select query_id, string_agg(event_id, '|' order by out_position) as event_ids from whole group by query_id",
+                                   "event", "event_text", "event_role", "timeline", "clock", weight=_WEIGHT, **_JOB, **_JOB_BLOCK, jedge=_JOB_EDGE, whole=_JOB_WHOLE))
+def recall_job_log(t):
+    return recall_of_users(t).log.select("query_id", F.array_join("event_ids", "|").alias("event_ids"))
