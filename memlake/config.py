@@ -50,6 +50,7 @@ RECALL_PHASES = ("rag_search", "recall_assembly")
 ABSTRACT_PHASES = ("abstraction_mining", "narrative_dedupe")
 
 
+# The default numbers, in the order of the settings they stand for.
 @dataclass(frozen=True)
 class MemoryConfig:
     context_window: int = 88000

@@ -164,14 +164,18 @@ def _effective(joined: DataFrame, as_of: Column, cfg: MemoryConfig, zero_factor:
 
 
 def event_weight(event_role: DataFrame, timeline: DataFrame, as_of: Column, cfg: MemoryConfig = DEFAULT,
-                 zero_factor: str = "as_one") -> DataFrame:
-    """Strongest memory among the most important roles of each basic event."""
+                 zero_factor: str = "as_one", leaves: DataFrame | None = None) -> DataFrame:
+    """Strongest memory among the most important roles of each basic event.
+
+    With `leaves` (root, event_id), abstract events come as well and weigh as much as their strongest leaf.
+    """
     joined = role_timeline_join(event_role, timeline)
     best = F.max(F.struct(scoring.importance_rank(F.col("importance")).alias("rank"),
                           F.coalesce(_effective(joined, as_of, cfg, zero_factor), F.lit(0.0)).alias("eff")))
     immune = F.max(F.col("arousal")) > cfg.immune_arousal
-    return joined.groupBy("event_id").agg(best.alias("b"), immune.alias("ptsd_immune")).select(
+    basic = joined.groupBy("event_id").agg(best.alias("b"), immune.alias("ptsd_immune")).select(
         "event_id", F.when(F.col("ptsd_immune"), F.lit(cfg.factor_cap)).otherwise(F.col("b.eff")).alias("w_i"))
+    return basic if leaves is None else basic.unionByName(abstract_weight(basic, leaves))
 
 
 def event_standing(event_role: DataFrame, timeline: DataFrame, as_of: Column, cfg: MemoryConfig = DEFAULT,

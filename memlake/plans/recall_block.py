@@ -21,6 +21,7 @@ class RecallInput:
     event_role: DataFrame
     timeline: DataFrame
     focus: DataFrame         # query_id, role_id
+    leaves: DataFrame | None = None  # root, event_id: what abstract events rest on
 
 
 def score_candidates(src: RecallInput, as_of: Column, cfg: MemoryConfig = DEFAULT) -> DataFrame:
@@ -30,6 +31,12 @@ def score_candidates(src: RecallInput, as_of: Column, cfg: MemoryConfig = DEFAUL
     wanted = near.select("event_id").distinct()
     roles = src.event_role.join(wanted, "event_id", "left_semi")
     standing = tl.event_standing(roles, src.timeline, as_of, cfg)
+    if src.leaves is not None:
+        below = src.leaves.join(wanted, F.col("root") == wanted["event_id"], "left_semi")
+        basic = tl.event_weight(src.event_role.join(below.select("event_id").distinct(), "event_id", "left_semi"), src.timeline, as_of, cfg)
+        raised = tl.abstract_weight(basic, below)
+        standing = standing.join(raised.select("event_id"), "event_id", "left_anti").unionByName(
+            raised.select("event_id", "w_i", F.lit(False).alias("is_silent"), F.lit(0.0).alias("event_valence")))
     live = (
         lake.visible_events(src.event).select("event_id", "abstract_coverage").join(standing, "event_id", "left")
         .filter(~F.coalesce("is_silent", F.lit(False))))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import scoring, text as tx
-from memlake.operators import monitor, output, recall, timeline as tl
-from memlake.sources import lake
+from memlake.operators import monitor, output, recall, search, timeline as tl
 
 
 def chunk_snapshot(event: DataFrame, role: DataFrame, nodes: DataFrame, log: DataFrame, turns: DataFrame,
@@ -32,8 +31,9 @@ def invariant_probes(t) -> DataFrame:
     edge = t.graph_edge.join(t.graph_node.select(F.col("event_id").alias("parent"), F.col("level").alias("up")), "parent").join(
         t.graph_node.select(F.col("event_id").alias("child"), F.col("level").alias("down")), "child")
     energy = tl.activation_energy(t.event_role.withColumn("energy", F.col("arousal")), cfg)
-    modes = output.mode_output(t.turn.filter("role = 'system'").select(
-        F.lit("passive_log").alias("mode"), F.col("text").alias("context"), F.array(F.lit("idle")).alias("npc_directives")))
+    modes = output.mode_output(t.turn.select(
+        F.when(F.col("role") == "system", "passive_log").otherwise("assistant").alias("mode"), F.col("text").alias("context"), F.array(F.lit("idle")).alias("npc_directives")))
+    kept = search.hit_hydrate(recall.rrf_single(t.hits, cfg).select("query_id", "event_id"), t.event).select("event_id")
     strong = entries.agg(F.avg(F.when(F.col("memory_weight") >= 0.5, F.col("memory_weight"))).alias("hi"),
                          F.avg(F.when(F.col("memory_weight") < 0.5, F.col("memory_weight"))).alias("lo"))
     return monitor.union_all([
@@ -42,9 +42,10 @@ def invariant_probes(t) -> DataFrame:
         p(docs, "keyword_coverage", tx.term_hits(F.col("text"), ("the", "der", "le", "que")) < 2),
         p(entries, "timeline_tier", F.col("importance").isin("S", "A") & (F.col("n") % 2 == 0) & ~F.contains(F.col("role_summary"), F.lit("decided"))),
         p(block, "block_budget", F.col("total") > cfg.redline),
-        p(lake.visible_events(t.event), "tombstone_exclusion", F.col("is_tombstoned")),
+        p(kept.join(t.event.select("event_id", "is_tombstoned", "status"), "event_id"), "tombstone_exclusion",
+          F.col("is_tombstoned") | (F.col("status") == "silent")),
         p(edge, "level_chain", F.col("up") != F.col("down") + 1),
         p(energy, "activation_range", (F.col("activation_energy") < 0) | (F.col("activation_energy") > 1)),
-        p(modes, "passive_silence", F.col("context").isNotNull()),
+        p(modes, "passive_silence", (F.col("mode") == "passive_log") == F.col("context").isNotNull()),
         p(strong, "retention_order", ~(F.col("hi") > F.col("lo"))),
     ])

@@ -92,10 +92,10 @@ def chunk_snapshot(t):
       union all select 'block_budget', count(*), count(*) filter (where total>20000) from (select query_id, max(used) as total from (
           select query_id, (sum(text_len) over w)::bigint as used, row_number() over w as p from scored where text_len>0
           window w as (partition by query_id order by score desc, event_id rows unbounded preceding)) where used<=20000 or p=1 group by query_id)
-      union all select 'tombstone_exclusion', count(*), 0 from event where not is_tombstoned and status<>'silent'
+      union all select 'tombstone_exclusion', count(*), count(*) filter (where is_tombstoned or status='silent') from scored join event using (event_id) where not is_tombstoned and status<>'silent'
       union all select 'level_chain', count(*), count(*) filter (where p.level<>c.level+1) from graph_edge x join graph_node p on p.event_id=x.parent join graph_node c on c.event_id=x.child
       union all select 'activation_range', count(*), count(*) filter (where a<0 or a>1) from (select event_id, least(max(arousal),1.0) as a from event_role group by event_id)
-      union all select 'passive_silence', count(*), 0 from turns where role='system'
+      union all select 'passive_silence', count(*), count(*) filter (where role<>'system' and text is null) from turns
       union all select 'retention_order', 1, (case when (select avg(memory_weight) from timeline where memory_weight>=0.5) > (select avg(memory_weight) from timeline where memory_weight<0.5) then 0 else 1 end))""",
     "event_text", "timeline", "hits", "graph_node", "graph_edge", "turns", "event_role", scored=_RRF))
 def invariant_probes(t):

@@ -10,7 +10,7 @@ from memlake.operators.ordered import exact_percentiles
 from memlake.operators.output import context_text
 from memlake.registry.core import query, r6, us
 from memlake.registry.sources import hit_block
-from memlake.registry.timeline import _ASOF, _WEIGHT
+from memlake.registry.timeline import _ASOF, _WEIGHT, _ABSTRACT_WEIGHT, user_abstracts
 from memlake.sources import lake
 
 _FACTOR = "(1+0.5*log10(1+greatest(weight,0)))"
@@ -201,10 +201,14 @@ def active_pool_semi(t):
 @query("tier1_refresh", with_ctes(f"""
     select event_id, round(w_i,6) as w_i, round(greatest(w_i,1e-6),6) as w_eff, round(u,6) as sample_u,
       round(pow(u, 1/greatest(w_i,1e-6)),6) as sample_key
-    from (select event_id, w_i, {_U} as u from weight join event using (event_id) where not is_tombstoned and status<>'silent')""",
-    "event", "event_role", "timeline", "clock", weight=_WEIGHT))
+    from (select event_id, w_i, {_U} as u from (select event_id, w_i from weight join event using (event_id) where not is_tombstoned and status<>'silent'
+      union all select event_id, w_i from raised))""",
+    "event", "event_role", "timeline", "clock", weight=_WEIGHT, raised=_ABSTRACT_WEIGHT))
 def tier1_refresh(t):
-    out = sampling.tier1_refresh(t.event, t.event_role, t.timeline, t.as_of)
+    leaves = user_abstracts(t)
+    roots = leaves.select(F.col("root").alias("event_id")).distinct().withColumns({
+        "is_abstract": F.lit(True), "is_tombstoned": F.lit(False), "status": F.lit("active")})
+    out = sampling.tier1_refresh(t.event.unionByName(roots, allowMissingColumns=True), t.event_role, t.timeline, t.as_of, leaves=leaves)
     return out.select("event_id", *[r6(c, c) for c in ("w_i", "w_eff", "sample_u", "sample_key")])
 
 

@@ -8,6 +8,7 @@ from memlake.mappings import scalar, with_ctes
 from memlake.operators import timeline as tl
 from memlake.registry.core import query, r6, us
 from memlake.sources import corpus, lake, responses
+from memlake.streaming.jobs import scratch
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 _STOPS = "。.!?！？”』〉\"'"
@@ -24,13 +25,20 @@ def corpus_trim(t):
 
 
 @query("corpus_chunk", """
-    select doc_id, length(text)::bigint as chars, md5(text) as text_md5, true as sizes_ok from documents where text <> ''""")
+    select doc_id, length(text)::bigint as chars, md5(text) as text_md5, true as sizes_ok, length(text) <= 2000 as whole,
+      length(text) - length(regexp_replace(text, '[。.][”』〉"'']*', '', 'g')) = 0 as stopless from documents where text <> ''""")
 def corpus_chunk(t):
     pieces = corpus.corpus_chunk(t.raw("documents"), stops="。.")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda s: s["content"]), "")
+    last = Window.partitionBy("doc_id").orderBy(F.col("id").desc())
+    pieces = pieces.withColumn("is_last", F.row_number().over(last) == 1)
+    ends = F.col("content").rlike(r"[。.][”』〉\"']*$")
+    inner = F.col("content").rlike(r"[。.]")
+    # a piece ends at a stop, unless no stop was near its aim; a piece without any is as long as an aim may be
+    fair = (F.col("size") == F.length("content")) & (F.col("size") > 0) & (F.col("is_last") | ends | (F.col("size").between(300, 2000) & ~F.substr("content", F.lit(151)).rlike(r"[。.]")))
     return pieces.groupBy("doc_id").agg(
-        F.sum("size").alias("chars"), F.md5(joined).alias("text_md5"),
-        F.bool_and((F.col("size") == F.length("content")) & (F.col("size") > 0)).alias("sizes_ok"))
+        F.sum("size").alias("chars"), F.md5(joined).alias("text_md5"), F.bool_and(fair).alias("sizes_ok"),
+        ((F.count("*") == 1) & (F.sum("size") <= 2000)).alias("whole"), (F.count_if(inner) == 0).alias("stopless"))
 
 
 @query("chunk_json_io", """
@@ -39,15 +47,16 @@ def corpus_chunk(t):
 def chunk_json_io(t):
     chunks = t.raw("documents").select(F.col("doc_id").cast("int").alias("id"), F.length("text").alias("size"),
                                        F.col("text").alias("content"))
-    lines = chunks.select(F.to_json(F.struct("id", "size", "content")).alias("line"))
-    back = lines.select(F.from_json("line", "id int, size int, content string").alias("c")).select("c.*")
+    path = scratch(t.spark, "chunks")
+    corpus.write_chunks(chunks, path)
+    back = corpus.read_chunks(t.spark, path)
     return corpus.resume_chunks(back, 10, 500).select("id", "size", F.md5("content").alias("content_md5"))
 
 
 @query("chunk_quality", """
     select count(*) as chunks,
       count(*) filter (where right(text,1) in ('。','！','？','”','』','〉','"','''')) as good_end,
-      count(*) filter (where length(text) between 100 and 4000) as good_size, count(*) as true_size
+      count(*) filter (where length(text) between 100 and 4000) as good_size, count(*) filter (where n_chars = length(text)) as true_size
     from documents""")
 def chunk_quality(t):
     docs = t.raw("documents")
@@ -104,7 +113,10 @@ def hit_block(t):
 def recall_log_append(t):
     block = hit_block(t)
     twice = block.unionByName(block.withColumn("position", F.col("position") + 100))
-    return lake.recall_log_rows(twice).select(
+    path = scratch(t.spark, "recall-log")
+    for part in (F.col("even"), ~F.col("even")):  # two runs append to one log
+        lake.append_recall_log(lake.recall_log_rows(twice.withColumn("even", F.xxhash64("query_id") % 2 == 0).filter(part)), path)
+    return t.spark.read.parquet(path).select(
         "query_id", F.array_join("event_ids", "|").alias("ids"), F.size("event_ids").alias("n"))
 
 
@@ -168,7 +180,9 @@ def response_parse(t):
       (case when kind=6 then length(s) else 2 end)::int as raw_chars from raw_rows where kind>=6""", raw_rows=_RAW))
 def response_reject(t):
     out = responses.response_parse(raw_answers(t), "raw", "summary string, char_count int")
-    return responses.response_reject(out, "raw").select(
+    path = scratch(t.spark, "rejects")
+    responses.write_rejects(responses.response_reject(out, "raw"), path)
+    return t.spark.read.parquet(path).select(
         "conv_id", "turn", "task_type", "reason", F.length("raw").alias("raw_chars"))
 
 
@@ -209,6 +223,12 @@ def role_nested(t):
                       F.array_join(F.transform("timeline", item), "|").alias("line"))
 
 
+@query("role_flatten", with_ctes("""
+    select r.role_id, r.name, t.event_id, t.importance, epoch_us(t.create_time) as at_us from role r left join timeline t using (role_id)""", "role", "timeline"))
+def role_flatten(t):
+    return lake.role_flatten(lake.role_nested(t.role, t.timeline, 20)).select("role_id", "name", "event_id", "importance", us("create_time", "at_us"))
+
+
 # -- filters ---------------------------------------------------------------
 @query("visible_events", with_ctes(
     "select event_id, status from event where not is_tombstoned and status<>'silent'", "event"))

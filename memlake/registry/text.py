@@ -62,12 +62,15 @@ def boundary_decode(t):
 
 
 @query("canonical_equal", r"""
-    select doc_id, true as spaced_equal, regexp_replace(text,'\s+','','g')='' as cut_equal from documents""")
+    select doc_id, regexp_replace(text,'\s+','','g')=regexp_replace('  '||replace(text,' ',chr(10)||' '||chr(9))||chr(10),'\s+','','g') as spaced_equal,
+      regexp_replace(text,'\s+','','g')='' as cut_equal, regexp_replace(text,'\s+','','g')=regexp_replace(case when doc_id%2=0 then text||chr(9) else left(text,length(text)-1) end,'\s+','','g') as last_equal
+    from documents""")
 def canonical_equal(t):
     x = F.col("text")
     spaced = F.concat(F.lit("  "), F.replace(x, F.lit(" "), F.lit("\n \t")), F.lit("\n"))
     return t.raw("documents").select("doc_id", tx.same_text(x, spaced).alias("spaced_equal"),
-                                     tx.same_text(x, F.concat(x, x)).alias("cut_equal"))
+                                     tx.same_text(x, F.concat(x, x)).alias("cut_equal"), tx.same_text(x, F.when(
+                                         F.col("doc_id") % 2 == 0, F.concat(x, F.lit("\t"))).otherwise(F.left(x, F.length(x) - 1))).alias("last_equal"))
 
 
 @query("shadow_build", with_ctes("""

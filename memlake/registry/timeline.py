@@ -78,9 +78,18 @@ _WEIGHT = f"""select event_id, case when im then 300.0 else coalesce(max(eff) fi
 _WEIGHT = _WEIGHT.replace("create_time", "t.create_time")
 
 
-@query("event_weight", with_ctes("select event_id, round(w_i,6) as w_i from weight", "event_role", "timeline", "clock", weight=_WEIGHT))
+def user_abstracts(t):
+    """(root, event_id): an abstract event for each user over a third of the user's events."""
+    return t.event.filter("n % 3 = 0").select(F.concat(F.lit("ABS-"), "user_id").alias("root"), "event_id")
+
+
+_ABSTRACT_WEIGHT = "select 'ABS-'||user_id as event_id, coalesce(max(w_i),0) as w_i from event left join weight using (event_id) where n%3=0 group by user_id"
+
+
+@query("event_weight", with_ctes("select event_id, round(w_i,6) as w_i from (select event_id, w_i from weight union all select event_id, w_i from raised)",
+                                 "event", "event_role", "timeline", "clock", weight=_WEIGHT, raised=_ABSTRACT_WEIGHT))
 def event_weight(t):
-    return tl.event_weight(t.event_role, t.timeline, t.as_of).select("event_id", r6("w_i", "w_i"))
+    return tl.event_weight(t.event_role, t.timeline, t.as_of, leaves=user_abstracts(t)).select("event_id", r6("w_i", "w_i"))
 
 
 @query("w_eff", with_ctes("""

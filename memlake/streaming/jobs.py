@@ -10,6 +10,7 @@ from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import ids
 from memlake.plans.seal import seal_events
 from memlake.sources import lake
+from memlake.session import shared_folder
 from memlake.streaming import state
 
 WATERMARK = "1 hour"
@@ -17,14 +18,7 @@ WATERMARK = "1 hour"
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that spark.checkpoint.dir names."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-        base = tempfile.mkdtemp(prefix="memlake-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
