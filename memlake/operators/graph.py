@@ -91,13 +91,13 @@ def asf_propagate(nodes: DataFrame, leaves: DataFrame, vector: DataFrame, old: D
 
 
 def narrative_dedupe(subset_leaves: DataFrame, abstract_leaves: DataFrame, abstracts: DataFrame,
-                     cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Subsets that retell one of the K newest abstracts; the newest match wins.
+                     cfg: MemoryConfig = DEFAULT, recent_k: int | None = None) -> DataFrame:
+    """Subsets that retell one of the K newest abstracts (`recent_k`, smaller under load); the newest match wins.
 
     `subset_leaves` is (subset_id, event_id), `abstract_leaves` is (root, event_id).
     Only pairs sharing a leaf are formed, and at most K abstracts take part.
     """
-    recent = abstracts.orderBy(F.col("create_time").desc(), F.col("event_id").desc()).limit(cfg.dup_recent_k).select(
+    recent = abstracts.orderBy(F.col("create_time").desc(), F.col("event_id").desc()).limit(recent_k or cfg.dup_recent_k).select(
         F.col("event_id").alias("root"), "create_time")
     size = subset_leaves.groupBy("subset_id").agg(F.count("*").alias("n"))
     shared = (

@@ -56,9 +56,10 @@ def load_factors(samples: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
 def load_limits(samples: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Pool and mining windows under the current load."""
     return load_factors(samples, cfg).select(
-        "load_recall", "load_abstract",
+        "load_recall", "load_abstract", "load_global",
         scoring.adjusted_limit(F.lit(cfg.pool_base), F.lit(cfg.pool_min), F.col("load_recall"), cfg).alias("pool_limit"),
-        scoring.adjusted_limit(F.lit(cfg.recent_k), F.lit(cfg.min_recent_k), F.col("load_abstract"), cfg).alias("recent_k"))
+        scoring.adjusted_limit(F.lit(cfg.recent_k), F.lit(cfg.min_recent_k), F.col("load_abstract"), cfg).alias("recent_k"),
+        scoring.adjusted_limit(F.lit(cfg.dup_recent_k), F.lit(cfg.dup_min_recent_k), F.col("load_global"), cfg).alias("dup_recent_k"))
 
 
 def quality_ema(rates: DataFrame, key: str, order: list[str], rate: str, out: str,

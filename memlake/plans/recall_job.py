@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memlake.config import DEFAULT, MemoryConfig
+from memlake.config import DEFAULT, EMOTION_TERMS, ENTITY_TERMS, FACT_TERMS, MemoryConfig
 from memlake.functions import scoring, text as tx, vectors
 from memlake.operators import graph, recall, roles, search
 from memlake.operators.ordered import first_per_key
@@ -45,7 +45,7 @@ def prepare(questions: DataFrame, role: DataFrame, event_role: DataFrame) -> tup
     """Focus roles, and the questions (`query_id`, `text`, `shadow`) with entity hint, mean valence and band weights."""
     focus = roles.focus_roles(questions, role)
     full = F.concat_ws("\n", F.nullif("shadow", F.lit("")), "text")
-    blend = scoring.intent_blend(*[tx.term_hits(full, terms) for terms in (tx.ENTITY_TERMS, tx.EMOTION_TERMS, tx.FACT_TERMS)])
+    blend = scoring.intent_blend(*[tx.term_hits(full, terms) for terms in (ENTITY_TERMS, EMOTION_TERMS, FACT_TERMS)])
     asked = (questions.join(roles.entity_hint(focus, role), "query_id", "left")
              .join(roles.query_valence(questions, focus, event_role).withColumnRenamed("valence", "query_valence"), "query_id", "left")
              .na.fill({"hint": "", "query_valence": 0.0, "shadow": ""}))

@@ -1,5 +1,7 @@
 """Frequent sets and the subset bookkeeping around them."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from memlake.config import DEFAULT as CFG
@@ -153,11 +155,67 @@ def mine_round(t):
     return out.select("abstract_id", F.array_join("members", "|").alias("members"), r6("support", "support"), "round")
 
 
-@query("mine_abstracts")
-def mine_abstracts_(t):
+ROUNDS = 26  # as many as the SQL below is written out for; a table that needs more would show as a difference
+
+
+def _rounds() -> dict[str, str]:
+    """The loop written out: recent rows, their sets, the closed set that is taken, and the rows after it."""
+    out = {"r1": "select * from recall_log order by created_at desc, recall_id desc limit 1000"}
+    for i in range(1, ROUNDS + 1):
+        support = CFG.escalated_support if i - 1 > CFG.escalate_after else CFG.min_support
+        names = {k: f"{k}{i}" for k in ("sets", "pairs", "cand", "found", "closed")}
+        own = {"sets": f"select event_ids as items, count(*) as n, sum(exp(-0.01*{_AGE})) as w from r{i} where len(event_ids)>=6 group by event_ids",
+               "pairs": _PAIRS, "cand": _CAND, "found": _FOUND.replace(">=12", f">={support}"), "closed": _CLOSED}
+        for k, sql in own.items():
+            for old, new in names.items():
+                sql = re.sub(rf"\b(from|join) {old}\b", rf"\1 {new}", sql)
+            out[names[k]] = sql
+        out[f"pick{i}"] = f"""select 'ABS-'||md5(array_to_string(s,'|')) as abstract_id, s as members, support, {i} as round
+            from closed{i} order by len(s) desc, round(support,9) desc, array_to_string(s,'|') limit 1"""
+        out[f"r{i + 1}"] = f"""select recall_id, created_at, case when p.members is not null and list_has_all(event_ids, p.members)
+            then list_sort(list_distinct(list_filter(event_ids, lambda x: not list_contains(p.members, x))||[p.abstract_id])) else event_ids end as event_ids
+            from r{i} left join pick{i} p on true"""
+    out["made"] = " union all ".join(f"select * from pick{i}" for i in range(1, ROUNDS + 1))
+    return out
+
+
+def mined(t):
     from memlake.plans.mine import mine_abstracts
     none = t.spark.createDataFrame([], "fingerprint string, abstract_event_id string")
-    out = mine_abstracts(t.recall_log, none, t.as_of, max_rounds=3)
-    per = out.log.select(F.explode("event_ids").alias("abstract_id")).groupBy("abstract_id").agg(F.count("*").alias("log_rows"))
+    return mine_abstracts(t.recall_log, none, t.as_of)
+
+
+@query("mine_abstracts", with_ctes(f"""
+    select abstract_id, array_to_string(members,'|') as members, round(support,6) as support, round,
+      (select count(*) from r{ROUNDS + 1} where list_contains(event_ids, abstract_id)) as log_rows from made""", "recall_log", "clock", **_rounds()))
+def mine_abstracts_(t):
+    out = mined(t)
+    newest = lake.newest(t.recall_log, CFG.recent_k, ["created_at", "recall_id"]).select("recall_id")
+    per = out.log.join(newest, "recall_id", "left_semi").select(F.explode("event_ids").alias("abstract_id")).groupBy("abstract_id").agg(F.count("*").alias("log_rows"))
     return out.abstract.join(per, "abstract_id", "left").select(
-        "abstract_id", F.array_join("members", "|").alias("members"), r6("support", "support"), "round", "log_rows")
+        "abstract_id", F.array_join("members", "|").alias("members"), r6("support", "support"), "round", F.coalesce("log_rows", F.lit(0)).alias("log_rows"))
+
+
+@query("mine_effects", "with recursive " + with_ctes("""
+    select node as event_id, round(least(sum(1.0::double/(1+ln(n))), 3.0::double),6) as abstract_coverage, node not like 'ABS-%' and bool_or(direct) as marked,
+      coalesce(any_value(lev.level), 0)::int as level
+    from (select root, node, direct, count(*) over (partition by root) as n from touched) left join lev on lev.event_id=node group by node""",
+    "recall_log", "clock", **_rounds(),
+    e="select abstract_id as parent, unnest(members) as child from made",
+    walk="select parent as root, child as node, 1 as depth from e union select w.root, e.child, w.depth+1 from walk w join e on w.node=e.parent",
+    touched="select root, node, bool_or(depth=1) as direct from walk where depth=1 or node not like 'ABS-%' group by root, node",
+    lev="select root as event_id, max(depth) as level from walk group by root")[5:])
+def mine_effects(t):
+    from memlake.functions import vectors
+    from memlake.plans.mine import effects
+    out = mined(t)
+    items = t.recall_log.select(F.explode("event_ids").alias("event_id")).distinct()
+    nodes = items.select("event_id", F.lit(False).alias("is_abstract"), F.lit(0).alias("level"), t.as_of.alias("create_time"),
+                         F.col("event_id").alias("content_raw"), F.lit(False).alias("is_tombstoned"), F.lit(False).alias("ptsd_immune"))
+    edges = t.spark.createDataFrame([], "parent string, child string")
+    acts = items.select("event_id", vectors.hash_embed(F.col("event_id"), 32).alias("act"))
+    done = effects(out, nodes, edges, items.withColumn("abstract_coverage", F.lit(0.0)), items.withColumn("asf", F.lit(0.0)), acts, t.as_of, 32)
+    marked = done.marked.withColumn("marked", F.lit(True))
+    level = done.event.select(F.col("abstract_id").alias("event_id"), F.col("abstraction_level").alias("level"))
+    return done.coverage.filter("abstract_coverage > 0").join(marked, "event_id", "left").join(level, "event_id", "left").select(
+        "event_id", r6("abstract_coverage", "abstract_coverage"), F.coalesce("marked", F.lit(False)).alias("marked"), F.coalesce("level", F.lit(0)).alias("level"))

@@ -243,6 +243,67 @@ def test_a_subset_of_dead_events_is_marked_and_not_retried(spark):
     assert [r.abstract_event_id for r in out.fired.collect()] == ["__skipped_abstraction_mining_noop__"]
 
 
+def test_new_abstracts_live_on_as_members(spark):
+    """Three sets that nest: each abstract is a living member of the next one."""
+    a, b = E6[:3], ["p", "q"]
+    log = log_of(spark, [a] * 5 + [[*a, *b]] * 5)
+    alive = spark.createDataFrame([(x,) for x in [*a, *b]], "event_id string")
+    plain = mine_abstracts(log, none_fired(spark), F.lit(T0), SMALL).abstract.collect()
+    held = mine_abstracts(log, none_fired(spark), F.lit(T0), SMALL, alive=alive)
+    assert [r.members for r in held.abstract.collect()] == [r.members for r in plain] and len(plain) == 2
+    assert all(not r.abstract_event_id.startswith("__") for r in held.fired.collect())
+
+
+def test_new_abstracts_shadow_later_sets(spark):
+    cfg = MemoryConfig(min_size=3, min_support=3, escalated_support=4)
+    log = log_of(spark, [E6[:5]] * 4 + [E6[:4]] * 4)
+    known = spark.createDataFrame([], "event_id string, create_time timestamp_ntz")
+    out = mine_abstracts(log, none_fired(spark), F.lit(T0), cfg, known=known)
+    made = {r.abstract_id for r in out.abstract.collect()}
+    assert made and any(r.abstract_event_id in made and r.fingerprint not in {"|".join(x.members) for x in out.abstract.collect()} for r in out.fired.collect())
+
+
+def test_sets_without_evidence_are_marked(spark):
+    basic = spark.createDataFrame([("other",)], "event_id string")
+    out = mine_abstracts(log_of(spark, [E6[:3]] * 3), none_fired(spark), F.lit(T0), SMALL, evidence=basic, max_rounds=1)
+    assert not out.abstract.collect() and [r.abstract_event_id for r in out.fired.collect()] == ["__skipped_abstraction_mining_noop__"]
+
+
+def test_thresholds_have_a_floor_and_never_fall():
+    from memlake.plans.mine import thresholds
+    low = MemoryConfig(min_size=1, min_support=1, escalated_support=1, escalate_after=2)
+    assert thresholds(0, low) == thresholds(9, low) == (2, 2)
+    assert thresholds(3, MemoryConfig(min_support=9, escalated_support=4, escalate_after=2)) == (6, 9)
+
+
+def test_whole_files_are_read_between_markers(spark, tmp_path):
+    for name, body in (("a", "x<s>one\r\ntwo<e>y"), ("b", "no markers"), ("c", "")):
+        (tmp_path / f"{name}.txt").write_bytes(body.encode())
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in corpus.read_corpus(spark, str(tmp_path), "<s>", "<e>").collect()}
+    assert got["a.txt"] == "one\ntwo" and got["b.txt"] == "no markers"
+
+
+def test_questions_become_blocks(spark, sf):
+    """Recall with encoded questions: every block under the redline, the log in block order, reinforced entries stronger."""
+    from memlake.mappings import Tables
+    from memlake.plans import recall_job as rj
+    from memlake.registry.search import encode_events
+    t = Tables(spark, sf)
+    asks = t.turn.filter("turn = 0").select(F.col("turn_id").alias("query_id"), "text", F.lit("KEY_3 was here").alias("shadow"), F.col("ts").cast("timestamp").alias("asked_at"))
+    focus, asked = rj.prepare(asks, t.role, t.event_role)
+    encoded = rj.encode_routes(asked, 32)
+    assert {r.route for r in encoded.select("route").distinct().collect()} >= {0, 1}
+    events = t.event_text.filter("n < 200")
+    memory = rj.Memory(events, t.event_role, t.timeline, encode_events(events, t.event_role, t.role, 32))
+    cfg = MemoryConfig(context_window=3300)
+    out = rj.recall_job(asked, encoded, focus, memory, t.as_of, cfg)
+    size = out.block.groupBy("query_id").agg(F.sum(F.length("text")).alias("n"))
+    assert size.count() > 0 and size.filter(F.col("n") > cfg.redline).isEmpty()
+    assert out.log.count() == size.count() and out.granted.count() > 0
+    better = out.timeline.withColumnRenamed("forgetting_factor", "after").join(t.timeline, ["role_id", "event_id"]).filter("after > forgetting_factor")
+    assert not better.join(out.block, "event_id", "left_semi").isEmpty() and better.join(out.block, "event_id", "left_anti").isEmpty()
+
+
 # -- text and segmentation ------------------------------------------------------------
 def frag(spark, *specs):
     return spark.createDataFrame([(f"f{i}", k, "x" * n, s) for i, (k, n, s) in enumerate(specs)],
