@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import ids
+from memlake.operators.ordered import first_per_key
 from memlake.plans.seal import seal_events
 from memlake.sources import lake
 from memlake.session import shared_folder
@@ -67,35 +69,70 @@ def dedupe(turns: DataFrame, key: str, ts: str) -> DataFrame:
     return turns.withWatermark(ts, WATERMARK).dropDuplicatesWithinWatermark([key])
 
 
-def late_rows(given: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+def late_rows(given: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows the watermark turned away, for the late sink."""
-    return given.join(accepted.select(key).distinct(), key, "left_anti")
+    return given.join(accepted.select(*keys).distinct(), keys, "left_anti")
+
+
+def in_batches(rows: DataFrame, order: Column, out: str, batches: int = 3) -> DataFrame:
+    """A table as a stream of several micro-batches: equal spans of a whole number, one file each, lowest first."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    for i in range(batches):
+        part = F.floor((order - F.lit(low or 0)) * batches / ((high or 0) - (low or 0) + 1)) == i
+        rows.filter(part).coalesce(1).write.parquet(f"{out}/part={i}")
+    return (rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(out))
+
+
+def fragment_id(conv: Column, session: Column, part: Column) -> Column:
+    return ids.content_id("EVT-", conv.cast("string"), session.cast("string"), part.cast("string"))
 
 
 def sealed_events(fragments: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Event rows of sealed fragments; the id is made of conversation and session, so a retry gives the same row."""
+    """Event rows of sealed fragments; the id is made of conversation, session and part, so a retry gives the same row."""
+    c, s = F.col("conv_id"), F.col("session_no")
+    before = F.when(F.col("part") > 0, F.transform(F.sequence(F.lit(0), F.col("part") - 1), lambda p: fragment_id(c, s, p))).otherwise(
+        F.array().cast("array<string>"))
     rows = fragments.select(
-        ids.content_id("EVT-", F.col("conv_id").cast("string"), F.col("session_no").cast("string")).alias("event_id"),
-        "conv_id", "session_no", "turns", F.timestamp_micros("start_us").alias("create_time"), "content")
+        fragment_id(c, s, F.col("part")).alias("event_id"), "conv_id", "session_no", "part", "turns", "closed_by", "oversized",
+        before.alias("split_prefix_event_ids"), F.timestamp_micros("start_us").alias("create_time"), "content")
     none = rows.select("event_id", F.lit(0.0).alias("arousal"), F.lit(0.0).alias("valence"),
                        F.lit("").alias("l1_mention"), F.lit("").alias("l2_interaction")).limit(0)
     return seal_events(rows, none, cfg)
 
 
-def ingest(turns: DataFrame, out: str, gap_minutes: int = 30, cfg: MemoryConfig = DEFAULT):
-    """Turn stream to event and recall-log tables; returns the running query.
+def newest_of_conversation(asked: DataFrame, events: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
+    """A plain recall block (`query_id`, `event_id`, `position`): the newest sealed events of the conversation that asks."""
+    mine = asked.select("query_id", "conv_id").join(events.select("conv_id", "event_id", "create_time", "part"), "conv_id")
+    return first_per_key(mine, ["query_id"], [F.col("create_time").desc(), F.col("part").desc()], cfg.n_results, "position").select("query_id", "event_id", "position")
+
+
+Recall = Callable[[DataFrame, DataFrame, MemoryConfig], DataFrame]
+
+
+def ingest(turns: DataFrame, out: str, gap_minutes: int = 30, cfg: MemoryConfig = DEFAULT, recall: Recall = newest_of_conversation):
+    """Turn stream to tables `event`, `stale`, `accepted` and `recall_log`; returns the running query.
 
-    Each micro-batch overwrites its own partition of both tables.
+    Each micro-batch overwrites its own partition of all tables, so a retried batch adds nothing. Stale text
+    is kept apart and becomes no event. Every conversation that a batch brings turns for asks once; `recall` gives the
+    block from all events sealed so far, and the log gets its rows. Turns that are in no `accepted` row came too late (`late_rows`).
     """
     fragments = state.unclosed_fragments(turns.withWatermark("ts", WATERMARK), gap_minutes, cfg)
 
     def write(rows: DataFrame, batch: int) -> None:
-        events = sealed_events(rows, cfg)
-        events.write.mode("overwrite").parquet(f"{out}/event/batch={batch}")
-        stored = rows.sparkSession.read.parquet(f"{out}/event/batch={batch}")
-        log = stored.select(F.concat(F.lit("RCL-"), "event_id").alias("recall_id"), F.col("create_time").alias("created_at"),
-                            F.array("event_id").alias("event_ids"))
-        log.write.mode("overwrite").parquet(f"{out}/recall_log/batch={batch}")
+        spark = rows.sparkSession
+        raw = f"{out}/fragment/batch={batch}"
+        rows.write.mode("overwrite").parquet(raw)
+        rows = spark.read.schema(rows.schema).parquet(raw)
+        new = lambda name, df: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+        new("event", sealed_events(rows.filter(F.col("closed_by").isin("gap", "force")), cfg))
+        new("stale", rows.filter(F.col("closed_by") == "stale").drop("accepted"))
+        accepted = rows.filter(F.col("closed_by") == state.ACCEPTED)
+        new("accepted", accepted.select("conv_id", F.explode("accepted").alias("turn")))
+        asked = accepted.select("conv_id", F.concat_ws("-", F.lit("RCL"), "conv_id", F.lit(batch)).alias("query_id"), F.timestamp_micros("end_us").alias("created_at"))
+        events = spark.read.parquet(f"{out}/event").filter(F.col("batch") <= batch)
+        log = lake.recall_log_rows(recall(asked, events, cfg)).join(asked.select("query_id", "created_at"), "query_id")
+        new("recall_log", log.select(F.col("query_id").alias("recall_id"), "created_at", "event_ids"))
 
     return (fragments.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state")
             .trigger(availableNow=True).foreachBatch(write).start())

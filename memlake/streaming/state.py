@@ -29,36 +29,56 @@ def _micros(ts) -> int:
 
 
 # -- open fragments ----------------------------------------------------------
-SEALED = "conv_id bigint, session_no bigint, turns bigint, start_us bigint, end_us bigint, content string, closed_by string"
-OPEN = "session_no bigint, texts array<string>, start_us bigint, end_us bigint"
+SEALED = ("conv_id bigint, session_no bigint, part int, turns bigint, start_us bigint, end_us bigint, content string, "
+          "closed_by string, oversized boolean, accepted array<bigint>")
+OPEN = "session_no bigint, part int, texts array<string>, chars bigint, start_us bigint, end_us bigint"
+ACCEPTED = "accepted"
 
 
 def unclosed_fragments(turns: DataFrame, gap_minutes: int, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Seal a conversation's open fragment at an inactivity gap; drop it after 24 quiet hours.
+    """Seal a conversation's open text at an inactivity gap, or when a further turn would take it over the force threshold; report it as stale after 24 quiet hours.
 
     Input is a stream of turns (`conv_id`, `turn`, `ts`, `text`) with a watermark on `ts`.
+    Parts of one session are numbered from 0; what follows a forced seal is the next part, and the earlier ones are
+    its prefixes. Session numbers of a conversation are never used twice: only the text of a stale one leaves the
+    state. The state holds at most the threshold and one turn. A row whose `closed_by` is `accepted` names
+    the turns that a batch took in; turns behind the watermark appear in none.
     """
-    gap_us, stale_ms = gap_minutes * 60_000_000, cfg.stale_hours * 3_600_000
+    gap_us, stale_ms, most = gap_minutes * 60_000_000, cfg.stale_hours * 3_600_000, cfg.force_threshold
+    columns = [c.split()[0] for c in SEALED.split(", ")]
 
     def step(key: tuple, rows: Rows, state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SEALED.split(", ")]
+        no, part, texts, chars, start, end = state.get if state.exists else (0, 0, [], 0, 0, 0)
+        texts, out, taken = list(texts), [], []
+
+        def seal(why: str) -> None:
+            content = "\n".join(texts)
+            out.append((key[0], no, part, len(texts), start, end, content, why, len(content) > most, []))
+            texts.clear()
+
         if state.hasTimedOut:
-            no, texts, start, end = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], no, len(texts), start, end, "\n".join(texts), "stale")], columns=columns)
+            if texts:
+                seal("stale")
+            state.update((no, part, [], 0, start, end))
+            yield pd.DataFrame(out, columns=columns)
             return
-        no, texts, start, end = state.get if state.exists else (0, [], 0, 0)
-        texts, out = list(texts), []
         for row in _ordered(rows, ["ts", "turn"]).itertuples(index=False):
-            at = _micros(row.ts)
+            at, text = _micros(row.ts), row.text or ""
+            taken.append(int(row.turn))
             if texts and at - end > gap_us:
-                out.append((key[0], no, len(texts), start, end, "\n".join(texts), "gap"))
-                texts = []
+                seal("gap")
+            if not texts:
+                no, part = no + 1, 0
+            elif chars + 1 + len(text) > most:
+                seal("force")
+                part += 1
             if not texts:
-                no, start = no + 1, at
-            texts.append(row.text)
+                start, chars = at, -1
+            texts.append(text)
+            chars += 1 + len(text)
             end = max(end, at)
-        state.update((no, texts, start, end))
+        out.append((key[0], no, part, 0, start, end, "", ACCEPTED, False, taken))
+        state.update((no, part, texts, chars, start, end))
         # the timer may not lie behind the watermark, as it would for a late but accepted turn
         state.setTimeoutTimestamp(max(end // 1000 + stale_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=columns)

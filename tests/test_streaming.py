@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from memlake.config import MemoryConfig
 from memlake.streaming import jobs, state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -23,23 +24,42 @@ def source(spark, tmp_path, batches, schema, name="in"):
 TURN = "conv_id bigint, turn bigint, ts timestamp, text string"
 
 
+def fragments(spark, tmp_path, batches, gap=30, name="in", **cfg):
+    src = source(spark, tmp_path, batches, TURN, name).withWatermark("ts", jobs.WATERMARK)
+    return jobs.drain(state.unclosed_fragments(src, gap, MemoryConfig(**cfg)), str(tmp_path / f"{name}-out"))
+
+
 def test_gap_closes_a_fragment_across_batches(spark, tmp_path):
     batches = [[(1, 0, T0, "a"), (2, 0, T0, "x")], [(1, 1, T0 + 5 * MIN, "b")], [(1, 2, T0 + 90 * MIN, "c")]]
-    src = source(spark, tmp_path, batches, TURN).withWatermark("ts", jobs.WATERMARK)
-    out = jobs.drain(state.unclosed_fragments(src, 30), str(tmp_path / "out"))
-    assert rows(out, "conv_id", "session_no", "turns", "content", "closed_by") == [(1, 1, 2, "a\nb", "gap")]
+    out = fragments(spark, tmp_path, batches).filter("closed_by <> 'accepted'")
+    assert rows(out, "conv_id", "session_no", "part", "turns", "content", "closed_by") == [(1, 1, 0, 2, "a\nb", "gap")]
+
 
+def test_a_stale_session_number_is_not_used_again(spark, tmp_path):
+    day = 60 * 24 * MIN
+    batches = [[(1, 0, T0, "a")], [(2, 0, T0 + 2 * day, "x")], [(2, 1, T0 + 2 * day + MIN, "y")], [(1, 1, T0 + 2 * day, "b")], [(1, 2, T0 + 3 * day, "c")]]
+    out = fragments(spark, tmp_path, batches).filter("closed_by <> 'accepted'")
+    got = rows(out.filter("conv_id = 1"), "session_no", "content", "closed_by")
+    assert got[:2] == [(1, "a", "stale"), (2, "b", "gap")] and out.select("conv_id", "session_no", "part").distinct().count() == out.count()
 
-def test_quiet_fragment_is_dropped_after_a_day(spark, tmp_path):
-    batches = [[(1, 0, T0, "a")], [(2, 0, T0 + 60 * 48 * MIN, "x")], [(3, 0, T0 + 60 * 72 * MIN, "y")]]
-    src = source(spark, tmp_path, batches, TURN).withWatermark("ts", jobs.WATERMARK)
-    out = jobs.drain(state.unclosed_fragments(src, 30), str(tmp_path / "out"))
-    assert (1, "stale") in rows(out, "conv_id", "closed_by")
 
+def test_long_text_is_sealed_in_parts_and_state_stays_small(spark, tmp_path):
+    batches = [[(1, i, T0 + i * MIN, "x" * 60) for i in range(k, k + 2)] for k in (0, 2, 4)] + [[(1, 9, T0 + 99 * MIN, None)], [(1, 10, T0 + 199 * MIN, "y" * 400)], [(1, 11, T0 + 299 * MIN, "z")]]
+    out = fragments(spark, tmp_path, batches, context_window=3667)  # threshold 99
+    got = rows(out.filter("closed_by <> 'accepted'"), "session_no", "part", "turns", "closed_by", "oversized")
+    assert got == [(1, i, 1, "force" if i < 5 else "gap", False) for i in range(6)] + [(2, 0, 1, "gap", False), (3, 0, 1, "gap", True)]
+    sealed = jobs.sealed_events(out.filter("session_no = 1 and closed_by in ('force', 'gap')"))
+    chain = {r.part: (r.event_id, r.split_prefix_event_ids) for r in sealed.collect()}
+    assert all(chain[p][1] == [chain[q][0] for q in range(p)] for p in chain) and len({v[0] for v in chain.values()}) == 6
 
-def test_late_rows_are_kept_aside(spark, tmp_path):
-    given = spark.createDataFrame([(1,), (2,)], "turn bigint")
-    assert rows(jobs.late_rows(given, given.filter("turn = 1"), "turn")) == [(2,)]
+
+def test_late_turns_are_in_no_accepted_row(spark, tmp_path):
+    batches = [[(1, 0, T0, "a")], [(1, 1, T0 + 600 * MIN, "b")], [(2, 0, T0 + 600 * MIN, "x")], [(1, 2, T0 + 5 * MIN, "late"), (2, 1, T0 + 600 * MIN, "x")], [(1, 3, T0 + 601 * MIN, "c")]]
+    src = source(spark, tmp_path, batches, TURN)
+    jobs.ingest(src, str(tmp_path / "lake")).awaitTermination()
+    given = spark.createDataFrame([r for b in batches for r in b], TURN)
+    late = jobs.late_rows(given, spark.read.parquet(str(tmp_path / "lake" / "accepted")), ["conv_id", "turn"])
+    assert rows(late, "conv_id", "turn") == [(1, 2)]
 
 
 def test_rolling_affect_in_three_batches_equals_one(spark, tmp_path):
@@ -90,12 +110,16 @@ def test_session_windows_close_behind_the_watermark(spark, tmp_path):
 def test_ingest_tables_agree_with_the_batch_sessions(spark, tmp_path):
     from memlake.operators.segment import gap_sessions
     turns = [(c, i, T0 + (i * 11 + (i // 4) * 60 + c) * MIN, f"text {c} {i}.") for i in range(12) for c in range(3)]
-    src = source(spark, tmp_path, [turns[:9], turns[9:20], turns[20:]], TURN)
+    turns.append((9, 0, T0, "left alone"))
+    turns.append((8, 0, T0 + 60 * 72 * MIN, "much later"))
+    src = source(spark, tmp_path, [turns[:9] + turns[-2:-1], turns[9:20], turns[20:-2], turns[-1:]], TURN)
     jobs.ingest(src, str(tmp_path / "lake")).awaitTermination()
-    events = spark.read.parquet(str(tmp_path / "lake" / "event"))
+    events, stale, log = (spark.read.parquet(str(tmp_path / "lake" / x)) for x in ("event", "stale", "recall_log"))
     batch = gap_sessions(spark.createDataFrame(turns, TURN), 30).groupBy("conv_id", "session_no").agg(F.count("*").alias("turns"))
     last = batch.groupBy("conv_id").agg(F.max("session_no").alias("last"))
     closed = batch.join(last, "conv_id").filter("session_no < last")
     assert rows(events, "conv_id", "session_no", "turns") == rows(closed, "conv_id", "session_no", "turns")
-    log = spark.read.parquet(str(tmp_path / "lake" / "recall_log"))
-    assert log.count() == events.count() > 0
+    assert {r.conv_id for r in stale.collect()} == {0, 1, 2, 9} and 9 not in {r.conv_id for r in events.collect()}
+    known = {r.event_id for r in events.collect()}
+    lists = [r.event_ids for r in log.collect()]
+    assert max(map(len, lists)) > 1 and all(len(set(x)) == len(x) and set(x) <= known for x in lists)
