@@ -37,6 +37,30 @@ def _prefix_items(sets: DataFrame, min_size: int) -> DataFrame:
         "sid", F.explode(F.slice("o", F.lit(1), F.size("o") - min_size + 1)).alias("p")).select("sid", "p.item", "p.df")
 
 
+def _part_count(df: Column) -> Column:
+    return F.ceil(df / SETS_PER_PART).cast("int")
+
+
+def _own_part(df: Column) -> Column:
+    """The part of an item's sets that a set belongs to."""
+    return F.pmod(F.xxhash64("sid"), _part_count(df).cast("long")).cast("int")
+
+
+def _all_parts(df: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), _part_count(df) - 1))
+
+
+def with_frequent_items(sets: DataFrame, least: float, support: str) -> DataFrame:
+    """The sets without items whose own support is below the least one; what becomes equal is one set.
+
+    A frequent set has frequent items only, so no frequent set and no support changes.
+    """
+    item = sets.select("sid", "n", "w", F.explode("items").alias("item"))
+    often = item.groupBy("item").agg(F.sum(support).alias("s")).filter(F.col("s") + 1e-6 >= least).select("item")
+    left = item.join(often, "item").groupBy("sid", "n", "w").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return left.groupBy("items").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).withColumn("sid", F.md5(F.array_join("items", "|")))
+
+
 def pair_intersections(sets: DataFrame, min_size: int) -> DataFrame:
     """Distinct T_i ∩ T_j of at least `min_size` items over all transaction pairs.
 
@@ -70,13 +94,15 @@ def contained_in(small: DataFrame, big: DataFrame) -> DataFrame:
     """(subset, sid) for every subset that lies within a set.
 
     A subset is looked up under its rarest item only, and the check is one
-    array test, so no list of matches per item is counted up.
+    array test, so no list of matches per item is counted up. The sets of a
+    very frequent item are cut into parts, which a subset visits one by one.
     """
     items = big.select("sid", "items", F.explode("items").alias("item"))
     rank = items.groupBy("item").agg(F.count("*").alias("df"))
     keyed = small.select("subset", F.explode("subset").alias("item")).join(rank, "item").groupBy("subset").agg(
-        F.min(F.struct("df", "item")).alias("r")).select("subset", F.col("r.item").alias("item"))
-    return items.join(keyed, "item").filter(F.size(F.array_except("subset", "items")) == 0).drop("item")
+        F.min(F.struct("df", "item")).alias("r")).select("subset", F.col("r.item").alias("item"), _all_parts(F.col("r.df")).alias("part"))
+    held = items.join(rank, "item").select("sid", "items", "item", _own_part(F.col("df")).alias("part"))
+    return held.join(keyed, ["item", "part"]).filter(F.size(F.array_except("subset", "items")) == 0).drop("item", "part")
 
 
 def subset_support(subsets: DataFrame, sets: DataFrame) -> DataFrame:
@@ -106,7 +132,8 @@ def closed_itemsets(log: DataFrame, as_of: Column, min_size: int, min_support: f
     so both are computed once and kept. `exact=True` takes the intersections of
     any number of transactions, which gives every closed frequent set.
     """
-    sets = checkpointed(distinct_sets(log, as_of, lam))
+    sets = distinct_sets(log, as_of, lam)
+    sets = checkpointed(with_frequent_items(sets, min_support, "w") if exact else sets)
     met = intersection_closure(sets, min_size) if exact else pair_intersections(sets, min_size)
     cand = candidates(met, min_size)
     found = checkpointed(subset_support(cand, sets).filter(F.col("support") + 1e-6 >= min_support))
@@ -122,11 +149,13 @@ def intersection_closure(sets: DataFrame, min_size: int) -> DataFrame:
     """
     base = sets.select("sid", "items").filter(F.size("items") >= min_size)
     seen = fresh = checkpointed(base.select(F.col("items").alias("subset")).distinct())
+    held = base.select("sid", "items", F.explode("items").alias("item"))
+    often = held.groupBy("item").agg(F.count("*").alias("base_df"))
+    b = held.join(often, "item").select("items", "item", _own_part(F.col("base_df")).alias("part"))
     while not fresh.isEmpty():
         small = fresh.withColumn("sid", F.md5(F.array_join("subset", "|"))).select("sid", F.col("subset").alias("items"))
-        a = _prefix_items(small, min_size).join(small, "sid").select("item", F.col("items").alias("i1"))
-        b = base.select("items", F.explode("items").alias("item"))
-        met = a.join(b, "item").select(F.array_sort(F.array_intersect("i1", "items")).alias("subset")).filter(
+        a = _prefix_items(small, min_size).join(small, "sid").join(often, "item").select("item", F.col("items").alias("i1"), _all_parts(F.col("base_df")).alias("part"))
+        met = a.join(b, ["item", "part"]).select(F.array_sort(F.array_intersect("i1", "items")).alias("subset")).filter(
             F.size("subset") >= min_size).distinct()
         fresh = checkpointed(met.join(seen, "subset", "left_anti"))
         seen = seen.unionByName(fresh)
@@ -136,7 +165,7 @@ def intersection_closure(sets: DataFrame, min_size: int) -> DataFrame:
 def frequent_subsets(log: DataFrame, min_size: int, min_support: int) -> DataFrame:
     """All intersections of transactions with their plain, undecayed support."""
     zero = F.lit("1970-01-01").cast("timestamp")
-    sets = checkpointed(distinct_sets(log, zero, 0.0))
+    sets = checkpointed(with_frequent_items(distinct_sets(log, zero, 0.0), min_support, "n"))
     return subset_support(intersection_closure(sets, min_size), sets).filter(
         F.col("txns") >= min_support).select("subset", F.col("txns").alias("support"))
 

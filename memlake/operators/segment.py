@@ -189,6 +189,23 @@ def redline_compact(unclosed: DataFrame, shadow_chars: Column, as_of: Column, cf
         "action", F.when(~over, "keep").when(long, "seal").when(stale, "drop").otherwise("keep"))
 
 
+def redline_rows(unclosed: DataFrame, shadow: DataFrame, as_of: Column, cfg: MemoryConfig = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What compaction leaves behind: sealed events with the prefixes of their open row, rows still open, trimmed shadows.
+
+    `unclosed` is (owner, item, content, last_hit_time, split_prefix_event_ids), `shadow` is
+    (owner, shadow). Owners under the redline keep everything; of the others the shadow keeps its last `safe_watermark` characters.
+    """
+    sized = unclosed.join(shadow.select("owner", F.length("shadow").alias("_shadow")), "owner", "left").na.fill({"_shadow": 0})
+    judged = redline_compact(sized, F.col("_shadow"), as_of, cfg)
+    sealed = judged.filter("action = 'seal'").select(
+        ids.content_id("EVT-", F.col("owner").cast("string"), F.col("item").cast("string"), F.col("content")).alias("event_id"), "owner", "item",
+        F.substring("content", 1, cfg.len_msg).alias("content_raw"), F.coalesce("split_prefix_event_ids", F.array().cast("array<string>")).alias("split_prefix_event_ids"))
+    kept = judged.filter("action = 'keep'").select(*unclosed.columns)
+    over = judged.filter(F.col("total") > cfg.redline).select("owner").distinct().withColumn("_over", F.lit(True))
+    cut = F.when(F.col("_over").isNotNull(), F.right("shadow", F.lit(cfg.safe_watermark))).otherwise(F.col("shadow"))
+    return sealed, kept, shadow.join(over, "owner", "left").select("owner", cut.alias("shadow"))
+
+
 def force_save(unclosed: DataFrame, current: DataFrame, cfg: MemoryConfig = DEFAULT, dedupe: bool = False) -> DataFrame:
     """Seal everything: shadow with the input per owner, and every open row on its own.
 

@@ -173,6 +173,29 @@ def redline_compact(t):
     return segment.redline_compact(rows, F.lit(5000), scalar(t.turn, F.max("ts"))).select(F.col("owner").alias("conv_id"), "turn", "action")
 
 
+_REDLINE = """select conv_id, turn, x, case when total<=20000 then 'keep' when length(x)>=2400 then 'seal'
+    when ts < (select max(ts) from turns)-interval 24 hour then 'drop' else 'keep' end as action, total
+  from (select conv_id, turn, ts, repeat(text,3) as x, sum(length(text)*3) over (partition by conv_id) + least(sum(length(text)) over (partition by conv_id)*2, 90000) as total from turns)"""
+
+
+@query("redline_rows", with_ctes("""
+    select 'sealed' as kind, conv_id, turn, md5(left(x,2000)) as text_md5, case when turn%2=1 then 'EVT-'||(turn-1) else '' end as prefixes from judged where action='seal'
+    union all select 'open', conv_id, turn, md5(x), case when turn%2=1 then 'EVT-'||(turn-1) else '' end from judged where action='keep'
+    union all select 'shadow', conv_id, -1, md5(case when total>20000 then right(s,4000) else s end), '' from (
+      select conv_id, repeat('s', least(sum(length(text))*2, 90000)::int-1)||'!' as s from turns group by conv_id) join (select distinct conv_id, total from judged) using (conv_id)""",
+    "turns", judged=_REDLINE))
+def redline_rows(t):
+    rows = t.turn.select(F.col("conv_id").alias("owner"), F.col("turn").alias("item"), F.repeat("text", F.lit(3)).alias("content"), F.col("ts").alias("last_hit_time"),
+                         F.when(F.col("turn") % 2 == 1, F.array(F.concat(F.lit("EVT-"), F.col("turn") - 1))).alias("split_prefix_event_ids"))
+    size = F.least(F.sum(F.length("text")) * 2, F.lit(90000)).cast("int")
+    shadow = t.turn.groupBy(F.col("conv_id").alias("owner")).agg(F.concat(F.repeat(F.lit("s"), size - 1), F.lit("!")).alias("shadow"))
+    sealed, kept, left = segment.redline_rows(rows, shadow, scalar(t.turn, F.max("ts")))
+    row = lambda kind, df, item, text, prefixes: df.select(F.lit(kind).alias("kind"), F.col("owner").alias("conv_id"), item.cast("bigint").alias("turn"), F.md5(text).alias("text_md5"), prefixes.alias("prefixes"))
+    before = F.array_join(F.coalesce("split_prefix_event_ids", F.array().cast("array<string>")), ",")
+    return (row("sealed", sealed, F.col("item"), F.col("content_raw"), before).unionByName(row("open", kept, F.col("item"), F.col("content"), before))
+            .unionByName(row("shadow", left, F.lit(-1), F.col("shadow"), F.lit(""))))
+
+
 @query("force_save", with_ctes("""
     select conv_id, 'shadow' as source, md5(left(x,2000)) as content_md5 from (select conv_id, string_agg(text, chr(10) order by turn)||chr(10)||'now '||conv_id as x from turns group by conv_id)
     union all select conv_id, 'open-'||turn, md5(left(text,2000)) from turns where trim(text)<>''""", "turns"))

@@ -426,6 +426,25 @@ def test_a_far_hit_with_a_large_weight_is_not_cut(spark):
     assert ranks["e450"] == 451 and len(ranks) == 60
 
 
+def test_a_large_pool_equals_the_plain_top(spark, monkeypatch):
+    from memlake.operators import sampling
+    rows_ = [(f"e{i:03d}", (i * 37 % 50) / 50 + 0.001) for i in range(300)]
+    df = spark.createDataFrame(rows_, "event_id string, sample_key double")
+    want = sorted(e for e, _ in sorted(rows_, key=lambda r: (-r[1], r[0]))[:77])
+    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
+    assert [r.event_id for r in sampling.active_pool(df, 77).orderBy("event_id").collect()] == want
+    assert sampling.active_pool(df, 400).count() == 300 and sampling.active_pool(df.limit(0), 20).isEmpty()
+
+
+def test_frequent_sets_in_many_parts(spark, monkeypatch):
+    log = log_of(spark, [E6[:3 + i % 4] for i in range(24)] + [["rare", f"u{i}", *E6[:4]] for i in range(4)])
+    plain = rows(mining.frequent_subsets(log, 3, 3))
+    exact = lambda: rows(mining.closed_itemsets(log, F.lit(T0), 3, 3, 0.0, exact=True).select("subset", "txns"))
+    closed = exact()
+    monkeypatch.setattr(mining, "SETS_PER_PART", 1)
+    assert rows(mining.frequent_subsets(log, 3, 3)) == plain and exact() == closed and plain
+
+
 def test_equal_versions_are_decided_by_content(spark):
     a, b = (1, 5, "x"), (1, 5, "y")
     got = [lake.upsert_latest(spark.createDataFrame([p, (2, 1, "k")], "id int, version int, v string"), spark.createDataFrame([q], "id int, version int, v string"), ["id"], "version") for p, q in ((a, b), (b, a))]
