@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm.base import by_row, text_rows
 
-BLOCK_CHARS = 16_000_000
-KEPT_WORDS = 400_000
+BLOCK_CHARS = 8_000_000
+KEPT_WORDS = 250_000
 LONG_WORD = 256
 
 
