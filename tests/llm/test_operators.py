@@ -559,3 +559,16 @@ def test_stages_keep_the_columns(spark, odd):
         assert out.columns == docs.columns and stage(spark, docs.limit(0), PATH).count() == 0
         out.collect()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, PATH).count() == docs.count()
+
+
+def test_secret_query_by_the_plain_patterns(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+    seen = 0
+    for r in registry.queries()["op10_secret_grammar"](spark, LARGER).collect():
+        base = _plain_base(texts[r.doc_id])
+        named = [f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("format")] == named
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for *_, k in base) for i in range(3))
+        seen += len(base)
+    assert seen
