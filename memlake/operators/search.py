@@ -38,7 +38,8 @@ class _Nearest:
     """The k best rows of each query so far.
 
     Scores are made for a block of queries at a time, and once a query has k
-    rows only scores that reach its worst one are looked at.
+    rows only scores that reach its worst one are looked at. Scores count to 12
+    places, so that equal vectors tie wherever they stand in a batch.
     """
 
     def __init__(self, names: np.ndarray, matrix: np.ndarray, k: int):
@@ -49,10 +50,10 @@ class _Nearest:
     def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for at in range(0, len(self.names), QUERY_BLOCK):
             scores = self.matrix[at:at + QUERY_BLOCK] @ vectors.T
-            reach = scores >= self.floor[at:at + QUERY_BLOCK, None]
+            reach = scores >= self.floor[at:at + QUERY_BLOCK, None] - 1e-11
             for row in np.flatnonzero(reach.any(axis=1)):
                 hit, q = np.flatnonzero(reach[row]), at + row
-                s = np.concatenate([self.kept[q][0], scores[row, hit]])
+                s = np.concatenate([self.kept[q][0], np.round(scores[row, hit], 12)])
                 i = np.concatenate([self.kept[q][1], ids[hit]])
                 order = _best(s, i, self.k)
                 self.kept[q] = (s[order], i[order])

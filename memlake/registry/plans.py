@@ -232,7 +232,7 @@ _JOB_FUSED = """select query_id, route, event_id, score, greatest(0.0, 1-score)
 
 def _job_bands(asks: str, pool: str) -> str:
     return " union all ".join(f"""(select query_id, route, event_id, row_number() over (partition by query_id, route
-      order by list_cosine_similarity(q.{b}, v.{b}) desc, event_id) as rank from {asks} q, {pool} v qualify rank<=60)""" for b in ("act", "emo", "ent"))
+      order by round(list_cosine_similarity(q.{b}, v.{b}),12) desc, event_id) as rank from {asks} q, {pool} v qualify rank<=60)""" for b in ("act", "emo", "ent"))
 
 
 _JOB = dict(
