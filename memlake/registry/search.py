@@ -93,15 +93,30 @@ def event_encode(t):
     return out.select("event_id", r6(F.col("act")[0], "act1"), r6(F.col("emo")[1], "emo2"), r6(F.col("ent")[63], "ent64"))
 
 
+_TEXT_HASH = "sha256(unhex(sha256({x})||'00000000'))||sha256(unhex(sha256({x})||'01000000'))"
+
+
+_ASKED = r"""select *, regexp_replace(right(shadow,1200)||chr(10)||text, '^\s+|\s+$', '', 'g') as ctx from (
+      select turn_id, text, (turn%5)/5::double-0.5::double as va, case when turn%3=0 then 'before '||conv_id else '' end as shadow,
+        case when turn%2=0 then 'Customer#'||conv_id else '' end as hint from turns)"""
+
+
 @query("query_encode", with_ctes(f"""
-    select turn_id, round(v[1]/{_UNIT.format(v='v')},6) as act1, round(q[3]/{_UNIT.format(v='q')},6) as emo3 from (
-      select turn_id, {_HEX} as v, list_transform(range(64), lambda j: sin((j+1)*0.11)*va+cos((j+1)*0.13)*ar) as q
-      from (select turn_id, sha256(unhex(sha256(text)||'00000000'))||sha256(unhex(sha256(text)||'01000000')) as h,
-        (turn%5)/5::double-0.5::double as va, 0.3::double as ar from turns))""", "turns"))
+    select turn_id, route, round(a[1]/{_UNIT.format(v='a')},6) as act1, round(q[3]/{_UNIT.format(v='q')},6) as emo3, round(n[1]/{_UNIT.format(v='n')},6) as ent1 from (
+      select turn_id, route, {_HEX.replace('(h,', '(ah,')} as a, {_HEX.replace('(h,', '(nh,')} as n,
+        list_transform(range(64), lambda j: sin((j+1)*0.11)*va+cos((j+1)*0.13)*0.3::double) as q
+      from (select turn_id, route, {_TEXT_HASH.format(x='search')} as ah, {_TEXT_HASH.format(x='entity')} as nh, va from routes))""", "turns",
+    **{"asked": _ASKED, "routes": r"""select turn_id, 0 as route, text as search, text as entity, va from asked
+      union all select turn_id, 1, ctx, ctx, va from asked where shadow<>'' and ctx<>text union all select turn_id, 2, text, hint, va from asked where hint<>''"""}))
 def query_encode(t):
-    out = t.turn.select("turn_id", vectors.hash_embed(F.col("text"), 64).alias("v"),
-                        vectors.emo_query((F.col("turn") % 5) / 5.0 - 0.5, F.lit(0.3), 64).alias("q"))
-    return out.select("turn_id", r6(F.col("v")[0], "act1"), r6(F.col("q")[2], "emo3"))
+    from memlake.plans.recall_job import encode_routes
+    n = F.col("turn")
+    asked = t.turn.select(
+        F.col("turn_id").alias("query_id"), "text", (n % 5 / 5.0 - 0.5).alias("query_valence"),
+        F.when(n % 3 == 0, F.concat(F.lit("before "), "conv_id")).otherwise("").alias("shadow"),
+        F.when(n % 2 == 0, F.concat(F.lit("Customer#"), "conv_id")).otherwise("").alias("hint"))
+    return encode_routes(asked, 64).select(
+        F.col("query_id").alias("turn_id"), "route", r6(F.col("act")[0], "act1"), r6(F.col("emo")[2], "emo3"), r6(F.col("ent")[0], "ent1"))
 
 
 def topk_sql(band: str, n: int, pool: str = "") -> str:
