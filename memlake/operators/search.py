@@ -87,11 +87,12 @@ def bands_topk(queries: DataFrame, events: DataFrame, k: int, bands: Sequence[st
     local = None
     for i in range(passes):
         part = q if passes == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+        rows = part.select("query_id", *[F.when(_pointing(F.col(b)), F.col(b)).alias(b) for b in bands]).toPandas()
         blocks = {}
         for b in bands:
-            rows = part.filter(_pointing(F.col(b))).select("query_id", b).toPandas()
-            if len(rows):
-                blocks[b] = (rows.query_id.to_numpy(dtype=object), _unit_rows(rows[b]))
+            mine = rows[rows[b].notna()]
+            if len(mine):
+                blocks[b] = (mine.query_id.to_numpy(dtype=object), _unit_rows(mine[b]))
         if blocks:
             held = events.select("event_id", *vecs).select("event_id", *[F.when(_pointing(F.col(b)), F.col(b)).alias(b) for b in blocks])
             found = _pass(held, spark.sparkContext.broadcast(blocks), k)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.operators import recall, search, timeline as tl
 from memlake.operators.output import ITEM_SEPARATOR, context_text
+from memlake.session import written
 from memlake.sources import lake
 
 
@@ -65,7 +66,7 @@ def tiered_rows(scored: DataFrame, event: DataFrame, event_role: DataFrame, focu
 
 def recall_block(src: RecallInput, as_of: Column, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Scored rows with tiered texts, cut at 1.2 redlines and then at the redline."""
-    scored = score_candidates(src, as_of, cfg).select("query_id", "event_id", "score")
+    scored = written(score_candidates(src, as_of, cfg).select("query_id", "event_id", "score"), "scored")  # 60 rows a query, used twice
     rows = tiered_rows(scored, src.event, src.event_role, src.focus, cfg).drop("names", "bodies")
     first = recall.budget_prefix(rows, int(cfg.redline * cfg.intermediate_factor)).drop("position", "used")
     return recall.budget_prefix(first, cfg.redline)

@@ -109,7 +109,7 @@ def recall_job(asked: DataFrame, encoded: DataFrame, focus: DataFrame, memory: M
     their routes as vectors. A block is never above the redline before prefixes
     are put in front of its rows, and these are cut to stubs before it grows beyond.
     """
-    hits, granted = find(asked, encoded, memory, cfg)
+    hits, granted = find(asked, written(encoded, "encoded"), memory, cfg)
     hits = written(hits, "union")
     valued = hits.join(asked.select("query_id", "query_valence"), "query_id")
     src = rb.RecallInput(valued, memory.event, memory.event_role, memory.timeline, focus)

@@ -409,6 +409,25 @@ def test_search_in_several_passes(spark, sf, monkeypatch):
     assert a == rows(b, "query_id", "event_id", "rank", "score")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_are_not_moved_by_search(spark, sf):
+    from memlake.mappings import Tables
+    t = Tables(spark, sf)
+    for df in (search.vector_topk(t.vector_query, t.vector, 5), search.band_fusion(t.vector_query, t.vector, {"act": 1.0, "emo": 1.0, "ent": 1.0}, 5)):
+        plan = plan_of(df).split("== Initial Plan ==")[-1]
+        below = plan[plan.index("MapInPandas"):]
+        assert plan.count("MapInPandas") == 1 and "Exchange" not in below and below.count("FileScan") == 1
+
+
+def test_recall_reads_each_table_few_times(spark, sf):
+    from memlake.registry import queries
+    plan = plan_of(queries()["recall_block"](spark, sf)).split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan") <= 16, plan.count("FileScan")
+
+
 def test_vectors_without_direction_take_no_part(spark):
     schema = "event_id string, act array<double>, emo array<double>"
     v = spark.createDataFrame([("a", [1.0, 0.0], [0.0, 1.0]), ("z", [0.0, 0.0], [1.0, 0.0]), ("n", None, [1.0, 1.0]), ("h", [None, 1.0], None)], schema)
