@@ -112,12 +112,13 @@ def _pick(levels: Column, at: Column, raw: Column, budget: Column, cfg: MemoryCo
 
 
 def tier_offsets(pairs: DataFrame, event_role: DataFrame, focus: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Level offset of each (query, event) from the best focus role in the event."""
+    """Level offset of each (query, event) from the best focus role in the event; `pairs` has each of them once and is read once."""
     rank = event_role.select("event_id", "role_id", scoring.importance_rank(F.col("importance")).alias("rank"))
-    hit = (pairs.select("query_id", "event_id").join(rank, "event_id").join(focus, ["query_id", "role_id"])
-           .groupBy("query_id", "event_id").agg(F.max("rank").alias("best")))
+    wanted = focus.select("query_id", "role_id").distinct().withColumn("_wanted", F.lit(True))
+    best = F.max(F.when(F.col("_wanted"), F.col("rank"))).alias("best")
+    hit = (pairs.join(rank, "event_id", "left").join(wanted, ["query_id", "role_id"], "left").groupBy(*pairs.columns).agg(best))
     asks = focus.select("query_id").distinct().withColumn("has_focus", F.lit(True))
-    return (pairs.join(hit, ["query_id", "event_id"], "left").join(asks, "query_id", "left")
+    return (hit.join(asks, "query_id", "left")
             .withColumn("offset", scoring.tier_offset(F.coalesce("best", F.lit(0)), F.coalesce("has_focus", F.lit(False)), cfg))
             .drop("best", "has_focus"))
 
