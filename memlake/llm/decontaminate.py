@@ -6,7 +6,8 @@ bits: two fingerprints within the radius must agree in one of the blocks up to
 a few bits, and the index holds every such variant of every item's block. What
 the index finds is verified by the exact weighted similarity of the shingles.
 A window without one shingle of an item cannot be similar to it, so only the
-neighbourhoods of shared shingles are fingerprinted.
+neighbourhoods of shared shingles are fingerprinted. A document that is shorter
+than an item is one window as a whole.
 """
 
 from __future__ import annotations
@@ -159,13 +160,14 @@ class Items:
                 continue
             for n in self.lengths[size]:
                 mine = at[np.isin(keys[at], self.keys[size, n])] if len(self.lengths[size]) > 1 else at
-                if len(mine) and len(keys) >= n:
+                if len(mine) and len(keys) / n >= SIMILARITY:
                     self._windows(keys, n, mine, size, best)
         return sorted(((i, s, p) for i, (s, p) in best.items()), key=lambda h: (h[0] is not None, h[0]))
 
     def _windows(self, keys: np.ndarray, n: int, at: np.ndarray, size: int, best: dict) -> None:
-        """Fingerprint the windows of n shingles that hold one of the positions `at`, a stretch at a time."""
+        """Fingerprint the windows of n shingles that hold one of the positions `at`, a stretch at a time; a shorter text is one window."""
         group, index = self.groups[size, n], self.index[size, n]
+        n = min(n, len(keys))
         lo, hi = np.maximum(at - n + 1, 0), np.minimum(at, len(keys) - n)
         ok = lo <= hi
         lo, hi = lo[ok], hi[ok]
@@ -203,7 +205,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS_AT_O
 
     The benchmark is the query set: it meets all documents in passes of at most
     `items` items, each broadcast (so what is broadcast does not grow with either
-    table). A hit is a window of the item's length in words whose fingerprint is
+    table). A hit is a window of the item's length in words (the whole text where that
+    is shorter) whose fingerprint is
     within RADIUS bits of the item's and whose weighted shingle similarity is
     SIMILARITY or more; of equal windows the first counts. Null texts are empty and
     hold nothing; an item with several texts counts once, by the best; rows of

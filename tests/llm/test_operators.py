@@ -224,6 +224,23 @@ def test_altered_items_by_brute_force():
         assert got == _brute_items(" ".join(text), items)
 
 
+def test_truncated_items_by_brute_force():
+    """Texts shorter than the item are one window as a whole."""
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4000, n))) for i, n in enumerate([5, 9, 20, 40, 40, 120])]
+    known, hits = decontaminate.Items(items), 0
+    for i, item in items:
+        words = item.split()
+        for cut in range(1, 3 + len(words) // 4):
+            for text in (words[:-cut], words[cut:]):
+                a, b = [[tuple(t[k:k + 5]) for k in range(len(t) - 4)] for t in (text, words)]
+                s = len(a) / len(b)
+                got = [(j, round(v, 9), at) for j, v, at in known.found(" ".join(text))]
+                assert got == ([(i, round(s, 9), 0)] if s >= 0.8 else [])
+                hits += s >= 0.8
+    assert hits > 40
+
+
 def test_contamination_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "A a"), (2, None), (3, ""), (None, "word word word word word word"), (4, "word word"), (4, "word word")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(odd, items).collect()}
