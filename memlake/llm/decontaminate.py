@@ -37,6 +37,11 @@ def words_of(text: str) -> list[str]:
     return _WORD(text.lower())
 
 
+def word_id(word: str) -> int:
+    """An odd 64-bit number for a word; 0 is no word's."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 1) | 1
+
+
 def shingle_keys(ids: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit key for every `size` words in a row."""
     n = len(ids) - size + 1
@@ -132,7 +137,7 @@ class Items:
             if not words:
                 continue
             for w in words:
-                self.words.setdefault(w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) | 1)
+                self.words.setdefault(w, word_id(w))
             size = min(SHINGLE, len(words))
             keys = shingle_keys(np.array([self.words[w] for w in words], np.uint64), size)
             self.groups.setdefault((size, len(keys)), []).append((item_id, keys))
@@ -146,9 +151,10 @@ class Items:
 
     def found(self, text: str) -> list[tuple[int, float, int]]:
         """(item_id, best similarity, first word of that window) of all items that the text holds, by item."""
-        get = self.words.get
-        ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
+        get, words = self.words.get, words_of(text)
+        ids = np.array([get(w, 0) for w in words], np.uint64)
         best: dict[int, tuple[float, int]] = {}
+        every = None
         for size, known in self.sizes.items():
             if len(ids) < size:
                 continue
@@ -158,6 +164,9 @@ class Items:
             at = at[known[np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)] == keys[at]]
             if not len(at):
                 continue
+            if every is None:  # the items' words find the places; the words around them vote with their own bits
+                every = np.array([i or word_id(w) for i, w in zip(ids.tolist(), words)], np.uint64)
+            keys = shingle_keys(every, size)
             for n in self.lengths[size]:
                 mine = at[np.isin(keys[at], self.keys[size, n])] if len(self.lengths[size]) > 1 else at
                 if len(mine) and len(keys) / n >= SIMILARITY:

@@ -241,6 +241,23 @@ def test_truncated_items_by_brute_force():
     assert hits > 40
 
 
+def test_long_items_cut_inside_foreign_text():
+    """Items of 200 words and more, cut at their end and followed by words that no item holds."""
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50_000, n))) for i, n in enumerate([204] * 20 + [504] * 20)]
+    known, found = decontaminate.Items(items), 0
+    for i, item in items:
+        words = item.split()
+        shingles = len(words) - 4
+        kept = math.ceil(shingles * 2 * 0.85 / 1.85)  # shared shingles of two sets of equal size at similarity 0.85
+        foreign = [f"x{x}" for x in rng.integers(0, 50_000, len(words))]
+        hits = known.found(" ".join(foreign[:50] + words[:kept + 4] + foreign))
+        assert all(j == i and s >= 0.8 for j, s, _ in hits)
+        found += bool(hits) and hits[0][1] >= 0.85
+    print("found", found)
+    assert found >= len(items) - 2
+
+
 def test_contamination_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "A a"), (2, None), (3, ""), (None, "word word word word word word"), (4, "word word"), (4, "word word")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(odd, items).collect()}
