@@ -5,7 +5,8 @@ fingerprints differ in few bits. A tree of vantage points, drawn from a bounded
 sample, deals distinct fingerprints to shards by Hamming distance; a fingerprint
 whose ball reaches across a boundary also visits the shard beyond it, so no pair
 within the radius is lost. Inside a shard two more vantage distances narrow the
-rows that a fingerprint is compared with.
+rows that a fingerprint is compared with. The corpus pipeline chooses its documents
+by exact similarity instead (`similar_texts`).
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from memlake.llm import similar_texts
 from memlake.llm.base import by_row, stored, text_rows
 from memlake.llm.components import components
 
@@ -258,12 +261,28 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROW
     return rows.join(of_linked.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with the least doc_id of each group of near-copies, one row of each; all columns.
+def representatives(docs: DataFrame, words: int = similar_texts.WORDS, similarity: float = similar_texts.SIMILARITY) -> DataFrame:
+    """One row of `docs` of each group of near-copies, the one with the least doc_id; all columns.
 
-    Repeated rows of one doc_id are copies of each other in name, so one stays.
-    Rows without a doc_id cannot be named and stay as they are.
+    Near-copies are texts whose shingles of `words` words have an exact weighted
+    similarity of `similarity` or more. The choice is by row: of rows with equal
+    doc_id in one group the least hash of the whole row stays, and rows with equal
+    doc_id whose texts are no near-copies all stay. Rows without a doc_id cannot be
+    named and stay as they are.
     """
-    kept = near_copies(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
-    return (docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .unionByName(docs.filter("doc_id is null")))
+    named = docs.filter("doc_id is not null")
+    taken = {c.lower() for c in docs.columns}
+    node, row = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("node", "row"))
+    at = docs.columns.index("text")
+
+    def mark(batches):
+        for batch in batches:
+            nodes = [similar_texts.node_of(similar_texts.split(t or "")) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, node])
+    marked = (named.mapInArrow(mark, StructType([*docs.schema.fields, StructField(node, LongType())]))
+              .withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    rows = stored(marked.select(F.col(node).alias("node"), "doc_id", F.col(row).alias("row")), "rows")
+    rooted = rows.join(similar_texts.groups(named, words, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row", "node")).alias("least")).select(F.col("least.node").alias(node), F.col("least.row").alias(row))
+    kept = marked.join(chosen, [node, row], "left_semi").dropDuplicates([node, row]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.filter("doc_id is null"))

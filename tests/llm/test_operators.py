@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import oracle
 from memlake.llm import (attribution, bpe, chat, components, decontaminate, hilbert, near_copies, quality, registry,
-                         secrets, toxicity, urls)
+                         secrets, similar_texts, toxicity, urls)
 
 PATH = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
@@ -452,6 +452,53 @@ def test_near_copies_of_odd_rows(odd, none):
     assert near_copies.near_copies(none).count() == 0 and near_copies.representatives(none).count() == 0
 
 
+def _plain_similarity(a, b):
+    a, b = ([tuple(t[i:i + 5]) for i in range(len(t) - 4)] or [tuple(t)] for t in (a, b))
+    both = sum(min(a.count(s), b.count(s)) for s in set(a))
+    return both / (len(a) + len(b) - both)
+
+
+def test_representatives_by_brute_force(spark):
+    """Of two texts at similarity 0.8 or more one stays, of less similar ones both; families join through their links."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(120):
+        text = [f"w{x}" for x in rng.integers(0, 300, int(rng.integers(3, 400)))]
+        texts.append(text)
+        for _ in range(int(rng.integers(1, 4))):
+            copy = list(text)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 2 + len(copy) // 40))):
+                copy[int(at)] = "other"
+            texts.append(copy + ["more"] * int(rng.integers(0, 2 + len(copy) // 20)))
+    ids = list(range(len(texts)))
+
+    def find(x):
+        while ids[x] != x:
+            x = ids[x]
+        return x
+    linked = []
+    for i in ids:
+        for j in range(i):
+            s = _plain_similarity(texts[i], texts[j]) if 0.79 < (len(texts[j]) + 4) / (len(texts[i]) + 4) < 1.27 else 0
+            if s >= 0.8:
+                a, b = find(i), find(j)
+                ids[max(a, b)] = min(a, b)
+                linked.append(s)
+    assert sum(s < 0.9 for s in linked) > 20
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_copies.representatives(docs).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_bands_reach_the_similarity():
+    rng, found = np.random.default_rng(7), 0
+    for _ in range(400):
+        shared, a, b = (rng.integers(0, 2 ** 64, n, np.uint64) for n in (160, 20, 20))
+        one, other = np.concatenate([shared, a]), np.concatenate([shared, b])
+        assert similar_texts.similarity(np.sort(one), np.sort(other)) == 0.8
+        found += bool((similar_texts.bands(one) == similar_texts.bands(other)).any())
+    assert found == 400
+
+
 def test_components_of_long_chains(spark):
     edges = spark.range(200).selectExpr("(id * 7) % 201 as u", "((id + 1) * 7) % 201 as v")
     assert {(r.node, r.root) for r in components.components(edges).collect()} == {(i, 0) for i in range(201)}
