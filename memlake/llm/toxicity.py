@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.llm.base import by_row, held_out, labelled_sample, stored, text_rows
 
-FIT_ROWS = 4000
-VOCABULARY = 20_000
+FIT_ROWS = 8000
+VOCABULARY = 60_000
 LEAST_ROWS = 4
-SCREEN = 4.0
 BEGINNINGS = (4, 5)
 KNOWN_WORDS = 300_000
 GRADES = 3
@@ -103,7 +102,7 @@ def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray,
     share = np.array([weight[grade >= k].sum() / n for k in range(1, top + 1)])
     theta = np.log((1 - share + 1e-6) / (share + 1e-6))
     scale = (np.bincount(col, weights=weight[row] * value ** 2, minlength=width) / n + 1e-9) ** -0.25
-    value = value * scale[col]
+    value = (value * scale[col]).astype(value.dtype)
     probe = np.ones(width)
     for _ in range(20):
         probe = np.bincount(col, weights=value * np.bincount(row, weights=value * probe[col], minlength=n)[row] * weight[row], minlength=width) / n
@@ -133,8 +132,9 @@ def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grader:
     """Fit on at most `bound` labelled rows that are not held out.
 
-    Spark counts in how many rows of either label each feature occurs; those
-    whose shares differ by SCREEN standard errors or more, VOCABULARY at most, reach the driver.
+    Spark counts in how many rows of either label each feature occurs; those of
+    LEAST_ROWS rows or more reach the driver, of more than VOCABULARY those whose
+    shares differ by the most standard errors. There they lie in 32-bit arrays.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("weight", pa.float64()), ("word", pa.string()), ("n", pa.int32())])
 
@@ -150,13 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grader:
     share = (F.col("docs") + 1) / (n1 + n0 + 2)
     z = (F.col("bad") / n1 - (F.col("docs") - F.col("bad")) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     known = (words.groupBy("word").agg(F.count("*").alias("docs"), F.sum("y").alias("bad")).withColumn("z", F.abs(z))
-             .filter((F.col("docs") >= LEAST_ROWS) & (F.col("z") >= SCREEN))
+             .filter(F.col("docs") >= LEAST_ROWS)
              .orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").toPandas()["word"].tolist())
     place = docs.sparkSession.createDataFrame([(w, i) for i, w in enumerate(sorted(known))], "word string, col int")
-    got = words.join(F.broadcast(place), "word").groupBy("doc_id", "col").agg(F.sum("n").cast("int").alias("n")).toPandas().sort_values(["doc_id", "col"], ignore_index=True)
-    row = np.searchsorted(ys["doc_id"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64))
-    col, count = got["col"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
+    got = words.join(F.broadcast(place), "word").groupBy("doc_id", "col").agg(F.sum("n").cast("int").alias("n")).select("doc_id", F.col("col").cast("int").alias("col"), "n").toArrow()
+    row = np.searchsorted(ys["doc_id"].to_numpy(np.int64), got.column("doc_id").to_numpy()).astype(np.int32)
+    col, count = got.column("col").to_numpy().astype(np.int32), got.column("n").to_numpy().astype(np.float32)
     del got
+    order = np.lexsort((col, row)).astype(np.int32)
+    row, col, count = row[order], col[order], count[order]
+    del order
     y, width = ys["y"].to_numpy(np.int64), len(known)
     grade = grades(row, col, count, y, width)
     w, theta = fit(row, col, np.log1p(count), grade, ys["weight"].to_numpy(np.float64), width)

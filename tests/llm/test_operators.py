@@ -281,6 +281,14 @@ def test_toxicity_on_held_out_rows(spark, labels):
     assert held[held.label == 1].severity.mean() > 5 * held[held.label == 0].severity.mean()
 
 
+def test_rare_toxic_terms_are_learnt(spark):
+    """Terms in some seven toxic rows each and in no clean one tell the label of rows that hold nothing else of note."""
+    docs = spark.createDataFrame([(i, f"the and of {'q' if i % 2 else 'c'}{i // 2 % 30:02d}") for i in range(600)], "doc_id bigint, text string")
+    got = toxicity.toxicity(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 100 and all(r.toxic == r.doc_id % 2 for r in held)
+
+
 def test_cumulative_link_learns_an_order():
     rng = np.random.default_rng(3)
     n = 600
