@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.session import shared_folder
 
+SLICE_ROWS = 256
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
@@ -29,8 +31,8 @@ def by_row(fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: pa.Schema,
     def run(batches):
         def each():
             for batch in batches:
-                columns = [c.to_pylist() for c in batch.columns]
-                yield from zip(*columns)
+                for at in range(0, batch.num_rows, SLICE_ROWS):  # a slice at a time: whole batches of long texts are large
+                    yield from zip(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns])
         held: list[tuple] = []
 
         def out():
@@ -46,6 +48,34 @@ def by_row(fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: pa.Schema,
     return run
 
 
+def text_column(start: Callable[[], Callable[[list], list]], ddl: str, kind: pa.DataType):
+    """A column function of one text column, for stages that keep every other column as it is.
+
+    `start` is called once a task and gives what turns a list of texts (nulls
+    included) into as many values. Only the texts go to Python and only the values
+    come back, so the names and types of other columns never matter.
+    """
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        values = start()
+        for part in parts:
+            out = [pa.array(values(part.slice(at, SLICE_ROWS).to_pylist()), kind) for at in range(0, len(part), SLICE_ROWS)]
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
+    return F.arrow_udf(run, ddl)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores after it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_columns(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that labels are never learnt from: crc32 of the id as text leaves 1 on division by three."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

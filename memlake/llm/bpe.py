@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm.base import by_row, text_rows
 
-BLOCK_CHARS = 8_000_000
-KEPT_WORDS = 250_000
+BLOCK_CHARS = 1_000_000
+KEPT_WORDS = 120_000
 LONG_WORD = 256
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from memlake.llm.base import by_row, text_rows
+from memlake.llm.base import by_row, text_column, text_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -239,14 +239,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS_AT_O
 
 def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS_AT_ONCE) -> DataFrame:
     """The rows of `docs` that hold no benchmark item; a row is judged as it streams by, so nothing is joined or moved."""
-    at = docs.columns.index("text")
     for part in _parts(benchmark, items):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
-        def keep(batches, shared=shared):
+        def start(shared=shared):
             known = Items(shared.value)
-            for batch in batches:
-                ok = [not known.found(t or "") for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(ok, pa.bool_()))
-        docs = docs.mapInArrow(keep, docs.schema)
+            return lambda texts: [bool(known.found(t or "")) for t in texts]
+        docs = docs.filter(~text_column(start, "boolean", pa.bool_())(F.col("text")))
     return docs

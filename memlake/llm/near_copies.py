@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from memlake.llm import similar_texts
-from memlake.llm.base import by_row, stored, text_rows
+from memlake.llm.base import all_columns, by_row, free_name, stored, text_column, text_rows
 from memlake.llm.components import components
 
 SHINGLE = 4
@@ -267,22 +266,16 @@ def representatives(docs: DataFrame, words: int = similar_texts.WORDS, similarit
     Near-copies are texts whose shingles of `words` words have an exact weighted
     similarity of `similarity` or more. The choice is by row: of rows with equal
     doc_id in one group the least hash of the whole row stays, and rows with equal
-    doc_id whose texts are no near-copies all stay. Rows without a doc_id cannot be
-    named and stay as they are.
+    doc_id whose texts are no near-copies all stay. Rows without a doc_id take part
+    like any other and come after all that have one.
     """
-    named = docs.filter("doc_id is not null")
-    taken = {c.lower() for c in docs.columns}
-    node, row = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("node", "row"))
-    at = docs.columns.index("text")
-
-    def mark(batches):
-        for batch in batches:
-            nodes = [similar_texts.node_of(similar_texts.split(t or "")) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, node])
-    marked = (named.mapInArrow(mark, StructType([*docs.schema.fields, StructField(node, LongType())]))
-              .withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    rows = stored(marked.select(F.col(node).alias("node"), "doc_id", F.col(row).alias("row")), "rows")
-    rooted = rows.join(similar_texts.groups(named, words, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chosen = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row", "node")).alias("least")).select(F.col("least.node").alias(node), F.col("least.row").alias(row))
-    kept = marked.join(chosen, [node, row], "left_semi").dropDuplicates([node, row]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    node, row = free_name(docs, "node"), free_name(docs, "row")
+
+    def start():
+        return lambda texts: [similar_texts.node_of(similar_texts.split(t or "")) for t in texts]
+    marked = docs.withColumns({node: text_column(start, "bigint", pa.int64())(F.col("text")), row: F.xxhash64(*all_columns(docs.columns))})
+    rows = stored(marked.select(F.col(node).alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(row).alias("row")), "rows")
+    rooted = rows.join(similar_texts.groups(docs, words, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "node")
+    chosen = rooted.groupBy("root").agg(F.min(first).alias("least")).select(F.col("least.node").alias(node), F.col("least.row").alias(row))
+    return marked.join(chosen, [node, row], "left_semi").dropDuplicates([node, row]).select(*all_columns(docs.columns))

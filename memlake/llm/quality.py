@@ -16,13 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memlake.llm.base import by_row, held_out, labelled_sample, text_rows
+from memlake.llm.base import all_columns, by_row, free_name, held_out, labelled_sample, text_column
 
 FIT_ROWS = 4000
 RANK = 48
 NEIGHBOURS = 31
 POWER = 4
-BLOCK = 256
 KNOWN_WORDS = 300_000
 _WORDS, _SHAPES, _PAIRS, _STEPS = 1536, 512, 1024, 24
 _MEASURES = 5
@@ -164,27 +163,17 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Voters:
     return fit(dense, got["y"].to_numpy(np.float64))
 
 
-def scored(docs: DataFrame, model: Voters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of every row and the score last (named `score`, with underscores before it where that name is kept); each task streams its rows past the broadcast vectors.
+def scores(docs: DataFrame, model: Voters):
+    """A column function that scores texts; each task streams them past the broadcast vectors.
 
     The labelled vectors are at most FIT_ROWS x RANK numbers, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    frame = docs.select(*keep, text.alias("_whole_text"))
-    name = "score"
-    while name in keep:
-        name = "_" + name
-    out = docs.select(*keep).schema.add(name, "double")
-
-    def run(batches):
+
+    def start():
         features, model = Features(), Voters(**shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                score = model.vote(features.rows(part.column(part.num_columns - 1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*keep, name])
-    return frame.mapInArrow(run, out)
+        return lambda texts: model.vote(features.rows([t or "" for t in texts]))
+    return text_column(start, "double", pa.float64())
 
 
 def quality(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
@@ -195,13 +184,13 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFr
     learn from, every score is 0.5. Only doc_id and text are read of `docs`, and
     nothing but the text goes into a score. No rows: an empty result.
     """
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return scored(ids, train(docs, labels, bound)).select(
+    score = scores(docs, train(docs, labels, bound))(F.col("text")).alias("score")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject, as they are: the text column is sent along once more as itself."""
-    names = tuple(docs.columns)
-    out = scored(docs, train(docs, labels, bound), names)
-    return out.filter(F.col(out.columns[-1]) >= 0.5).select(*names)
+    """The rows of `docs` that the classifier does not reject, as they are."""
+    score = free_name(docs, "score")
+    judged = docs.withColumn(score, scores(docs, train(docs, labels, bound))(F.col("text")))
+    return judged.filter(F.col(score) >= 0.5).select(*all_columns(docs.columns))
