@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memlake.llm import attribution, bpe, chat, decontaminate, hilbert, near_copies, quality, secrets, toxicity, urls
+from memlake.llm import alignment, attribution, bpe, chat, decontaminate, filter_audit, hilbert, near_copies, quality, secrets, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -132,3 +134,49 @@ def secret_grammar(spark, path):
     return secrets.scan(table(spark, path, "documents")).select(
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op11_filter_audit", r"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+marked as (
+  select *, first_value(doc_id) over (partition by text order by doc_id nulls last) as least from texts),
+failing as (
+  select doc_id, part,
+    case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+    + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 4 else 0 end
+    + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+    + case when least < doc_id or (doc_id is null and least is not null) then 16 else 0 end as mask from marked),
+told as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+cells as (
+  select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+  from failing left join told using (doc_id) group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l, unnest([1, 2, 4, 8, 16]) as f),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.f, b.f, c.f, d.f, e.f] as bits from letters a, letters b, letters c, letters d, letters e
+  where a.l <> b.l and a.l <> c.l and a.l <> d.l and a.l <> e.l and b.l <> c.l and b.l <> d.l and b.l <> e.l and c.l <> d.l and c.l <> e.l and d.l <> e.l),
+steps as (
+  select filter_order, step, bits[step] as f, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+out as (
+  select part, filter_order, step, f,
+    sum(case when mask & (f | before) = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & f > 0 and mask & before = 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & f > 0 and mask & before > 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = f then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & f > 0 and mask & before = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when mask & f > 0 and mask & before = 0 then toxic else 0 end)::bigint as toxic_lost
+  from cells, steps group by part, filter_order, step, f)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, f)::bigint as shapley from out""")
+def filter_interactions(spark, path):
+    return filter_audit.audit(table(spark, path, "documents"), table(spark, path, "labels"))
+
+
+@query("op12_byte_sharding")
+def byte_sharding(spark, path):
+    return sharding.sharded(table(spark, path, "documents")).select(
+        F.col("row.doc_id").cast("bigint").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op13_token_alignment")
+def token_alignment(spark, path):
+    return alignment.aligned(table(spark, path, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
