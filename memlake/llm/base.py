@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memlake.session import shared_folder
 
 SLICE_ROWS = 256
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SPARKS_OWN = "10000"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -21,8 +23,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts go to Python a thousand at a time, where the session leaves Spark's own 10,000.
+
+    A batch is held several times over on both sides, so of long texts the larger
+    one takes hundreds of megabytes more in every executor.
+    """
+    if spark.conf.get(BATCH_ROWS) == _SPARKS_OWN:
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def text_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text only, so that other columns, whatever their names, stay out; a null text is an empty one."""
+    short_batches(df.sparkSession)
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
@@ -48,13 +61,15 @@ def by_row(fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: pa.Schema,
     return run
 
 
-def text_column(start: Callable[[], Callable[[list], list]], ddl: str, kind: pa.DataType):
+def text_column(spark: SparkSession, start: Callable[[], Callable[[list], list]], ddl: str, kind: pa.DataType):
     """A column function of one text column, for stages that keep every other column as it is.
 
     `start` is called once a task and gives what turns a list of texts (nulls
     included) into as many values. Only the texts go to Python and only the values
     come back, so the names and types of other columns never matter.
     """
+    short_batches(spark)
+
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         values = start()
         for part in parts:

@@ -245,5 +245,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS_AT_ONCE) ->
         def start(shared=shared):
             known = Items(shared.value)
             return lambda texts: [bool(known.found(t or "")) for t in texts]
-        docs = docs.filter(~text_column(start, "boolean", pa.bool_())(F.col("text")))
+        docs = docs.filter(~text_column(docs.sparkSession, start, "boolean", pa.bool_())(F.col("text")))
     return docs

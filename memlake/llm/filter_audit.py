@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from memlake.llm.base import SLICE_ROWS, stored
+from memlake.llm.base import SLICE_ROWS, short_batches, stored
 
 # The filters and their bounds.
 FILTERS = "ABCDE"
@@ -201,6 +201,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     with the least id pass, which takes one row for each digest, source and pair
     of labels. The least ids meet these counts again, not the rows themselves.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
                        measured(F.col("text")).alias("m"))
     rows = (rows.select("doc_id", "part", failed(F.col("m")).alias("mask"), F.col("m.digest").alias("digest"))

@@ -273,7 +273,7 @@ def representatives(docs: DataFrame, words: int = similar_texts.WORDS, similarit
 
     def start():
         return lambda texts: [similar_texts.node_of(similar_texts.split(t or "")) for t in texts]
-    marked = docs.withColumns({node: text_column(start, "bigint", pa.int64())(F.col("text")), row: F.xxhash64(*all_columns(docs.columns))})
+    marked = docs.withColumns({node: text_column(docs.sparkSession, start, "bigint", pa.int64())(F.col("text")), row: F.xxhash64(*all_columns(docs.columns))})
     rows = stored(marked.select(F.col(node).alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col(row).alias("row")), "rows")
     rooted = rows.join(similar_texts.groups(docs, words, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "node")

@@ -173,7 +173,7 @@ def scores(docs: DataFrame, model: Voters):
     def start():
         features, model = Features(), Voters(**shared.value)
         return lambda texts: model.vote(features.rows([t or "" for t in texts]))
-    return text_column(start, "double", pa.float64())
+    return text_column(docs.sparkSession, start, "double", pa.float64())
 
 
 def quality(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
