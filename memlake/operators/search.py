@@ -10,28 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import scoring
+from memlake.operators import cells
+from memlake.operators.cells import HITS, PASS_BYTES, QUERY_BLOCK, CellIndex, best_rows, pointing, unit_rows
 from memlake.operators.ordered import first_per_key, value_at_rank
 
-PASS_BYTES = 64_000_000
-QUERY_BLOCK = 256
 MERGE_GROUPS = 64
-HITS = "band string, query_id string, event_id string, score double"
-
-
-def _unit_rows(arrays) -> np.ndarray:
-    m = np.vstack([np.asarray(a, dtype=np.float64) for a in arrays])
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id; keeps every row that ties with the k-th first."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= floor)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
 class _Nearest:
@@ -55,7 +38,7 @@ class _Nearest:
                 hit, q = np.flatnonzero(reach[row]), at + row
                 s = np.concatenate([self.kept[q][0], np.round(scores[row, hit], 12)])
                 i = np.concatenate([self.kept[q][1], ids[hit]])
-                order = _best(s, i, self.k)
+                order = best_rows(s, i, self.k)
                 self.kept[q] = (s[order], i[order])
                 if len(order) == self.k:
                     self.floor[q] = s[order[-1]]
@@ -66,11 +49,6 @@ class _Nearest:
                              "event_id": np.concatenate([i for _, i in self.kept]), "score": np.concatenate([s for s, _ in self.kept])})
 
 
-def _pointing(vec: Column) -> Column:
-    """Vectors with a direction: not null, without null components, not all zero."""
-    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull()) & F.exists(vec, lambda x: x != 0)
-
-
 def bands_topk(queries: DataFrame, events: DataFrame, k: int, bands: Sequence[str]) -> DataFrame:
     """Exact cosine top-k (`band`, `query_id`, `event_id`, `score`, `rank`) of every query over every event, all bands in one scan.
 
@@ -87,14 +65,14 @@ def bands_topk(queries: DataFrame, events: DataFrame, k: int, bands: Sequence[st
     local = None
     for i in range(passes):
         part = q if passes == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        rows = part.select("query_id", *[F.when(_pointing(F.col(b)), F.col(b)).alias(b) for b in bands]).toPandas()
+        rows = part.select("query_id", *[F.when(pointing(F.col(b)), F.col(b)).alias(b) for b in bands]).toPandas()
         blocks = {}
         for b in bands:
             mine = rows[rows[b].notna()]
             if len(mine):
-                blocks[b] = (mine.query_id.to_numpy(dtype=object), _unit_rows(mine[b]))
+                blocks[b] = (mine.query_id.to_numpy(dtype=object), unit_rows(mine[b]))
         if blocks:
-            held = events.select("event_id", *vecs).select("event_id", *[F.when(_pointing(F.col(b)), F.col(b)).alias(b) for b in blocks])
+            held = events.select("event_id", *vecs).select("event_id", *[F.when(pointing(F.col(b)), F.col(b)).alias(b) for b in blocks])
             found = _pass(held, spark.sparkContext.broadcast(blocks), k)
             local = found if local is None else local.unionByName(found)
     if local is None:
@@ -112,23 +90,28 @@ def _pass(events: DataFrame, shared, k: int) -> DataFrame:
             for b, near in best.items():
                 held = batch[b].notna().to_numpy()
                 if held.any():
-                    near.see(batch.event_id.to_numpy(dtype=object)[held], _unit_rows(batch[b][held]))
+                    near.see(batch.event_id.to_numpy(dtype=object)[held], unit_rows(batch[b][held]))
         for b, near in best.items():
             yield near.rows(b)
     return events.mapInPandas(run, HITS)
 
 
-def vector_topk(queries: DataFrame, events: DataFrame, k: int, band: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, source: DataFrame | CellIndex, k: int, bands: Sequence[str]) -> DataFrame:
+    """The same rows from a table, by one scan of all events, or from an index, by the cells that the bounds leave."""
+    return cells.topk(queries, source, k, bands) if isinstance(source, CellIndex) else bands_topk(queries, source, k, bands)
+
+
+def vector_topk(queries: DataFrame, events: DataFrame | CellIndex, k: int, band: str = "embedding") -> DataFrame:
     """Exact cosine top-k of every query (`query_id`) over every event (`event_id`) in one band."""
-    return bands_topk(queries, events, k, [band]).drop("band")
+    return nearest(queries, events, k, [band]).drop("band")
 
 
-def band_fusion(queries: DataFrame, events: DataFrame, weights: dict[str, float], n: int,
+def band_fusion(queries: DataFrame, events: DataFrame | CellIndex, weights: dict[str, float], n: int,
                 cfg: MemoryConfig = DEFAULT, weighting: str = "presence") -> DataFrame:
     """Reciprocal-rank fusion of one search per band; a weight of 0 turns a band off."""
     on = {b: (w if weighting == "scaled" else 1.0) for b, w in weights.items() if w > 0}
     share = F.coalesce(*[F.when(F.col("band") == b, F.lit(w)) for b, w in on.items()])
-    hits = bands_topk(queries, events, n, list(on))
+    hits = nearest(queries, events, n, list(on))
     fused = hits.groupBy("query_id", "event_id").agg(F.sum(share / (cfg.rrf_k + F.col("rank"))).alias("score"))
     return first_per_key(fused, ["query_id"], [F.col("score").desc(), F.col("event_id")], n, "rank").withColumn(
         "distance", F.greatest(F.lit(0.0), 1 - F.col("score")))

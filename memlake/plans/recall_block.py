@@ -47,8 +47,9 @@ def score_candidates(src: RecallInput, as_of: Column, cfg: MemoryConfig = DEFAUL
 
 
 def newly_silent(src: RecallInput, as_of: Column, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Status changes recall brings about, as a change table instead of a side effect."""
-    return tl.silence_check(src.event_role, src.timeline, as_of, cfg).filter("is_silent").select(
+    """Status changes recall brings about, as a change table instead of a side effect; only events that were hit are looked at."""
+    hit = src.event_role.join(src.hits.select("event_id").distinct(), "event_id", "left_semi")
+    return tl.silence_check(hit, src.timeline, as_of, cfg).filter("is_silent").select(
         "event_id", F.lit("silent").alias("status"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from memlake.config import DEFAULT, EMOTION_TERMS, ENTITY_TERMS, FACT_TERMS, MemoryConfig
 from memlake.functions import scoring, text as tx, vectors
 from memlake.operators import graph, recall, roles, search
+from memlake.operators.cells import CellIndex
 from memlake.operators.ordered import first_per_key
 from memlake.plans import recall_block as rb
 from memlake.session import written
@@ -29,6 +30,11 @@ class Memory:
     vector: DataFrame                    # event_id, act, emo, ent
     pool: DataFrame | None = None        # event_id of the active pool; None restricts nothing
     prefixes: DataFrame | None = None    # event_id, prefix_id, pos: split tails and what came before
+    leaves: DataFrame | None = None      # root, event_id: what abstract events rest on
+    index: CellIndex | None = None       # a cell index of `vector`; searches then open only the cells they need
+
+    def vectors_of(self, ids: DataFrame) -> DataFrame | CellIndex:
+        return self.vector.join(ids, "event_id", "left_semi") if self.index is None else self.index.restricted(ids)
 
 
 @dataclass(frozen=True)
@@ -60,13 +66,13 @@ def encode_routes(asked: DataFrame, dim: int, arousal: float = 0.3, cfg: MemoryC
         vectors.emo_query(F.col("query_valence"), F.lit(arousal), dim).alias("emo"), vectors.hash_embed(F.col("entity_text"), dim).alias("ent"))
 
 
-def search_routes(encoded: DataFrame, events: DataFrame, weights: DataFrame, n: int, cfg: MemoryConfig = DEFAULT) -> DataFrame:
+def search_routes(encoded: DataFrame, events: DataFrame | CellIndex, weights: DataFrame, n: int, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """(query_id, route, event_id, score, distance): rank fusion of the bands for every route, all in one scan of the events.
 
     `weights` has a row per query with w_act, w_emo and w_ent; a band takes part where its weight is above zero.
     """
     keyed = encoded.withColumn("query_id", F.concat_ws(_MARK, "query_id", "route")).drop("route")
-    hits = search.bands_topk(keyed, events, n, BANDS)
+    hits = search.nearest(keyed, events, n, BANDS)
     part = F.split("query_id", _MARK)
     hits = hits.withColumns({"route": F.get(part, F.lit(1)).cast("int"), "query_id": F.get(part, F.lit(0))})
     on = weights.select("query_id", F.explode(F.array(*[F.when(F.col(f"w_{b}") > 0, F.lit(b)) for b in BANDS])).alias("band")).filter("band is not null")
@@ -77,14 +83,17 @@ def search_routes(encoded: DataFrame, events: DataFrame, weights: DataFrame, n:
 
 def find(asked: DataFrame, encoded: DataFrame, memory: Memory, cfg: MemoryConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Union of all routes over the active pool and, for queries whose best score is low and whose minute has a grant left, of a search over all visible events."""
-    seen = memory.vector.join(lake.visible_events(memory.event).select("event_id"), "event_id", "left_semi")
+    seen = lake.visible_events(memory.event).select("event_id")
     active = seen if memory.pool is None else search.active_pool_semi(seen, memory.pool)
     weights = asked.select("query_id", *[f"w_{b}" for b in BANDS])
-    hits = written(search_routes(encoded, active, weights, cfg.n_results, cfg), "hits")
+    hits = written(search_routes(encoded, memory.vectors_of(active), weights, cfg.n_results, cfg), "hits")
     top = hits.groupBy("query_id").agg(F.max("score").alias("best_score"))
     granted = search.bypass_grants(asked.select("query_id", "asked_at").join(top, "query_id", "left").na.fill(0.0, ["best_score"]), cfg)
+    granted = written(granted, "granted")
+    if granted.isEmpty():
+        return search.union_hits(hits), granted
     widest = first_per_key(encoded.filter("route < 2").join(granted.select("query_id"), "query_id", "left_semi"), ["query_id"], [F.col("route").desc()], 1).drop("rn")
-    second = search_routes(widest.withColumn("route", F.lit(BYPASS_ROUTE)), seen, weights, cfg.n_results, cfg)
+    second = search_routes(widest.withColumn("route", F.lit(BYPASS_ROUTE)), memory.vectors_of(seen), weights, cfg.n_results, cfg)
     return search.union_hits(hits.unionByName(second)), granted
 
 
@@ -112,7 +121,7 @@ def recall_job(asked: DataFrame, encoded: DataFrame, focus: DataFrame, memory: M
     hits, granted = find(asked, written(encoded, "encoded"), memory, cfg)
     hits = written(hits, "union")
     valued = hits.join(asked.select("query_id", "query_valence"), "query_id")
-    src = rb.RecallInput(valued, memory.event, memory.event_role, memory.timeline, focus)
+    src = rb.RecallInput(valued, memory.event, memory.event_role, memory.timeline, focus, memory.leaves)
     scored = rb.score_candidates(src, as_of, cfg).select("query_id", "event_id", "score")
     block = written(compressed(written(scored, "scored"), memory, focus, cfg), "block")
     rows = block.select("query_id", "event_id", "position", "score", "text")

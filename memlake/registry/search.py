@@ -5,13 +5,14 @@ from pyspark.sql import Window, functions as F
 from memlake.config import DEFAULT as CFG, ENTITY_TERMS, EMOTION_TERMS, FACT_TERMS, ENTITY_PATTERN, EMOTION_PATTERN
 from memlake.functions import affect, ids, scoring, text as tx, vectors
 from memlake.mappings import AGE_DAYS, scalar, with_ctes
-from memlake.operators import recall, roles, sampling, search, timeline as tl
+from memlake.operators import cells, recall, roles, sampling, search, timeline as tl
 from memlake.operators.ordered import exact_percentiles
 from memlake.operators.output import context_text
 from memlake.registry.core import query, r6, us
 from memlake.registry.sources import hit_block
 from memlake.registry.timeline import _ASOF, _WEIGHT, _ABSTRACT_WEIGHT, user_abstracts
 from memlake.sources import lake
+from memlake.streaming.jobs import scratch
 
 _FACTOR = "(1+0.5*log10(1+greatest(weight,0)))"
 _MOOD = "(case when event_valence*query_valence>0 then 1+0.2*event_valence*query_valence else 1 end)"
@@ -145,6 +146,37 @@ def band_fusion(t):
     return out.select("query_id", "event_id", "rank", r6("score", "score"), r6("distance", "distance"))
 
 
+def cell_index(t, *bands):
+    """An index of the given vectors, written below the shared folder."""
+    return cells.build(t.vector, scratch(t.spark, "cells"), bands)
+
+
+@query("vector_topk_cells", with_ctes("select query_id, event_id, rank, round(score,6) as score from top",
+                                      "vector", "vector_query", top=topk_sql("embedding", 60)))
+def vector_topk_cells(t):
+    return search.vector_topk(t.vector_query, cell_index(t, "embedding"), 60).select("query_id", "event_id", "rank", r6("score", "score"))
+
+
+@query("band_fusion_cells", with_ctes("""
+    select query_id, event_id, rank, round(score,6) as score, round(1-score,6) as distance from (
+      select *, row_number() over (partition by query_id order by round(score,12) desc, event_id)::int as rank from fused) where rank<=60""",
+    "vector", "vector_query", ta=topk_sql("act", 60), te=topk_sql("emo", 60), tn=topk_sql("ent", 60), fused=_FUSED))
+def band_fusion_cells(t):
+    out = search.band_fusion(t.vector_query, cell_index(t, "act", "emo", "ent"), {"act": 0.7, "emo": 0.1, "ent": 0.2}, 60)
+    return out.select("query_id", "event_id", "rank", r6("score", "score"), r6("distance", "distance"))
+
+
+@query("vector_neighbours_cells", with_ctes("""
+    select query_id, event_id, rank, round(score,6) as score from (
+      select q.event_id as query_id, v.event_id, list_cosine_similarity(q.embedding, v.embedding) as score,
+        row_number() over (partition by q.event_id order by round(list_cosine_similarity(q.embedding, v.embedding),12) desc, v.event_id)::int as rank
+      from (select * from vector where vec_id%100=0) q, vector v where v.label <> 1) where rank<=5""", "vector"))
+def vector_neighbours_cells(t):
+    asked = t.vector.filter("vec_id % 100 = 0").select(F.col("event_id").alias("query_id"), "embedding")
+    index = cell_index(t, "embedding").restricted(t.vector.filter("label <> 1").select("event_id"))
+    return search.vector_topk(asked, index, 5).select("query_id", "event_id", "rank", r6("score", "score"))
+
+
 @query("union_hits", with_ctes("""
     select query_id, event_id, round(distance,6) as distance, route from (
       select *, row_number() over (partition by query_id, event_id order by distance, route) as rn from three) where rn=1""",
