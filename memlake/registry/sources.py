@@ -7,7 +7,7 @@ from memlake.functions import ids, text as tx, vectors
 from memlake.mappings import scalar, with_ctes
 from memlake.operators import timeline as tl
 from memlake.registry.core import query, r6, us
-from memlake.sources import corpus, lake, responses
+from memlake.sources import buckets, corpus, lake, responses
 from memlake.streaming.jobs import scratch
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -80,20 +80,37 @@ def event_lookup(t):
     return lake.event_lookup(t.event, wanted).select("event_id", "value")
 
 
-@query("upsert_latest", """
+_UPSERT = """
     with d as (select o_orderkey, o_orderstatus, o_totalprice, 0 as version from orders
       union all select o_orderkey + (select max(o_orderkey)+1 from orders)*(case when o_orderkey%10=0 then 1 else 0 end),
         'R', o_totalprice*2, 1 from orders where o_orderkey%5=0)
     select o_orderkey, o_orderstatus, round(o_totalprice,6) as o_totalprice from (
-      select *, row_number() over (partition by o_orderkey order by version desc) as rn from d) where rn=1""")
+      select *, row_number() over (partition by o_orderkey order by version desc) as rn from d) where rn=1"""
+
+
+@query("upsert_latest", _UPSERT)
 def upsert_latest(t):
+    base, delta = order_versions(t)
+    return lake.upsert_latest(base, delta, ["o_orderkey"], "version").select(
+        "o_orderkey", "o_orderstatus", r6("o_totalprice", "o_totalprice"))
+
+
+@query("upsert_buckets", _UPSERT)
+def upsert_buckets(t):
+    base, delta = order_versions(t)
+    layout = buckets.create(base, scratch(t.spark, "orders"), ["o_orderkey"], 16)
+    buckets.upsert(layout, delta, "version", scratch(t.spark, "staged"))
+    return layout.table().select("o_orderkey", "o_orderstatus", r6("o_totalprice", "o_totalprice"))
+
+
+def order_versions(t):
+    """Orders as a base table, and a delta that rewrites a tenth of them and adds as many."""
     base = t.raw("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("version"))
     moved = F.when(F.col("o_orderkey") % 10 == 0, scalar(base, F.max("o_orderkey")) + 1).otherwise(0)
     delta = base.filter("o_orderkey % 5 = 0").select(
         (F.col("o_orderkey") + moved).alias("o_orderkey"), F.lit("R").alias("o_orderstatus"),
         (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit(1).alias("version"))
-    return lake.upsert_latest(base, delta, ["o_orderkey"], "version").select(
-        "o_orderkey", "o_orderstatus", r6("o_totalprice", "o_totalprice"))
+    return base, delta
 
 
 _BLOCK = """
@@ -129,21 +146,40 @@ def schema_backfill(t):
     return lake.schema_backfill(new, old, {"origin": F.lit("normal"), "abstract_coverage": F.lit(0.0)})
 
 
-@query("vector_upsert", with_ctes(
+_VECTOR_UPSERT = with_ctes(
     "select event_id, round(list_sum(list_transform(v, lambda x: x*x)),6) as len2, round(v[1],6) as v1, round(v[48],6) as v48, "
     "false as is_abstract, 'active' as status, 'ROL-U'||label as role_ids from (select *, "
     "list_transform(list_concat(embedding[1:40], list_transform(range(8), lambda x: 0.0::double)), "
-    "lambda x: x/sqrt(list_sum(list_transform(embedding[1:40], lambda y: y*y)))) as v from vector)", "vector"))
-def vector_upsert(t):
+    "lambda x: x/sqrt(list_sum(list_transform(embedding[1:40], lambda y: y*y)))) as v from vector)", "vector")
+
+
+def vector_versions(t):
+    """Stale vectors, and fresh ones for all of them."""
     fresh = t.vector.select("event_id", F.lit(1).alias("version"),
                             vectors.unit_project(F.slice("embedding", 1, 40), 48).alias("v"), F.lit(False).alias("is_abstract"),
                             F.lit("active").alias("status"), F.concat(F.lit("ROL-U"), "label").alias("role_ids"))
-    stale = fresh.withColumn("version", F.lit(0)).withColumn("status", F.lit("silent"))
-    out = lake.upsert_latest(stale, fresh, ["event_id"], "version")
+    return fresh.withColumns({"version": F.lit(0), "status": F.lit("silent")}), fresh
+
+
+def vector_row(out):
     return out.select("event_id", r6(vectors.dot(F.col("v"), F.col("v")), "len2"), r6(F.col("v")[0], "v1"),
                       r6(F.col("v")[47], "v48"), "is_abstract", "status", "role_ids")
 
 
+@query("vector_upsert", _VECTOR_UPSERT)
+def vector_upsert(t):
+    stale, fresh = vector_versions(t)
+    return vector_row(lake.upsert_latest(stale, fresh, ["event_id"], "version"))
+
+
+@query("vector_upsert_buckets", _VECTOR_UPSERT)
+def vector_upsert_buckets(t):
+    stale, fresh = vector_versions(t)
+    layout = buckets.create(stale, scratch(t.spark, "vectors"), ["event_id"], 16)
+    buckets.upsert(layout, fresh, "version", scratch(t.spark, "staged"))
+    return vector_row(layout.table())
+
+
 _RAW = r"""
   select conv_id, turn, regexp_replace(text, '[\s"\\{}]+', ' ', 'g') as s, (conv_id*7+turn)%8 as kind from conversations"""
 

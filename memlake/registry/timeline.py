@@ -7,6 +7,8 @@ from memlake.functions import affect, ids, scoring, vectors
 from memlake.mappings import AGE_DAYS, scalar, with_ctes
 from memlake.operators import monitor, roles, timeline as tl
 from memlake.registry.core import query, r6, us
+from memlake.sources import buckets
+from memlake.streaming.jobs import scratch
 
 _ASOF = "(select t from clock)"
 _EFF = ("case when forgetting_factor=0 then 1.0 else forgetting_factor end*exp(-0.693*"
@@ -14,14 +16,26 @@ _EFF = ("case when forgetting_factor=0 then 1.0 else forgetting_factor end*exp(-
 _RET = "exp(-0.693*" + AGE_DAYS.format(a="create_time", b=_ASOF) + "/60.0)"
 
 
-@query("event_role_timeline_join", with_ctes("""
+_STANDING = with_ctes("""
     select r.role_id, r.event_id, round(t.forgetting_factor,6) as forgetting_factor, t.event_id is null as is_forgotten
-    from event_role r left join (select * from timeline where importance<>'D') t using (role_id, event_id)""", "event_role", "timeline"))
+    from event_role r left join (select * from timeline where importance<>'D') t using (role_id, event_id)""", "event_role", "timeline")
+
+
+@query("event_role_timeline_join", _STANDING)
 def event_role_timeline_join(t):
     out = tl.role_timeline_join(t.event_role, t.timeline.filter("importance <> 'D'"))
     return out.select("role_id", "event_id", r6("forgetting_factor", "forgetting_factor"), "is_forgotten")
 
 
+@query("event_role_timeline_buckets", _STANDING)
+def event_role_timeline_buckets(t):
+    keys = ["role_id", "event_id"]
+    roles_ = buckets.create(t.event_role.select(*keys, "importance"), scratch(t.spark, "event-role"), keys, 16)
+    entries = buckets.create(t.timeline.filter("importance <> 'D'").select(*keys, "forgetting_factor", "memory_weight", "last_accessed_time"), scratch(t.spark, "timeline"), keys, 16)
+    out = tl.role_timeline_join(roles_.table(), entries.table())
+    return out.select("role_id", "event_id", r6("forgetting_factor", "forgetting_factor"), "is_forgotten")
+
+
 @query("conflict_pairs", with_ctes("""
     select a.role_id, a.event_id as event_a, b.event_id as event_b, left(a.role_summary,80) as summary_a,
       left(b.role_summary,80) as summary_b, round(abs(a.valence-b.valence),3) as sentiment_delta
