@@ -7,7 +7,7 @@ from memlake.functions import ids
 from memlake.mappings import with_ctes
 from memlake.operators import output, recall, sampling, timeline as tl
 from memlake.plans import recall_block as rb, seal
-from memlake.registry.core import query, r6
+from memlake.registry.core import query, r6, us
 from memlake.registry.search import USER_FOCUS, _COVER, _FACTOR, _KEYS, _MOOD, _U, encode_events, tier1, user_focus
 from memlake.registry.text import _B, _ladder_sql
 from memlake.registry.timeline import _EFF, _WEIGHT
@@ -302,3 +302,20 @@ def recall_job_search(t):
                                    "event", "event_text", "event_role", "timeline", "clock", weight=_WEIGHT, **_JOB, **_JOB_BLOCK, jedge=_JOB_EDGE, whole=_JOB_WHOLE))
 def recall_job_log(t):
     return recall_of_users(t).log.select("query_id", F.array_join("event_ids", "|").alias("event_ids"))
+
+
+@query("recall_job_silent", with_ctes(f"""
+    select event_id, 'silent' as status from (select r.event_id, bool_and(eff is null or eff<0.02) as is_silent from event_role r
+      left join (select role_id, event_id, {_EFF} as eff from timeline) t using (role_id, event_id) group by r.event_id)
+    where is_silent and event_id in (select event_id from jobhits)""", "event", "event_role", "timeline", "clock", **_JOB))
+def recall_job_silent(t):
+    return recall_of_users(t).silent.select("event_id", "status")
+
+
+@query("recall_job_timeline", with_ctes("""
+    select role_id, event_id, round(case when hit then least(greatest(forgetting_factor,1)*1.5,300) else forgetting_factor end,6) as forgetting_factor,
+      epoch_us(case when hit then (select t from clock) else last_accessed_time end) as accessed_us
+    from (select *, event_id in (select event_id from whole) as hit from timeline)""",
+    "event", "event_text", "event_role", "timeline", "clock", weight=_WEIGHT, **_JOB, **_JOB_BLOCK, jedge=_JOB_EDGE, whole=_JOB_WHOLE))
+def recall_job_timeline(t):
+    return recall_of_users(t).timeline.select("role_id", "event_id", r6("forgetting_factor", "forgetting_factor"), us("last_accessed_time", "accessed_us"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from memlake.config import DEFAULT as CFG
 from memlake.mappings import Tables, with_ctes
 from memlake.registry.core import query, r6
-from memlake.streaming import jobs, state
+from memlake.streaming import jobs, processors, state
 
 
 def live(t: Tables, order: str = "ts") -> Tables:
@@ -71,8 +71,8 @@ def turn_batches(t):
     select conv_id, session_no, part, turns, start_us, end_us, md5(content) as content_md5, closed_by, length(content)>{_SEAL} as oversized
     from fragments where closed_by is not null""", "turns", **_SPANS)[5:])
 def stream_unclosed(t):
-    rows = jobs.drain(state.unclosed_fragments(turn_batches(t).withWatermark("ts", jobs.WATERMARK), 30), jobs.scratch(t.spark, "unclosed"))
-    return rows.filter(F.col("closed_by") != state.ACCEPTED).select(
+    rows = jobs.drain(processors.unclosed_fragments(turn_batches(t).withWatermark("ts", jobs.WATERMARK), 30), jobs.scratch(t.spark, "unclosed"))
+    return rows.filter(F.col("closed_by") != processors.ACCEPTED).select(
         "conv_id", "session_no", "part", "turns", "start_us", "end_us", F.md5("content").alias("content_md5"), "closed_by", "oversized")
 
 
@@ -130,7 +130,7 @@ def stream_rolling_affect(t):
     select phase, max(seq) as last_seq, round(avg(elapsed_ms),6) as mean_ms, count(*)::int as samples from (
       select *, row_number() over (partition by phase order by seq desc) as rn from phase_sample) where rn<=32 group by phase""", "phase_sample"))
 def stream_perf(t):
-    rows = jobs.drain(state.perf_window(live(t).phase_sample.select("phase", "seq", "elapsed_ms")), jobs.scratch(t.spark, "perf"), "update")
+    rows = jobs.drain(processors.perf_window(live(t).phase_sample.select("phase", "seq", "elapsed_ms")), jobs.scratch(t.spark, "perf"), "update")
     return jobs.latest(rows, ["phase"]).select("phase", "last_seq", r6("mean_ms", "mean_ms"), "samples")
 
 

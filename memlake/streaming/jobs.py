@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import ids
-from memlake.operators.ordered import first_per_key
 from memlake.plans.seal import seal_events
 from memlake.sources import lake
 from memlake.session import shared_folder
-from memlake.streaming import state
+from memlake.streaming import processors
 
 WATERMARK = "1 hour"
 
@@ -23,13 +22,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
-    """A parquet table of a folder as a stream, rate-limited per micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("pathGlobFilter", f"{table}.parquet").parquet(folder))
-
-
 def drain(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read its rows back.
 
@@ -40,8 +32,9 @@ def drain(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
 
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state")
-         .trigger(availableNow=True).foreachBatch(write).start())
+    with processors.rocksdb(stream.sparkSession):
+        q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state")
+             .trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
     return stream.sparkSession.read.schema(
         T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
@@ -74,13 +67,21 @@ def late_rows(given: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFra
     return given.join(accepted.select(*keys).distinct(), keys, "left_anti")
 
 
+ROWS_PER_FILE = 100_000
+
+
 def in_batches(rows: DataFrame, order: Column, out: str, batches: int = 3) -> DataFrame:
-    """A table as a stream of several micro-batches: equal spans of a whole number, one file each, lowest first."""
-    low, high = rows.agg(F.min(order), F.max(order)).first()
+    """A table as a stream of several micro-batches: equal spans of a whole number, lowest first; rows without one come in the first.
+
+    Each span is written by as many tasks as its share of the rows asks for, and a
+    trigger takes the files of one span.
+    """
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    files = max(1, n // (batches * ROWS_PER_FILE))
+    span = F.coalesce(F.floor((order - F.lit(low or 0)) * batches / ((high or 0) - (low or 0) + 1)), F.lit(0))
     for i in range(batches):
-        part = F.floor((order - F.lit(low or 0)) * batches / ((high or 0) - (low or 0) + 1)) == i
-        rows.filter(part).coalesce(1).write.parquet(f"{out}/part={i}")
-    return (rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        rows.filter(span == i).repartition(files).write.parquet(f"{out}/part={i}")
+    return (rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
             .option("recursiveFileLookup", "true").parquet(out))
 
 
@@ -101,38 +102,45 @@ def sealed_events(fragments: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFram
     return seal_events(rows, none, cfg)
 
 
-def newest_of_conversation(asked: DataFrame, events: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """A plain recall block (`query_id`, `event_id`, `position`): the newest sealed events of the conversation that asks."""
-    mine = asked.select("query_id", "conv_id").join(events.select("conv_id", "event_id", "create_time", "part"), "conv_id")
-    return first_per_key(mine, ["query_id"], [F.col("create_time").desc(), F.col("part").desc()], cfg.n_results, "position").select("query_id", "event_id", "position")
+def newest_in_state(accepted: DataFrame) -> DataFrame:
+    """A plain recall block (`query_id`, `event_id`, `position`) from what the state told: the newest sealed events of the conversation that asks."""
+    at = F.posexplode(F.transform("newest", lambda n: F.split(n, r"\.")))
+    return accepted.select("query_id", "conv_id", at.alias("i", "n")).select(
+        "query_id", fragment_id(F.col("conv_id"), F.col("n")[0], F.col("n")[1]).alias("event_id"), (F.col("i") + 1).alias("position"))
 
 
 Recall = Callable[[DataFrame, DataFrame, MemoryConfig], DataFrame]
 
 
-def ingest(turns: DataFrame, out: str, gap_minutes: int = 30, cfg: MemoryConfig = DEFAULT, recall: Recall = newest_of_conversation):
+def ingest(turns: DataFrame, out: str, gap_minutes: int = 30, cfg: MemoryConfig = DEFAULT, recall: Recall | None = None):
     """Turn stream to tables `event`, `stale`, `accepted` and `recall_log`; returns the running query.
 
     Each micro-batch overwrites its own partition of all tables, so a retried batch adds nothing. Stale text
-    is kept apart and becomes no event. Every conversation that a batch brings turns for asks once; `recall` gives the
-    block from all events sealed so far, and the log gets its rows. Turns that are in no `accepted` row came too late (`late_rows`).
+    is kept apart and becomes no event. Every conversation that a batch brings turns for asks once and gets its newest
+    sealed events, which its state names, so that a batch reads nothing back but its own rows. `recall` may
+    give another block from all events sealed so far; it then reads them all in each batch. Turns that are in no
+    `accepted` row came too late (`late_rows`).
     """
-    fragments = state.unclosed_fragments(turns.withWatermark("ts", WATERMARK), gap_minutes, cfg)
+    spark = turns.sparkSession
+    fragments = processors.unclosed_fragments(turns.withWatermark("ts", WATERMARK), gap_minutes, cfg)
 
     def write(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
         raw = f"{out}/fragment/batch={batch}"
         rows.write.mode("overwrite").parquet(raw)
-        rows = spark.read.schema(rows.schema).parquet(raw)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(raw)
         new = lambda name, df: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
         new("event", sealed_events(rows.filter(F.col("closed_by").isin("gap", "force")), cfg))
-        new("stale", rows.filter(F.col("closed_by") == "stale").drop("accepted"))
-        accepted = rows.filter(F.col("closed_by") == state.ACCEPTED)
+        new("stale", rows.filter(F.col("closed_by") == "stale").drop("accepted", "newest"))
+        accepted = rows.filter(F.col("closed_by") == processors.ACCEPTED)
         new("accepted", accepted.select("conv_id", F.explode("accepted").alias("turn")))
-        asked = accepted.select("conv_id", F.concat_ws("-", F.lit("RCL"), "conv_id", F.lit(batch)).alias("query_id"), F.timestamp_micros("end_us").alias("created_at"))
-        events = spark.read.parquet(f"{out}/event").filter(F.col("batch") <= batch)
-        log = lake.recall_log_rows(recall(asked, events, cfg)).join(asked.select("query_id", "created_at"), "query_id")
+        asked = accepted.select("conv_id", F.concat_ws("-", F.lit("RCL"), "conv_id", F.lit(batch)).alias("query_id"), F.timestamp_micros("end_us").alias("created_at"), "newest")
+        if recall is None:
+            block = newest_in_state(asked)
+        else:
+            block = recall(asked, rows.sparkSession.read.parquet(f"{out}/event").filter(F.col("batch") <= batch), cfg)
+        log = lake.recall_log_rows(block).join(asked.select("query_id", "created_at"), "query_id")
         new("recall_log", log.select(F.col("query_id").alias("recall_id"), "created_at", "event_ids"))
 
-    return (fragments.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state")
-            .trigger(availableNow=True).foreachBatch(write).start())
+    with processors.rocksdb(spark):
+        return (fragments.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state")
+                .trigger(availableNow=True).foreachBatch(write).start())

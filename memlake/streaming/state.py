@@ -28,65 +28,6 @@ def _micros(ts) -> int:
     return pd.Timestamp(ts).value // 1000
 
 
-# -- open fragments ----------------------------------------------------------
-SEALED = ("conv_id bigint, session_no bigint, part int, turns bigint, start_us bigint, end_us bigint, content string, "
-          "closed_by string, oversized boolean, accepted array<bigint>")
-OPEN = "session_no bigint, part int, texts array<string>, chars bigint, start_us bigint, end_us bigint"
-ACCEPTED = "accepted"
-
-
-def unclosed_fragments(turns: DataFrame, gap_minutes: int, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Seal a conversation's open text at an inactivity gap, or when a further turn would take it over the force threshold; report it as stale after 24 quiet hours.
-
-    Input is a stream of turns (`conv_id`, `turn`, `ts`, `text`) with a watermark on `ts`.
-    Parts of one session are numbered from 0; what follows a forced seal is the next part, and the earlier ones are
-    its prefixes. Session numbers of a conversation are never used twice: only the text of a stale one leaves the
-    state. The state holds at most the threshold and one turn. A row whose `closed_by` is `accepted` names
-    the turns that a batch took in; turns behind the watermark appear in none.
-    """
-    gap_us, stale_ms, most = gap_minutes * 60_000_000, cfg.stale_hours * 3_600_000, cfg.force_threshold
-    columns = [c.split()[0] for c in SEALED.split(", ")]
-
-    def step(key: tuple, rows: Rows, state: GroupState) -> Iterator[pd.DataFrame]:
-        no, part, texts, chars, start, end = state.get if state.exists else (0, 0, [], 0, 0, 0)
-        texts, out, taken = list(texts), [], []
-
-        def seal(why: str) -> None:
-            content = "\n".join(texts)
-            out.append((key[0], no, part, len(texts), start, end, content, why, len(content) > most, []))
-            texts.clear()
-
-        if state.hasTimedOut:
-            if texts:
-                seal("stale")
-            state.update((no, part, [], 0, start, end))
-            yield pd.DataFrame(out, columns=columns)
-            return
-        for row in _ordered(rows, ["ts", "turn"]).itertuples(index=False):
-            at, text = _micros(row.ts), row.text or ""
-            taken.append(int(row.turn))
-            if texts and at - end > gap_us:
-                seal("gap")
-            if not texts:
-                no, part = no + 1, 0
-            elif chars + 1 + len(text) > most:
-                seal("force")
-                part += 1
-            if not texts:
-                start, chars = at, -1
-            texts.append(text)
-            chars += 1 + len(text)
-            end = max(end, at)
-        out.append((key[0], no, part, 0, start, end, "", ACCEPTED, False, taken))
-        state.update((no, part, texts, chars, start, end))
-        # the timer may not lie behind the watermark, as it would for a late but accepted turn
-        state.setTimeoutTimestamp(max(end // 1000 + stale_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        step, SEALED, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # -- rolling affect ----------------------------------------------------------
 AFFECT = "role_id string, last_us bigint, rolling_valence double, rolling_arousal double, energy double, rows bigint"
 AFFECT_STATE = "last_us bigint, w double, v double, a double, rows bigint"
@@ -115,26 +56,6 @@ def rolling_affect(entries: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame
     return entries.groupBy("role_id").applyInPandasWithState(step, AFFECT, AFFECT_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-# -- phase timings -----------------------------------------------------------
-PERF = "phase string, last_seq bigint, mean_ms double, samples int"
-PERF_STATE = "seqs array<bigint>, ms array<double>"
-
-
-def perf_window(samples: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Mean of the newest 32 samples of each phase; only those 32 are kept."""
-
-    def step(key: tuple, rows: Rows, state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"seq": state.get[0], "elapsed_ms": state.get[1]}) if state.exists else None
-        for pdf in rows:
-            both = pdf[["seq", "elapsed_ms"]] if kept is None else pd.concat([kept, pdf[["seq", "elapsed_ms"]]])
-            kept = both.nlargest(cfg.perf_window, "seq")
-        kept = kept.sort_values("seq")
-        state.update((kept.seq.tolist(), kept.elapsed_ms.tolist()))
-        yield pd.DataFrame([(key[0], kept.seq.iloc[-1], kept.elapsed_ms.mean(), len(kept))], columns=["phase", "last_seq", "mean_ms", "samples"])
-
-    return samples.groupBy("phase").applyInPandasWithState(step, PERF, PERF_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
 # -- bypass rate -------------------------------------------------------------
 BYPASS = "source string, query_id string, asked_us bigint"
 
