@@ -1,7 +1,8 @@
 """Token alignment of two tokenizers over whole texts, from byte offsets at which tokens of both end.
 
 Everything between the tokenizers and the result is Arrow: token ids lie in one
-flat list with the text they belong to beside them; lengths of tokens add up to
+flat list with the text they belong to beside them (words are encoded once and looked
+up again, as no token of either side crosses the place before a space); lengths of tokens add up to
 byte ends, counted within each text; a hash join of the two tables on (text, end)
 gives the links; Table.group_by counts them by pair in every batch, and Spark adds
 the counts up. Tokens that end together are one's bytes a suffix of the other's,
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from memlake.llm.base import SLICE_ROWS, stored, text_rows
 
 BLOCK_CHARS = 500_000
+KEPT_CHARS = 4_000_000
 PARENTS = 1 << 40  # a document-end key is the text's number in its block, times this, plus the byte offset
 SPACE = "▁"  # fixed: how the piece vocabulary writes a space
 
@@ -63,6 +66,38 @@ def possible_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(found), np.int64)
 
 
+class Lists:
+    """Lists of ids one behind the other, by number."""
+
+    def __init__(self):
+        self.flat, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, ids: list[list[int]]) -> None:
+        more = pa.array(ids, pa.list_(pa.int32()))
+        self.flat = np.concatenate([self.flat, pc.list_flatten(more).to_numpy()])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(pc.list_value_length(more).to_numpy())])
+
+    def rows(self, numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers, flattened, and the owner of each id: the parent indices of the lists, by owner."""
+        size = self.begin[numbers + 1] - self.begin[numbers]
+        shift = np.repeat(self.begin[numbers] - (np.cumsum(size) - size), size)
+        return self.flat[np.arange(len(shift)) + shift], np.repeat(owner, size)
+
+
+class Known:
+    """Parts of texts that were encoded before, with the ids of both tokenizers."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.a, self.b, self.chars = Lists(), Lists(), 0
+
+    def add(self, parts: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
+        self.chars += sum(map(len, parts))
+        self.a.add(a_ids)
+        self.b.add(b_ids)
+
+
 @dataclass
 class Pair:
     """Both tokenizers with the bytes of their tokens, and all pairs that can link."""
@@ -85,11 +120,39 @@ class Pair:
         of_b = piece_tokens([b.id_to_piece(i) for i in range(b.get_piece_size())])
         return cls(a, b, pa.array(of_a, pa.binary()), pa.array(of_b, pa.binary()), possible_pairs(of_a, of_b), _names(len(of_a)), _names(len(of_b)))
 
+    def __post_init__(self):
+        self.apart = not any(p and SPACE in p.lstrip(SPACE) for p in (self.b.id_to_piece(i) for i in range(self.b.get_piece_size())))
+        self.known = Known()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids and their texts, of both tokenizers, of a space and each text; empty texts have none.
+
+        Texts are cut where a space follows something else than white space. The
+        byte-level pattern ends a match there, and no piece goes on after a space
+        that is not at its start (`apart`, looked up in the vocabulary), so the parts encode alike
+        on their own. The piece side puts a space before what it encodes, so it gets each part without its
+        own; a text with a part that is nothing but that space, or with the mark for a space, is encoded whole.
+        """
+        cut = [_PARTS(" " + t) if t and self.apart and SPACE not in t else [" " + t] if t else [] for t in texts]
+        cut = [[" " + t] if len(c) > 1 and " " in c else c for t, c in zip(texts, cut)]
+        new = sorted(set().union(*cut).difference(self.known.number))
+        if self.known.chars + sum(map(len, new)) > KEPT_CHARS:
+            self.known = Known()
+            new = sorted(set().union(*cut))
+        if new:
+            self.known.add(new, [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([w[1:] for w in new], num_threads=1))
+        number = self.known.number
+        codes = np.array([number[w] for c in cut for w in c], np.int64)
+        text = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        return (*self.known.a.rows(codes, text), *self.known.b.rows(codes, text))
+
     def b_of(self) -> np.ndarray:
         """The piece of each possible pair."""
         return self.pairs % len(self.b_bytes)
 
 
+#: Parts of a text, each up to a space that follows something else than white space.
+_PARTS = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+").findall
 _MARKS = ("", ",", "|", ";")
 
 
@@ -98,12 +161,6 @@ def _names(n: int) -> pa.Array:
     return pa.array([f"{i}{m}" for i in range(n) for m in _MARKS], pa.string())
 
 
-def _flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
-    """Flattened ids and the parent of each: the place of its list."""
-    flat = pa.array(ids, pa.list_(pa.int32()))
-    return pc.list_flatten(flat).to_numpy(), pc.list_parent_indices(flat).to_numpy()
-
-
 def _ends(tokens: pa.Array, parent: np.ndarray, texts: int) -> np.ndarray:
     """Where each token ends, in bytes from the start of its text: a running sum over all, less what came before the text."""
     size = pc.binary_length(tokens)
@@ -135,8 +192,7 @@ def align(pair: Pair, texts: list[str]) -> Aligned:
     """Encode a block of texts with both tokenizers and link the tokens that end together."""
     n = len(texts)
     wanted = [(" " + t).encode() for t in texts]
-    a_ids, a_at = _flat([e.ids if t else [] for t, e in zip(texts, pair.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))])
-    b_ids, b_at = _flat([i if t else [] for t, i in zip(texts, pair.b.encode(texts, num_threads=1))])
+    a_ids, a_at, b_ids, b_at = pair.encode(texts)
     a_tokens, b_tokens = pair.a_bytes.take(pa.array(a_ids)), pair.b_bytes.take(pa.array(b_ids))
     ok = _whole(a_tokens, a_at, wanted) & _whole(b_tokens, b_at, wanted) & np.array([bool(t) for t in texts], bool)
     a_end, b_end = _ends(a_tokens, a_at, n), _ends(b_tokens, b_at, n)

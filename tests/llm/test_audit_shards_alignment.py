@@ -257,3 +257,18 @@ def test_links_are_suffixes():
     a, b = [b"x", b"ax", b"bx", b"", b"long"], [b"x", b"cax", b"ng", b"q"]
     pairs = {divmod(int(p), len(b)) for p in alignment.possible_pairs(a, b)}
     assert pairs == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x and y and (x.endswith(y) or y.endswith(x))}
+
+
+@pytest.fixture(scope="module")
+def pair():
+    return alignment.Pair.load(BYTE_LEVEL, PIECES)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", "\t", "\x1c", "\xa0", "\u3000", "'s", "'", "12", "é", "字", "▁", "<s>", "!?", "\0", "Été"]), max_size=14).map("".join), min_size=1, max_size=4))
+def test_parts_encode_like_whole_texts(pair, texts):
+    a_ids, a_at, b_ids, b_at = pair.encode(texts)
+    assert pair.apart
+    for i, t in enumerate(texts):
+        assert a_ids[a_at == i].tolist() == (pair.a.encode(" " + t, add_special_tokens=False).ids if t else [])
+        assert b_ids[b_at == i].tolist() == (pair.b.encode(t) if t else [])
