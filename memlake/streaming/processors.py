@@ -155,13 +155,13 @@ PERF = "phase string, last_seq bigint, mean_ms double, samples int"
 
 
 class PhaseWindow(StatefulProcessor):
-    """The newest samples of a phase in a map by sequence number; samples that nobody renews for `ttl_ms` are forgotten."""
+    """The newest samples of a phase in a map by sequence number."""
 
-    def __init__(self, size: int, ttl_ms: int | None):
-        self.size, self.ttl_ms = size, ttl_ms
+    def __init__(self, size: int):
+        self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.samples = handle.getMapState("samples", "seq bigint", "ms double", self.ttl_ms)
+        self.samples = handle.getMapState("samples", "seq bigint", "ms double")
 
     def handleInputRows(self, key, rows: Rows, timerValues) -> Rows:
         known = {k[0]: v[0] for k, v in self.samples.iterator()}
@@ -179,7 +179,7 @@ class PhaseWindow(StatefulProcessor):
         pass
 
 
-def perf_window(samples: DataFrame, cfg: MemoryConfig = DEFAULT, ttl_ms: int | None = None) -> DataFrame:
+def perf_window(samples: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Mean of the newest 32 samples of each phase; a batch writes only the samples that enter or leave the window."""
     return samples.groupBy("phase").transformWithStateInPandas(
-        PhaseWindow(cfg.perf_window, ttl_ms), PERF, "update", "ProcessingTime" if ttl_ms else "None")
+        PhaseWindow(cfg.perf_window), PERF, "update", "None")

@@ -160,14 +160,6 @@ def test_recall_from_state_equals_recall_from_the_table(spark, tmp_path):
     assert logs[0] == logs[1] and max(len(r[1]) for r in logs[0]) == 3
 
 
-def test_samples_that_nobody_renews_are_forgotten(spark, tmp_path):
-    schema = "phase string, seq bigint, elapsed_ms double"
-    src = source(spark, tmp_path, [[("p", 1, 1.0)], [("p", 2, 3.0)]], schema)
-    kept = jobs.latest(jobs.drain(processors.perf_window(src, ttl_ms=3_600_000), str(tmp_path / "kept"), "update"), ["phase"]).first()
-    gone = jobs.latest(jobs.drain(processors.perf_window(src, ttl_ms=1), str(tmp_path / "gone"), "update"), ["phase"]).first()
-    assert (kept.samples, kept.mean_ms) == (2, 2.0) and (gone.samples, gone.mean_ms) == (1, 3.0)
-
-
 def test_rows_without_a_time_come_in_the_first_batch(spark, tmp_path):
     given = spark.createDataFrame([(i, None if i % 4 == 0 else i) for i in range(40)], "id long, at long")
     stream = jobs.in_batches(given, F.col("at"), str(tmp_path / "spans"))
