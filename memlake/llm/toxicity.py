@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +56,39 @@ class Grader:
     thresholds: np.ndarray
 
     def __post_init__(self):
-        self.of: dict[str, tuple[str, ...]] = {}
+        self.names = sorted(self.weights)
+        self.place = {f: i for i, f in enumerate(self.names)}
+        self.weight = np.array([self.weights[f] for f in self.names])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Codes of words: 0 for those without a weighted feature; `held` has the features of the others, three places a word."""
+        self.of: dict[str, int] = {}
+        self.held: list[list[int]] = [[-1] * (1 + len(BEGINNINGS))]
+        self.table = np.array(self.held)
+
+    def _code(self, words: list[str]) -> np.ndarray:
+        for w in set(words).difference(self.of):
+            found = [self.place[f] for f in features(w) if f in self.place]
+            self.of[w] = len(self.held) if found else 0
+            if found:
+                self.held.append(found + [-1] * (1 + len(BEGINNINGS) - len(found)))
+        if len(self.table) < len(self.held):
+            self.table = np.concatenate([self.table, self.held[len(self.table):]])
+        return np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
 
     def score(self, text: str) -> float:
-        words = _WORD(text.lower())
-        for w in set(words).difference(self.of):
-            self.of[w] = tuple(f for f in features(w) if f in self.weights)
-        found: Counter = Counter()
-        for f in chain.from_iterable(map(self.of.__getitem__, words)):
-            found[f] += 1
+        """The sum of weight times log(1 + count) over the weighted features of the whole text; each distinct word is looked up once."""
+        codes = self._code(_WORD(text.lower()))
+        word, n = np.unique(codes[codes > 0], return_counts=True)
+        at = self.table[word]
+        on = at >= 0
+        feature, which = np.unique(at[on], return_inverse=True)
+        total = np.bincount(which, weights=np.repeat(n, on.sum(axis=1)), minlength=len(feature))
+        out = float((self.weight[feature] * np.log1p(total)).sum())
         if len(self.of) > KNOWN_WORDS:
-            self.of.clear()
-        return float(sum(self.weights[f] * np.log1p(n) for f, n in sorted(found.items())))
+            self._forget()
+        return out
 
     def above(self, score: float) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...; falling in k because the thresholds rise."""

@@ -291,6 +291,17 @@ def test_rare_toxic_terms_are_learnt(spark):
     assert len(held) > 100 and all(r.toxic == r.doc_id % 2 for r in held)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["bad", "badly", "Badness", "worst", "worse", "good", "é", "x", "12", " ", ".", "\n"]), max_size=30).map(" ".join), max_size=4))
+def test_scores_by_plain_counts(texts):
+    """Weights times log(1 + count) of every feature, counted word by word."""
+    weights = {"bad": 0.5, "bad~": 0.25, "badl~": -1.0, "badn~": 2.0, "wors~": 0.75, "worst": 1.5, "x": -0.5}
+    grader = toxicity.Grader(weights, np.array([0.0]))
+    for text in texts:
+        want = sum(weights.get(f, 0) * math.log1p(n) for f, n in toxicity.counts(text).items())
+        assert abs(grader.score(text) - want) < 1e-9
+
+
 def test_cumulative_link_learns_an_order():
     rng = np.random.default_rng(3)
     n = 600
