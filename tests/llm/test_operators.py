@@ -543,6 +543,18 @@ def test_bands_reach_the_similarity():
     assert found == 400
 
 
+def test_sketches_agree_at_the_similarity(spark):
+    rng, rows_ = np.random.default_rng(8), []
+    for i in range(600):
+        shared, a, b = (rng.integers(0, 2 ** 64, n, np.uint64) for n in ((160, 20, 20) if i % 2 else (60, 60, 60)))
+        one, other = (similar_texts.least_hashes(np.concatenate([shared, x])) for x in (a, b))
+        rows_.append((i, similar_texts.sketch(one).tolist(), similar_texts.sketch(other).tolist(), int(((one * similar_texts._MIX) >> np.uint64(60) == (other * similar_texts._MIX) >> np.uint64(60)).sum())))
+    df = spark.createDataFrame(rows_, "i int, a array<bigint>, b array<bigint>, want int")
+    got = df.select("i", "want", similar_texts.agreeing(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == r.want for r in got)
+    assert all(r.n >= similar_texts.SKETCH_LEAST for r in got if r.i % 2) and sum(r.n >= similar_texts.SKETCH_LEAST for r in got if not r.i % 2) < 3
+
+
 def test_components_of_long_chains(spark):
     edges = spark.range(200).selectExpr("(id * 7) % 201 as u", "((id + 1) * 7) % 201 as v")
     assert {(r.node, r.root) for r in components.components(edges).collect()} == {(i, 0) for i in range(201)}
