@@ -112,6 +112,10 @@ class MemoryConfig:
     wp_share: float = 0.25
     decoration_share: float = 0.10
     affect_decay_per_hour: float = 0.1
+    energy_trigger: float = 5.0
+    habituation: float = 0.01
+    surviving_share: float = 0.6
+    surviving_share_loaded: float = 0.4
     affect_history: int = 10
     energy_gain: float = 1.0
     rrf_k: int = 60

@@ -22,8 +22,17 @@ def valence(emotion) -> Column:
     return (plus - minus) / (plus + minus + 1e-6)
 
 
-def base_forgetting(memory_weight: Column, cfg: MemoryConfig = DEFAULT) -> Column:
-    return F.lit(100.0) * F.pow(memory_weight, F.lit(cfg.arousal_gamma))
+def base_forgetting(memory_weight: Column, cfg: MemoryConfig = DEFAULT, valence: Column | None = None, alpha: float = 0.0) -> Column:
+    """100 times the weight to the power gamma; with `alpha` (0 to 0.5) a negative valence makes it last longer."""
+    plain = F.lit(100.0) * F.pow(memory_weight, F.lit(cfg.arousal_gamma))
+    if valence is None or not alpha:
+        return plain
+    return plain * (1 + F.lit(min(max(alpha, 0.0), 0.5)) * F.greatest(F.lit(0.0), -F.coalesce(valence, F.lit(0.0))))
+
+
+def habituated(strength: Column, recalls: Column, cfg: MemoryConfig = DEFAULT) -> Column:
+    """An emotion's strength after a number of recalls: each takes a share of what is left, the event itself stays."""
+    return strength * F.pow(F.lit(1 - cfg.habituation), recalls.cast("double"))
 
 
 def mood_modifier(event_valence: Column, query_valence: Column, cfg: MemoryConfig = DEFAULT) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from memlake.config import (ABSTRACT_PHASES, DEFAULT, DEFAULT_PHASE_LIMIT_MS, PHASE_LIMIT_MS,
                             RECALL_PHASES, MemoryConfig)
 from memlake.functions import scoring
 from memlake.operators.ordered import SLOT, first_per_key, row_position, with_preceding
+from memlake.operators.scans import affine
 
 
 def audit_schedule(events: DataFrame, source: str, cfg: MemoryConfig = DEFAULT) -> DataFrame:
@@ -64,21 +63,10 @@ def load_limits(samples: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
 
 def quality_ema(rates: DataFrame, key: str, order: list[str], rate: str, out: str,
                 cfg: MemoryConfig = DEFAULT) -> DataFrame:
-    """Exponential mean of a rate per source, at every row.
-
-    A value k rows back weighs (1-α)^k; past `depth` rows that is below the
-    resolution of a double, so a frame of that depth gives the full recursion.
-    The start value keeps weight (1-α)^(t) as in the recursion.
-    """
+    """Exponential mean of a rate per source, at every row; the first row's rate is the start."""
     a = min(max(cfg.ema_alpha, 1e-6), 1.0)
-    depth = 1 if a == 1.0 else math.ceil(40 / -math.log1p(-a))
-    src = rates.withColumn("_r", F.least(F.greatest(F.col(rate), F.lit(0.0)), F.lit(1.0)))
-    src = src.select(key, *order, "_r")
-    frame = Window.partitionBy(key, SLOT).orderBy(*order).rowsBetween(-depth, 0)
-    staged = with_preceding(src, [key], order, depth).withColumn("_h", F.collect_list("_r").over(frame))
-    folded = F.aggregate(F.slice("_h", F.lit(2), F.size("_h")), F.get(F.col("_h"), F.lit(0)),
-                         lambda acc, r: F.lit(1 - a) * acc + F.lit(a) * r)
-    return staged.filter(~F.col("_carried")).select(key, *order, folded.alias(out))
+    src = rates.select(key, *order, F.least(F.greatest(F.col(rate), F.lit(0.0)), F.lit(1.0)).alias("_r"))
+    return affine(src, [key], order, F.lit(1 - a), F.lit(a) * F.col("_r"), out, start=F.col("_r")).drop("_r")
 
 
 def invocation_stats(calls: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from memlake.config import DEFAULT, EMOTIONS, MemoryConfig
 from memlake.functions import affect, scoring
 from memlake.functions.vectors import let
-from memlake.operators.ordered import SLOT, first_per_key, running_total, with_preceding
+from memlake.operators.ordered import ROWS_PER_SLOT, SLOT, first_per_key, row_position, running_total, with_preceding
+from memlake.operators.scans import affine
 
 
 def primary_role(core_role: str | None = None) -> Column:
@@ -135,6 +136,37 @@ def event_affect(event: DataFrame, event_role: DataFrame) -> DataFrame:
     return event.select("event_id").join(per, "event_id", "left").na.fill(0.0)
 
 
+def accumulated_energy(timeline: DataFrame, cfg: MemoryConfig = DEFAULT, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """(role_id, event_id, create_time, energy, triggers): decayed sum of arousal over the whole history of each role.
+
+    An entry triggers when it lifts the energy over the limit, that is when what
+    was left of the earlier ones did not reach it. A null arousal adds nothing.
+    """
+    order = ["create_time", "event_id"]
+    src = timeline.select("role_id", *order, F.coalesce("arousal", F.lit(0.0)).alias("arousal"))
+    before = Window.partitionBy("role_id", SLOT).orderBy(*order)
+    gap = F.coalesce(scoring.age_hours(F.lag("create_time").over(before), F.col("create_time")), F.lit(0.0))
+    timed = with_preceding(src, ["role_id"], order, 1, rows_per_slot).withColumn("_gap", gap).filter(~F.col("_carried")).drop("_carried", SLOT)
+    decay = F.exp(F.lit(-cfg.affect_decay_per_hour) * F.col("_gap"))
+    out = affine(timed, ["role_id"], order, decay, F.col("arousal"), "energy", rows_per_slot=rows_per_slot)
+    return out.select("role_id", *reversed(order), "energy", (
+        (F.col("energy") > cfg.energy_trigger) & (F.col("energy") - F.col("arousal") <= cfg.energy_trigger)).alias("triggers"))
+
+
+def capacity_silence(timeline: DataFrame, as_of: Column, load: Column, cfg: MemoryConfig = DEFAULT, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """Entries by rank of their effective weight over the whole store; those behind the surviving share are silent.
+
+    The share falls from `surviving_share` without load to `surviving_share_loaded`
+    at the highest load. Ties end with role and event.
+    """
+    strained = F.least(F.greatest((load - 1) / (cfg.load_max - 1), F.lit(0.0)), F.lit(1.0))
+    share = F.lit(cfg.surviving_share) - F.lit(cfg.surviving_share - cfg.surviving_share_loaded) * strained
+    eff = scoring.effective_forgetting(F.col("forgetting_factor"), F.col("last_accessed_time"), as_of, cfg)
+    rows = timeline.select("role_id", "event_id", F.round(eff, 9).alias("effective"))
+    placed = row_position(rows, [], [F.col("effective").desc(), F.col("role_id"), F.col("event_id")], "place", rows_per_slot)
+    return placed.withColumn("is_silent", F.col("place") > F.floor(F.lit(timeline.count()) * share))
+
+
 def activation_energy(role_energy: DataFrame, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     return role_energy.groupBy("event_id").agg(
         F.least(F.max("energy") * cfg.energy_gain, F.lit(1.0)).alias("activation_energy"))

@@ -125,6 +125,38 @@ def silence_check(t):
     return tl.silence_check(t.event_role, t.timeline.filter("importance <> 'D'"), t.as_of)
 
 
+@query("energy_trigger", "with recursive " + with_ctes("""
+    select role_id, event_id, round(e,6) as energy, e>5 and e-arousal<=5 as triggers from walk""", "timeline",
+    num="select role_id, event_id, create_time, arousal, row_number() over (partition by role_id order by create_time, event_id) as rn from timeline",
+    walk="""select role_id, event_id, create_time, arousal, rn, arousal as e from num where rn=1
+      union all select n.role_id, n.event_id, n.create_time, n.arousal, n.rn,
+        n.arousal + w.e*exp(-0.1*(epoch_us(n.create_time)-epoch_us(w.create_time))/3600e6) from walk w join num n on n.role_id=w.role_id and n.rn=w.rn+1""")[5:])
+def energy_trigger(t):
+    return tl.accumulated_energy(t.timeline).select("role_id", "event_id", r6("energy", "energy"), "triggers")
+
+
+@query("capacity_silence", with_ctes(f"""
+    select role_id, event_id, place, place>floor(n*(0.6-0.2*0.0)) as silent_at_rest, place>floor(n*(0.6-(0.6-0.4)*0.5)) as silent_under_load from (
+      select role_id, event_id, row_number() over (order by round(eff,9) desc, role_id, event_id) as place, count(*) over () as n from (select *, {_EFF} as eff from timeline))""",
+    "timeline", "clock"))
+def capacity_silence(t):
+    rest = tl.capacity_silence(t.timeline, t.as_of, F.lit(1.0)).select("role_id", "event_id", "place", F.col("is_silent").alias("silent_at_rest"))
+    load = tl.capacity_silence(t.timeline, t.as_of, F.lit(2.5)).select("role_id", "event_id", F.col("is_silent").alias("silent_under_load"))
+    return rest.join(load, ["role_id", "event_id"])
+
+
+@query("habituation", with_ctes("""
+    select role_id, event_id, round(arousal*pow(0.99::double, n), 6) as arousal, round(valence*pow(0.99::double, n), 6) as valence,
+      round(100*pow(least(greatest(arousal,0),1),2)*(1+0.3*greatest(0,-valence)),6) as base_factor
+    from event_role join (select event_id, count(*) as n from (select event_id from hits union all select event_id from hits where route<2) group by event_id) using (event_id)""",
+    "event_role", "hits"))
+def habituation(t):
+    recalled = t.hits.select("event_id").unionAll(t.hits.filter("route < 2").select("event_id")).groupBy("event_id").agg(F.count("*").alias("n"))
+    base = affect.base_forgetting(affect.unit(F.col("arousal")), valence=F.col("valence"), alpha=0.3)
+    return t.event_role.join(recalled, "event_id").select(
+        "role_id", "event_id", r6(affect.habituated(F.col("arousal"), F.col("n")), "arousal"), r6(affect.habituated(F.col("valence"), F.col("n")), "valence"), r6(base, "base_factor"))
+
+
 @query("ptsd_flag", with_ctes("select event_id, max(arousal)>0.8 as ptsd_immune from event_role group by event_id", "event_role"))
 def ptsd_flag(t):
     return tl.immune_flag(t.event_role)
