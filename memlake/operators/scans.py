@@ -33,6 +33,15 @@ def compose(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     return a, b
 
 
+def follow(a: np.ndarray, b: np.ndarray, first: np.ndarray, start: np.ndarray) -> list[float]:
+    """The recurrence row by row, from `start` at the first row of each run."""
+    out, y = [], 0.0
+    for x, z, new, s in zip(a.tolist(), b.tolist(), first.tolist(), start.tolist()):
+        y = x * (s if new else y) + z
+        out.append(y)
+    return out
+
+
 def _runs(rows: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     """Whether each row begins a new key; rows are in key order."""
     first = np.zeros(len(rows), bool)
@@ -61,15 +70,15 @@ def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: Column,
     staged = by_rows(packed, keys, [F.col(c) for c in by], rows_per_slot)
     # the steps travel as numbers with a row's place in its slot; the rows themselves stay in Spark
     names = [*keys, *by]
-    shape = T.StructType([*[staged.schema[c] for c in (*names, SLOT)], *[T.StructField(c, T.DoubleType()) for c in ("_a", "_b", "_s")]])
+    shape = T.StructType([*[staged.schema[c] for c in (*names, SLOT)], *[T.StructField(c, T.DoubleType()) for c in ("_a", "_b", "_s", "_y")]])
 
     def inside(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(names, kind="stable", na_position="first").reset_index(drop=True)
         first = _runs(rows, keys)
-        step_a, step_b = compose(rows["_a"].to_numpy(), rows["_b"].to_numpy(), first)
-        run = np.cumsum(first) - 1
-        rows["_s"] = rows["_s"].to_numpy()[np.flatnonzero(first)][run]
-        rows["_a"], rows["_b"] = step_a, step_b
+        a, b, s = (rows[c].to_numpy() for c in ("_a", "_b", "_s"))
+        rows["_y"] = follow(a, b, first, s)  # what holds where the key begins in this slot
+        rows["_a"], rows["_b"] = compose(a, b, first)
+        rows["_s"] = s[np.flatnonzero(first)][np.cumsum(first) - 1]
         return rows
     steps = staged.select(*names, SLOT, "_a", "_b", "_s").groupBy(SLOT).applyInPandas(inside, shape)
     last = F.max_by(F.struct("_a", "_b", "_s"), F.struct(*by))
@@ -89,7 +98,7 @@ def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: Column,
     coming = chains.groupBy(*keys).applyInPandas(over, carried)
     placed = steps.withColumnRenamed("_a", "_ta").withColumnRenamed("_b", "_tb")
     joined = placed.join(coming, _null_safe(placed, coming, [*keys, SLOT]), "left").select(
-        *[placed[c] for c in (*names, SLOT)], (F.col("_ta") * F.coalesce(F.col("_in"), F.col("_s")) + F.col("_tb")).alias("_y"))
+        *[placed[c] for c in (*names, SLOT)], F.coalesce(F.col("_ta") * F.col("_in") + F.col("_tb"), F.col("_y")).alias("_y"))
     rows = staged.select(*names, SLOT, "_row")
     return rows.join(joined, _null_safe(rows, joined, [*names, SLOT])).select(
         *[rows[k] for k in keys], *[F.col("_row")[c].alias(c) for c in rest], F.col("_y").alias(out)).select(*df.columns, out)

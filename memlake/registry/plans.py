@@ -313,9 +313,9 @@ def recall_job_silent(t):
 
 
 @query("recall_job_timeline", with_ctes("""
-    select role_id, event_id, round(case when hit then least(greatest(forgetting_factor,1)*1.5,300) else forgetting_factor end,6) as forgetting_factor,
+    select role_id, event_id, round(case when hit then least(greatest(forgetting_factor,1)*1.5,300) else forgetting_factor end + 1e-9,6) as forgetting_factor,
       epoch_us(case when hit then (select t from clock) else last_accessed_time end) as accessed_us
     from (select *, event_id in (select event_id from whole) as hit from timeline)""",
     "event", "event_text", "event_role", "timeline", "clock", weight=_WEIGHT, **_JOB, **_JOB_BLOCK, jedge=_JOB_EDGE, whole=_JOB_WHOLE))
 def recall_job_timeline(t):
-    return recall_of_users(t).timeline.select("role_id", "event_id", r6("forgetting_factor", "forgetting_factor"), us("last_accessed_time", "accessed_us"))
+    return recall_of_users(t).timeline.select("role_id", "event_id", r6(F.col("forgetting_factor") + 1e-9, "forgetting_factor"), us("last_accessed_time", "accessed_us"))

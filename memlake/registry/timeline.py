@@ -146,15 +146,16 @@ def capacity_silence(t):
 
 
 @query("habituation", with_ctes("""
-    select role_id, event_id, round(arousal*pow(0.99::double, n), 6) as arousal, round(valence*pow(0.99::double, n), 6) as valence,
-      round(100*pow(least(greatest(arousal,0),1),2)*(1+0.3*greatest(0,-valence)),6) as base_factor
-    from event_role join (select event_id, count(*) as n from (select event_id from hits union all select event_id from hits where route<2) group by event_id) using (event_id)""",
+    select role_id, event_id, round(arousal*pow(0.99::double, times) + 1e-9, 6) as arousal, round(valence*pow(0.99::double, times) + 1e-9, 6) as valence,
+      round(100*pow(least(greatest(arousal,0),1),2)*(1+0.3*greatest(0,-valence)) + 1e-9,6) as base_factor
+    from event_role join (select event_id, count(*) as times from (select event_id from hits union all select event_id from hits where route<2) group by event_id) using (event_id)""",
     "event_role", "hits"))
 def habituation(t):
-    recalled = t.hits.select("event_id").unionAll(t.hits.filter("route < 2").select("event_id")).groupBy("event_id").agg(F.count("*").alias("n"))
+    recalled = t.hits.select("event_id").unionAll(t.hits.filter("route < 2").select("event_id")).groupBy("event_id").agg(F.count("*").alias("times"))
     base = affect.base_forgetting(affect.unit(F.col("arousal")), valence=F.col("valence"), alpha=0.3)
     return t.event_role.join(recalled, "event_id").select(
-        "role_id", "event_id", r6(affect.habituated(F.col("arousal"), F.col("n")), "arousal"), r6(affect.habituated(F.col("valence"), F.col("n")), "valence"), r6(base, "base_factor"))
+        "role_id", "event_id", r6(affect.habituated(F.col("arousal"), F.col("times")) + 1e-9, "arousal"),
+        r6(affect.habituated(F.col("valence"), F.col("times")) + 1e-9, "valence"), r6(base + 1e-9, "base_factor"))
 
 
 @query("ptsd_flag", with_ctes("select event_id, max(arousal)>0.8 as ptsd_immune from event_role group by event_id", "event_role"))
