@@ -134,6 +134,7 @@ class MemoryConfig:
     weights_emotion: tuple[float, float, float] = (0.2, 0.6, 0.2)
     weights_entity: tuple[float, float, float] = (0.1, 0.0, 0.9)
     intent_temperature: float = 1.0
+    intent_prototype_weight: float = 2.0
     intent_fact_baseline: float = 1.0
     vector_dim: int = 512
     pool_base: int = 100000

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from memlake.config import DEFAULT, IMPORTANCE_BOOST, IMPORTANCE_RANK, MemoryConfig
+from memlake.functions import vectors
 
 DAY_US = 86400.0 * 1e6
 HOUR_US = 3600.0 * 1e6
@@ -125,8 +129,25 @@ def hybrid_parts(cos: Column, create_time: Column, as_of: Column, boost: Column,
     return {"time_decay": decay, "role_boost": boost, "total": total}
 
 
-def intent_blend(ent: Column, emo: Column, fact: Column, cfg: MemoryConfig = DEFAULT) -> dict[str, Column]:
-    """Softmax over three signals, then a convex mix of the weight triples."""
+def prototype_signal(vec: Column, prototypes: Sequence[Sequence[float]]) -> Column:
+    """The best cosine of a vector to a few given ones, a small matrix that is part of the plan; 0 where none points the same way."""
+    unit = [[x / (math.hypot(*p) or 1.0) for x in p] for p in prototypes]
+    if not unit:
+        return F.lit(0.0)
+    best = F.array_max(F.transform(F.lit(unit), lambda p: vectors.dot(p, vec)))
+    size = vectors.norm(vec)
+    return F.when(vec.isNotNull() & (F.size(vec) == len(unit[0])) & (size > 0), F.greatest(best / size, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def intent_blend(ent: Column, emo: Column, fact: Column, cfg: MemoryConfig = DEFAULT,
+                 likeness: tuple[Column, Column, Column] | None = None) -> dict[str, Column]:
+    """Softmax over three signals, then a convex mix of the weight triples.
+
+    With `likeness` (a `prototype_signal` for each of the three intents) each signal
+    gets `intent_prototype_weight` times its own. It should be a column by then, as it is used many times.
+    """
+    if likeness is not None:
+        ent, emo, fact = (s + cfg.intent_prototype_weight * p for s, p in zip((ent, emo, fact), likeness))
     t = cfg.intent_temperature if cfg.intent_temperature > 0 else 1.0
     scores = [ent / t, emo / t, (fact + cfg.intent_fact_baseline) / t]
     top = F.greatest(*scores)

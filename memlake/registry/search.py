@@ -1,5 +1,7 @@
 """Vectors, search, sampling, scoring."""
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from memlake.config import DEFAULT as CFG, ENTITY_TERMS, EMOTION_TERMS, FACT_TERMS, ENTITY_PATTERN, EMOTION_PATTERN
@@ -499,3 +501,25 @@ def intent_blend(t):
     mix = scoring.intent_blend(F.col("ent"), F.col("emo"), F.col("fact"))
     return sig.select("doc_id", "ent", "emo", "fact", *[c.alias(n) for n, c in mix.items()]).select(
         "doc_id", "label", r6("w_act", "w_act"), r6("w_emo", "w_emo"), r6("w_ent", "w_ent"))
+
+
+_PROTO = "greatest(list_cosine_similarity(v, list_transform(range(64), lambda j: sin((j+1)*{c}))), 0.0)"
+
+
+@query("intent_prototypes", with_ctes(f"""
+    select doc_id, label, round(0.1*a+0.2*b+0.7*c,6) as w_act, round(0.6*b+0.1*c,6) as w_emo, round(0.9*a+0.2*b+0.2*c,6) as w_ent from (
+      select doc_id, exp(ent-m)/z as a, exp(emo-m)/z as b, exp(fact-m)/z as c,
+        case when ent=m then 'blend:entity' when emo=m then 'blend:emotion' else 'blend:fact' end as label from (
+        select *, exp(ent-m)+exp(emo-m)+exp(fact-m) as z from (select *, greatest(ent,emo,fact) as m from (
+          select doc_id, ent+2*greatest({_PROTO.format(c=1)}, {_PROTO.format(c=4)}) as ent, emo+2*{_PROTO.format(c=2)} as emo, fact+1+2*{_PROTO.format(c=3)} as fact
+          from sig join (select embedding::double[] as v, row_number() over (order by vec_id)-1 as i from embeddings) on i = doc_id % (select count(*) from embeddings)))))""", sig=_SIGNALS))
+def intent_prototypes(t):
+    example = lambda c: [math.sin((j + 1) * c) for j in range(64)]
+    n = t.raw("embeddings").count()
+    given = t.raw("embeddings").select(F.col("embedding").cast("array<double>").alias("v"), (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("i"))
+    x = F.col("text")
+    docs = t.raw("documents").withColumn("i", F.col("doc_id") % n).join(given, "i")
+    sig = docs.select("doc_id", *[tx.term_hits(x, terms).alias(n) for n, terms in (("ent", ENTITY_TERMS), ("emo", EMOTION_TERMS), ("fact", FACT_TERMS))],
+                      *[scoring.prototype_signal(F.col("v"), p).alias(n) for n, p in (("like_ent", [example(1), example(4)]), ("like_emo", [example(2)]), ("like_fact", [example(3)]))])
+    mix = scoring.intent_blend(F.col("ent"), F.col("emo"), F.col("fact"), likeness=(F.col("like_ent"), F.col("like_emo"), F.col("like_fact")))
+    return sig.select("doc_id", *[c.alias(k) for k, c in mix.items()]).select("doc_id", "label", r6("w_act", "w_act"), r6("w_emo", "w_emo"), r6("w_ent", "w_ent"))
