@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.llm.base import by_row
-from memlake.llm.bpe import load_ranks
+from memlake.llm.bpe import Codec, load_ranks
 
 SECTIONS = "array<struct<name:string,start:int,end:int>>"
 RULES = ("largest", "first", "shared")
@@ -96,17 +96,29 @@ def allocate(first: np.ndarray, last: np.ndarray, owner: np.ndarray, n: int, rul
 
 
 class Encoder:
-    """Whole-text encoding; of very long texts, parts that end where no match of the pattern can go on are encoded in turn."""
+    """Whole-text encoding; of very long texts, parts that end where no match of the pattern can go on are encoded in turn.
+
+    A part that stays very long (one run of blanks or letters without such a place)
+    is cut into the pattern's matches first, which the library's own pattern engine has no stack for.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoding = tiktoken.Encoding("attribution", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.pattern, self.codec = ranks, pattern, None
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
 
     def token_sizes(self, text: str) -> np.ndarray:
         """Bytes of each token of the text."""
-        return np.concatenate([self.sizes[self.encoding.encode_ordinary(p)] for p in parts(text)] or [np.zeros(0, np.int64)])
+        return np.concatenate([self.sizes[self._ids(p)] for p in parts(text)] or [np.zeros(0, np.int64)])
+
+    def _ids(self, part: str):
+        if len(part) <= 2 * PART_CHARS:
+            return self.encoding.encode_ordinary(part)
+        if self.codec is None:
+            self.codec = Codec(self.ranks, self.pattern)
+        return np.frombuffer(self.codec.encode([part])[0], "<u4")
 
 
 def parts(text: str, size: int = PART_CHARS):
@@ -127,11 +139,11 @@ def parts(text: str, size: int = PART_CHARS):
         yield text[at:]
 
 
-def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "largest") -> DataFrame:
+def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "largest", sections: str | None = "sections") -> DataFrame:
     """(doc_id, n_tokens, crossing, sections with tokens, outside) of every row.
 
-    `docs` has doc_id, text and optionally `sections` (name, start and end in
-    characters); without that column, the lines of a text are its sections, named
+    `docs` has doc_id, text and optionally the column that `sections` names (name, start
+    and end in characters); without it, or if it is None, the lines of a text are its sections, named
     by number from 1. Places beyond the text hold nothing, null places are empty, overlapping
     characters belong to the section listed first. Counts always add up to
     n_tokens. Null texts are empty and have no tokens; repeated rows are counted again. Only
@@ -140,7 +152,7 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "largest") -
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    own = "sections" in docs.columns
+    own = sections is not None and sections in docs.columns
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crossing", pa.int64()), ("sections", pa.list_(pa.struct([
         ("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.float64())]))), ("outside", pa.float64())])
 
@@ -156,5 +168,5 @@ def attribute(docs: DataFrame, path: str, pattern: str, rule: str = "largest") -
             count, outside, crossing = allocate(first, last, owners(len(text), [s[1:] for s in named]), len(named), rule)
             yield (doc_id, len(sizes), crossing, [{"name": n, "start": a, "end": b, "tokens": c} for (n, a, b), c in zip(named, count.tolist())], outside)
     text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, *([F.col("sections").cast(SECTIONS).alias("sections")] if own else []))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, *([F.col(sections).cast(SECTIONS).alias("sections")] if own else []))
     return rows.mapInArrow(by_row(each, schema), _RESULT)

@@ -67,7 +67,7 @@ def chat_format(spark, path):
 
 @query("op2_token_attribution")
 def token_attribution(spark, path):
-    counted = attribution.attribute(table(spark, path, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    counted = attribution.attribute(table(spark, path, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, sections=None)
     return counted.select("doc_id", "n_tokens", "crossing", F.size("sections").cast("bigint").alias("n_sections"),
                           F.col("sections.tokens").alias("section_tokens"), "outside")
 

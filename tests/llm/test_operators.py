@@ -164,6 +164,13 @@ def test_attribution_of_fields_and_tables(spark, odd, none):
     assert attribution.attribute(none, VOCABULARY, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(ValueError):
         attribution.attribute(odd, VOCABULARY, public_tokenizers.PATTERN, "other")
+    assert attribution.attribute(odd.withColumn("sections", F.lit(1)), VOCABULARY, public_tokenizers.PATTERN, sections=None).count() == odd.count()
+
+
+@pytest.mark.parametrize("sign", [" ", "a", "字", "\n"])
+def test_one_long_run_is_encoded(sign, ranks):
+    sizes = attribution.Encoder(ranks, public_tokenizers.PATTERN).token_sizes(sign * 2_000_000)
+    assert sizes.sum() == len(sign.encode()) * 2_000_000 and (sizes > 0).all()
 
 
 def test_long_texts_are_encoded_in_parts_with_the_same_tokens(library):
