@@ -7,7 +7,7 @@ from memlake.functions import ids, text as tx, vectors
 from memlake.mappings import scalar, with_ctes
 from memlake.operators import timeline as tl
 from memlake.registry.core import query, r6, us
-from memlake.sources import buckets, corpus, lake, responses
+from memlake.sources import buckets, corpus, lake, responses, versions
 from memlake.streaming.jobs import scratch
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -180,6 +180,22 @@ def vector_upsert_buckets(t):
     return vector_row(layout.table())
 
 
+@query("vector_reindex_published", with_ctes("""
+    select event_id, round(list_sum(list_transform(range(48), lambda i: v[i+1]*(i+1))),6) as rising, round(list_sum(list_transform(range(48), lambda i: v[i+1]*v[i+1]*(48-i))),6) as falling,
+      round(list_max(v),6) as largest, round(list_min(v),6) as least from (select event_id,
+        list_transform(list_concat(embedding[1:40], list_transform(range(8), lambda x: 0.0::double)), lambda x: x/sqrt(list_sum(list_transform(embedding[1:40], lambda y: y*y)))) as v
+      from vector where vec_id%7<>0)""", "vector"))
+def vector_reindex_published(t):
+    """All vectors are written anew as a second version; what is read is what the pointer names. Every value counts in the sums."""
+    path = scratch(t.spark, "vectors")
+    versions.publish(t.vector.select("event_id", F.col("embedding").cast("array<double>").alias("v")), path)
+    kept = versions.read(t.spark, path).filter(F.substring_index("event_id", "-", -1).cast("bigint") % 7 != 0)
+    versions.publish(kept.select("event_id", vectors.unit_project(F.slice("v", 1, 40), 48).alias("v")), path)
+    at = lambda weigh: F.aggregate(F.transform("v", weigh), F.lit(0.0), lambda a, x: a + x)
+    return versions.read(t.spark, path).select("event_id", r6(at(lambda x, i: x * (i + 1)), "rising"), r6(at(lambda x, i: x * x * (48 - i)), "falling"),
+                                               r6(F.array_max("v"), "largest"), r6(F.array_min("v"), "least"))
+
+
 _RAW = r"""
   select conv_id, turn, regexp_replace(text, '[\s"\\{}]+', ' ', 'g') as s, (conv_id*7+turn)%8 as kind from conversations"""
 
