@@ -100,7 +100,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     """At most `bound` labelled documents in an order by hash: (doc_id, y, weight, text), none of them held out.
 
     Repeated labels of one document are averaged, ties count as 1; null labels
-    are left out. With `even`, each of the two labels has at most half of the
+    are left out. Of several texts of one doc_id the one with the least hash counts, so
+    there are never more rows than ids. With `even`, each of the two labels has at most half of the
     bound, and `weight` is how many labelled rows each sampled one stands for.
     The ids are bounded, so broadcasting them is safe at any size of the corpus.
     """
@@ -117,4 +118,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
                .unionByName(first(known.filter("y = 1"), half, max(1.0, sizes.get(1, 0) / half))))
     else:
         ids = first(known, bound, 1.0)
-    return text_rows(docs).join(F.broadcast(ids), "doc_id")
+    rows = text_rows(docs).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y", "weight").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

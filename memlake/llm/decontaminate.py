@@ -197,14 +197,14 @@ class Items:
 
 
 def _parts(benchmark: DataFrame, items: int):
-    """Lists of at most `items` items, by item_id and text; only one list is on the driver at a time."""
+    """Lists of about `items` items, by item_id and text, that keep the texts of one item together; only one list is on the driver at a time."""
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     part: list[tuple[int, str]] = []
     for r in rows.distinct().sort("item_id", "text").toLocalIterator():
-        part.append((r.item_id, r.text))
-        if len(part) == items:
+        if len(part) >= items and r.item_id != part[-1][0]:
             yield part
             part = []
+        part.append((r.item_id, r.text))
     if part:
         yield part
 

@@ -107,13 +107,20 @@ class Voters:
         return np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
 
     def vote(self, rows: np.ndarray) -> np.ndarray:
-        """The share of label 1 among the nearest labelled vectors, weighted by cosine; without neighbours their mean."""
+        """The share of label 1 among the nearest labelled vectors, weighted by cosine; without neighbours their mean.
+
+        Cosines count to six places; of equal ones the lower doc_id votes.
+        """
         base = float(self.labels.mean()) if len(self.labels) else 0.5
         if not len(self.labels) or not len(rows):
             return np.full(len(rows), base)
-        near = self.place(rows) @ self.vectors.T
+        near = np.round(self.place(rows) @ self.vectors.T, 6)
         k = min(NEIGHBOURS, near.shape[1])
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(near, at, axis=1).min(axis=1, keepdims=True)
+        for i in np.flatnonzero((near >= least).sum(axis=1) > k):
+            tied = np.flatnonzero(near[i] >= least[i])
+            at[i] = tied[np.lexsort((tied, -near[i, tied]))][:k]
         weight = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(np.float64) ** POWER
         total = weight.sum(axis=1)
         return np.divide((weight * self.labels[at]).sum(axis=1), total, out=np.full(len(rows), base), where=total > 0)

@@ -328,6 +328,22 @@ def test_quality_on_held_out_rows(spark, labels):
     assert (held.predicted == held.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_equal_cosines_vote_by_order():
+    """Of many labelled copies of one vector the first ones vote, in whatever block a row stands."""
+    rng = np.random.default_rng(2)
+    rows = np.repeat(rng.random((3, quality.WIDTH)).astype(np.float32), 40, axis=0)
+    labels = np.concatenate([np.ones(20), np.zeros(20)] * 3)
+    model = quality.fit(rows, labels, rank=3)
+    want = np.full(5, np.mean([1.0] * 20 + [0.0] * (quality.NEIGHBOURS - 20)))
+    assert np.allclose(model.vote(rows[:5]), want) and np.allclose(model.vote(rows[2:3]), want[:1])
+
+
+def test_items_of_one_id_stay_in_one_part(spark):
+    benchmark = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (2, " ".join(f"c{i}" for i in range(30)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, " ".join(f"{c}{i}" for c in "abc" for i in range(30)))], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contamination(docs, benchmark, items=1).collect()) == [(7, 1), (7, 2)]
+
+
 def test_votes_by_brute_force():
     rng = np.random.default_rng(4)
     rows = np.abs(rng.standard_normal((80, quality.WIDTH))).astype(np.float32) * (rng.random((80, quality.WIDTH)) < 0.02)
