@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from memlake.session import checkpointed
+from memlake.session import checkpointed, written
 
 SLOT = "_slot"
 ROWS_PER_SLOT = 200_000
@@ -54,6 +54,20 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     return running_total(df, keys, order, F.lit(1), out, rows_per_slot)
 
 
+def global_position(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """1-based position of every row in the order of the whole table, which ends with something unique.
+
+    Rows are sorted across partitions and stored with their number inside the
+    partition; each partition's offset comes from the partitions' row counts, one row each.
+    """
+    laid = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "laid")
+    laid = laid.withColumn("_part", F.shiftright("_place", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = laid.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return laid.join(F.broadcast(offsets), "_part").withColumn(out, number).select(*df.columns, out)
+
+
 def with_preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
                    rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Prepend to every slot the last n rows of its key before it, flagged `_carried`.

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from memlake.config import DEFAULT, EMOTIONS, MemoryConfig
 from memlake.functions import affect, scoring
 from memlake.functions.vectors import let
-from memlake.operators.ordered import ROWS_PER_SLOT, SLOT, first_per_key, row_position, running_total, with_preceding
+from memlake.operators.ordered import ROWS_PER_SLOT, SLOT, first_per_key, global_position, running_total, with_preceding
 from memlake.operators.scans import affine
 
 
@@ -153,7 +153,7 @@ def accumulated_energy(timeline: DataFrame, cfg: MemoryConfig = DEFAULT, rows_pe
         (F.col("energy") > cfg.energy_trigger) & (F.col("energy") - F.col("arousal") <= cfg.energy_trigger)).alias("triggers"))
 
 
-def capacity_silence(timeline: DataFrame, as_of: Column, load: Column, cfg: MemoryConfig = DEFAULT, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+def capacity_silence(timeline: DataFrame, as_of: Column, load: Column, cfg: MemoryConfig = DEFAULT) -> DataFrame:
     """Entries by rank of their effective weight over the whole store; those behind the surviving share are silent.
 
     The share falls from `surviving_share` without load to `surviving_share_loaded`
@@ -163,7 +163,7 @@ def capacity_silence(timeline: DataFrame, as_of: Column, load: Column, cfg: Memo
     share = F.lit(cfg.surviving_share) - F.lit(cfg.surviving_share - cfg.surviving_share_loaded) * strained
     eff = scoring.effective_forgetting(F.col("forgetting_factor"), F.col("last_accessed_time"), as_of, cfg)
     rows = timeline.select("role_id", "event_id", F.round(eff, 9).alias("effective"))
-    placed = row_position(rows, [], [F.col("effective").desc(), F.col("role_id"), F.col("event_id")], "place", rows_per_slot)
+    placed = global_position(rows, [F.col("effective").desc(), F.col("role_id"), F.col("event_id")], "place")
     return placed.withColumn("is_silent", F.col("place") > F.floor(F.lit(timeline.count()) * share))
 
 

@@ -53,12 +53,14 @@ def test_means_build_no_lists(spark):
         assert r.ema == pytest.approx(y)
 
 
-def test_energy_and_silence_in_slots(spark, sf):
+def test_energy_in_slots_and_silence_by_rank(spark, sf):
     from memlake.mappings import Tables
     t = Tables(spark, sf)
-    for fn in (lambda n: tl.accumulated_energy(t.timeline, rows_per_slot=n), lambda n: tl.capacity_silence(t.timeline, t.as_of, F.lit(2.0), rows_per_slot=n)):
-        one, many = ({(r.role_id, r.event_id): r for r in fn(n).collect()} for n in (10 ** 6, 300))
-        assert one.keys() == many.keys() and one
-        for k in one:
-            for x, y in zip(one[k], many[k]):
-                assert x == (pytest.approx(y) if isinstance(y, float) else y)
+    one, many = ({(r.role_id, r.event_id): r for r in tl.accumulated_energy(t.timeline, rows_per_slot=n).collect()} for n in (10 ** 6, 300))
+    assert one.keys() == many.keys() and one
+    for k in one:
+        for x, y in zip(one[k], many[k]):
+            assert x == (pytest.approx(y) if isinstance(y, float) else y)
+    placed = sorted(tl.capacity_silence(t.timeline, t.as_of, F.lit(2.0)).collect(), key=lambda r: (-r.effective, r.role_id, r.event_id))
+    assert [r.place for r in placed] == list(range(1, len(placed) + 1))
+    assert sum(not r.is_silent for r in placed) == int(len(placed) * (0.6 - 0.2 / 3))
