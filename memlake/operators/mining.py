@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import scoring
+from memlake.operators.ordered import global_position
 from memlake.session import checkpointed
 
 SETS_PER_PART = 2000
@@ -129,45 +130,78 @@ def closed_itemsets(log: DataFrame, as_of: Column, min_size: int, min_support: f
     Candidates are the pair intersections and their one-smaller subsets; those
     with enough support stay, unless a larger one is equally supported. The
     collapsed transactions and the frequent sets are each used several times,
-    so both are computed once and kept. `exact=True` takes the intersections of
-    any number of transactions, which gives every closed frequent set.
+    so both are computed once and kept. `exact=True` grows the sets item by
+    item instead, which gives every closed frequent set and pairs no transactions.
     """
     sets = distinct_sets(log, as_of, lam)
-    sets = checkpointed(with_frequent_items(sets, min_support, "w") if exact else sets)
-    met = intersection_closure(sets, min_size) if exact else pair_intersections(sets, min_size)
-    cand = candidates(met, min_size)
+    if exact:
+        return closed_only(checkpointed(grown_sets(sets, min_size, min_support, "w")))
+    sets = checkpointed(sets)
+    cand = candidates(pair_intersections(sets, min_size), min_size)
     found = checkpointed(subset_support(cand, sets).filter(F.col("support") + 1e-6 >= min_support))
     return closed_only(found)
 
 
-def intersection_closure(sets: DataFrame, min_size: int) -> DataFrame:
-    """All intersections of one or more transactions with at least `min_size` items.
+NODE = ["head", "core"]
 
-    Each round meets the newest intersections with the transactions until
-    nothing new appears. Rare sets stay in the frontier, since a frequent set
-    can be the meeting of rare ones. Rounds are checkpointed.
+
+def _later() -> Column:
+    """The items of a conditional transaction that may still extend its node."""
+    return F.filter("out", lambda x: x > F.col("core"))
+
+
+def _extended(rows: DataFrame) -> DataFrame:
+    """Conditional transactions of every one-item extension of a node: those that hold the item, without it."""
+    return rows.select("head", "out", "n", "w", F.explode(_later()).alias("core")).withColumn("out", F.array_remove("out", F.col("core")))
+
+
+def grown_sets(sets: DataFrame, min_size: int, least: float, support: str) -> DataFrame:
+    """Every set of at least `min_size` items that is the intersection of its transactions, with `txns` and `support`.
+
+    Only sets whose `support` column (`n` or `w`) sums to `least` are grown, so
+    nothing rare is kept. Items are numbered from the rarest on. A node is a closed set (`head`) and
+    the item that extends it (`core`), with the transactions that hold both as its conditional
+    database: other items only, without those that are rare there, equal rows summed. Items that
+    all of these rows hold belong to the closure. An extension whose closure gains an item numbered
+    before `core` is dropped, since that set grows from there: every closed set comes up once, and
+    rounds need not be compared with each other. Extensions too few of whose rows can
+    still reach `min_size` are dropped as well. A round is some grouped sums over (node, item);
+    rows of one node spread by their content, and each round is checkpointed.
     """
-    base = sets.select("sid", "items").filter(F.size("items") >= min_size)
-    seen = fresh = checkpointed(base.select(F.col("items").alias("subset")).distinct())
-    held = base.select("sid", "items", F.explode("items").alias("item"))
-    often = held.groupBy("item").agg(F.count("*").alias("base_df"))
-    b = held.join(often, "item").select("items", "item", _own_part(F.col("base_df")).alias("part"))
-    while not fresh.isEmpty():
-        small = fresh.withColumn("sid", F.md5(F.array_join("subset", "|"))).select("sid", F.col("subset").alias("items"))
-        a = _prefix_items(small, min_size).join(small, "sid").join(often, "item").select("item", F.col("items").alias("i1"), _all_parts(F.col("base_df")).alias("part"))
-        met = a.join(b, ["item", "part"]).select(F.array_sort(F.array_intersect("i1", "items")).alias("subset")).filter(
-            F.size("subset") >= min_size).distinct()
-        fresh = checkpointed(met.join(seen, "subset", "left_anti"))
-        seen = seen.unionByName(fresh)
-    return seen
+    enough = lambda c: F.col(c) + 1e-6 >= least
+    sets = with_frequent_items(sets, least, support).filter(F.size("items") >= min_size)
+    held = checkpointed(sets.select("sid", "n", "w", F.explode("items").alias("name")))
+    name = global_position(held.groupBy("name").agg(F.count("*").alias("df")), [F.col("df"), F.col("name")], "item").select("name", "item")
+    rows = held.join(name, "name").groupBy("sid", "n", "w").agg(F.array_sort(F.collect_list("item")).alias("out")).select(
+        F.array().cast("array<bigint>").alias("head"), F.lit(0).cast("bigint").alias("core"), "out", "n", "w")
+    reach = F.size("head") + 1 + F.size(_later()) >= min_size
+    closed = None
+    while True:
+        db = checkpointed(_extended(rows))
+        node = db.groupBy(*NODE).agg(F.sum("n").alias("txns"), F.sum("w").alias("weight"), F.sum(F.when(reach, F.col(support))).alias("hope"))
+        node = checkpointed(node.filter(enough("hope")).drop("hope"))
+        if closed is not None and node.isEmpty():
+            break
+        single = db.join(node.select(*NODE), NODE, "left_semi").withColumn("item", F.explode("out"))
+        count = checkpointed(single.groupBy(*NODE, "item").agg(F.sum("n").alias("n"), F.sum("w").alias("w")))
+        common = node.join(count.select(*NODE, "item", F.col("n").alias("_n")), NODE, "left").groupBy(*NODE, "txns", "weight").agg(
+            F.array_sort(F.collect_list(F.when(F.col("_n") == F.col("txns"), F.col("item")))).alias("also"))
+        grown = checkpointed(common.filter((F.size("also") == 0) | (F.array_min("also") > F.col("core"))).withColumn(
+            "whole", F.array_sort(F.concat("head", F.array("core"), "also"))).drop("also"))
+        fresh = grown.filter(F.size("whole") >= min_size).select("whole", "txns", F.col("weight").alias("support"))
+        closed = fresh if closed is None else closed.unionByName(fresh)
+        left = count.filter(enough(support)).join(grown.select(*NODE, "whole", "txns"), NODE).filter(F.col("n") < F.col("txns")).select(*NODE, "item", "whole")
+        rows = single.join(left, [*NODE, "item"]).groupBy("whole", "core", "out").agg(
+            F.max("n").alias("n"), F.max("w").alias("w"), F.array_sort(F.collect_list("item")).alias("kept")).groupBy(
+            F.col("whole").alias("head"), "core", F.col("kept").alias("out")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    named = closed.select("whole", "txns", "support", F.explode("whole").alias("item")).join(name, "item")
+    return named.groupBy("whole", "txns", "support").agg(F.array_sort(F.collect_list("name")).alias("subset")).select("subset", "txns", "support")
 
 
 def frequent_subsets(log: DataFrame, min_size: int, min_support: int) -> DataFrame:
     """All intersections of transactions with their plain, undecayed support."""
     zero = F.lit("1970-01-01").cast("timestamp")
-    sets = checkpointed(with_frequent_items(distinct_sets(log, zero, 0.0), min_support, "n"))
-    return subset_support(intersection_closure(sets, min_size), sets).filter(
-        F.col("txns") >= min_support).select("subset", F.col("txns").alias("support"))
+    return grown_sets(distinct_sets(log, zero, 0.0), min_size, min_support, "n").select("subset", F.col("txns").alias("support"))
 
 
 def fired_anti(subsets: DataFrame, fired: DataFrame) -> DataFrame:

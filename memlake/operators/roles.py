@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from memlake.functions import ids, text as tx
+from memlake.session import checkpointed
 
 BLOCK_NAMES = 100_000
+PART_ROWS = 20_000
 
 
 def name_index(role: DataFrame) -> DataFrame:
@@ -53,46 +55,60 @@ def role_pool_backfill(names: DataFrame, role: DataFrame, pool: DataFrame) -> Da
 
 
 def focus_roles(texts: DataFrame, role: DataFrame, core_role: str | None = None,
-                block_names: int = BLOCK_NAMES) -> DataFrame:
+                block_names: int = BLOCK_NAMES, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, role_id), each once, where a role name or alias occurs in a text of the query, ignoring case.
 
-    Names go to the tasks in blocks of about `block_names`, dealt by hash: one
-    automaton for each finds all of its names in a single pass over the texts. Null
+    Distinct names go to the tasks in blocks of about `block_names`, dealt by hash:
+    one automaton for each finds all of its names in a single pass over the texts.
+    The roles of the found names join afterwards. A name of very many roles, or in very many
+    queries, is cut into parts of `part_rows` on either side, which meet part by part. Null
     texts hold no name; null and empty names occur nowhere.
     """
     names = role.select("role_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select(
         "role_id", F.lower("name").alias("name")).filter(F.length("name") > 0).distinct()
+    owned = checkpointed(names.groupBy("name").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("role_parts")))
     texts = texts.select("query_id", F.lower("text").alias("text"))
     held = texts.filter(F.length("text") > 0)
-    passes = max(1, -(-names.count() // block_names))
-    found = None
+    passes = max(1, -(-owned.count() // block_names))
+    hits = None
     for i in range(passes):
-        part = names if passes == 1 else names.filter(F.pmod(F.xxhash64("name"), F.lit(passes)) == i)
-        hits = _by_automaton(held, part.toPandas())
-        found = hits if found is None else found.unionByName(hits)
+        part = owned if passes == 1 else owned.filter(F.pmod(F.xxhash64("name"), F.lit(passes)) == i)
+        some = _by_automaton(held, [r.name for r in part.select("name").toLocalIterator()])
+        hits = some if hits is None else hits.unionByName(some)
+    found = _owners(checkpointed(hits.distinct()), names, owned, part_rows)
     if core_role:
         found = found.unionByName(texts.select("query_id", F.lit(core_role).alias("role_id")))
     return found.distinct()
 
 
-def _by_automaton(texts: DataFrame, names: pd.DataFrame) -> DataFrame:
-    roles_of: dict[str, list[str]] = names.groupby("name").role_id.apply(list).to_dict()
-    shared = texts.sparkSession.sparkContext.broadcast(roles_of)
+def _owners(hits: DataFrame, names: DataFrame, owned: DataFrame, part_rows: int) -> DataFrame:
+    """The roles of found names; both sides of a hot name are cut, and each part meets every part of the other side."""
+    asked = hits.groupBy("name").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("query_parts"))
+    size = checkpointed(asked.join(owned, "name"))
+    own = lambda c, parts: F.pmod(F.xxhash64(c), F.col(parts).cast("long")).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = hits.join(size, "name").withColumn("a", own("query_id", "query_parts")).select("query_id", "name", "a", every("role_parts").alias("b"))
+    right = names.join(size, "name").withColumn("b", own("role_id", "role_parts")).select("role_id", "name", "b", every("query_parts").alias("a"))
+    return left.join(right, ["name", "a", "b"]).select("query_id", "role_id")
+
+
+def _by_automaton(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(query_id, name) for every name that a text holds, once a text."""
+    shared = texts.sparkSession.sparkContext.broadcast(names)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
         words = ahocorasick.Automaton()
-        for name, owners in shared.value.items():
-            words.add_word(name, owners)
+        for name in shared.value:
+            words.add_word(name, name)
         words.make_automaton()
         for batch in batches:
             rows = []
             for q, text in zip(batch.query_id, batch.text):
-                seen = {r for _, owners in words.iter(text) for r in owners} if len(words) else set()
-                rows.extend((q, r) for r in seen)
-            yield pd.DataFrame(rows, columns=["query_id", "role_id"], dtype=object)
+                rows.extend((q, name) for name in ({n for _, n in words.iter(text)} if len(words) else ()))
+            yield pd.DataFrame(rows, columns=["query_id", "name"], dtype=object)
 
-    return texts.mapInPandas(scan, "query_id string, role_id string")
+    return texts.mapInPandas(scan, "query_id string, name string")
 
 
 def entity_hint(focus: DataFrame, role: DataFrame) -> DataFrame:

@@ -199,6 +199,52 @@ def test_exact_mode_gives_every_closed_set(spark):
     assert {tuple(r.subset): round(r.support) for r in out.collect()} == want
 
 
+def plain_closed(sets, min_size, least):
+    """Closed sets by closing every one-item extension, depth first."""
+    sets = [frozenset(s) for s in sets]
+    todo, seen = [frozenset([i]) for i in set().union(*sets)], {}
+    while todo:
+        inside = [s for s in sets if todo[-1] <= s]
+        todo.pop()
+        if len(inside) >= least:
+            whole = frozenset.intersection(*inside)
+            if whole not in seen:
+                seen[whole] = len(inside)
+                todo += [whole | {i} for i in set().union(*inside) - whole]
+    return {tuple(sorted(c)): n for c, n in seen.items() if len(c) >= min_size}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_grown_sets_equal_plain_closed_sets(spark, seed):
+    import random
+    rng = random.Random(seed)
+    items = [f"i{k}" for k in range(9)]
+    sets = [sorted(set(rng.choices(items, weights=range(9, 0, -1), k=rng.randint(1, 9)))) for _ in range(40)]
+    if seed == 3:
+        sets = [sorted({*s, "i0", "i5"}) for s in sets]
+    for min_size, least in ((1, 2), (2, 3), (3, 6)):
+        got = {tuple(r.subset): r.support for r in mining.frequent_subsets(log_of(spark, sets), min_size, least).collect()}
+        assert got == plain_closed(sets, min_size, least)
+
+
+def test_a_long_planted_set_is_grown_without_meeting_pairs(spark):
+    import random
+    rng = random.Random(5)
+    planted = [f"p{k:02d}" for k in range(25)]
+    sets = [sorted([*planted, f"u{i}"]) for i in range(20)] + [sorted(rng.sample(planted, 12)) for _ in range(40)]
+    sets += [sorted(rng.sample([f"n{k}" for k in range(30)], 8)) for _ in range(60)]
+    want = plain_closed(sets, 6, 24)
+    got = {tuple(r.subset): r.support for r in mining.frequent_subsets(log_of(spark, sets), 6, 24).collect()}
+    assert got == want and want
+    assert {tuple(r.subset): r.support for r in mining.frequent_subsets(log_of(spark, sets), 6, 20).collect()}[tuple(planted)] == 20
+
+
+def test_no_transactions_and_no_frequent_set(spark):
+    assert mining.frequent_subsets(log_of(spark, []), 2, 1).isEmpty()
+    assert mining.frequent_subsets(log_of(spark, [E6]), 2, 2).isEmpty()
+    assert mining.frequent_subsets(log_of(spark, [E6] * 2), 7, 2).isEmpty()
+
+
 def test_frequent_counts_agree_with_fpgrowth(spark):
     from pyspark.ml.fpm import FPGrowth
     log = log_of(spark, [E6] * 4 + [E6[:4]] * 2 + [E6[2:]] * 3)
@@ -445,6 +491,16 @@ def test_a_far_hit_with_a_large_weight_is_not_cut(spark):
     assert ranks["e450"] == 451 and len(ranks) == 60
 
 
+def test_a_name_of_very_many_roles(spark):
+    many = spark.range(100_000).select(F.format_string("R%06d", "id").alias("role_id"), F.lit("Anna").alias("name"), F.array(F.lit("An")).alias("aliases"))
+    texts = spark.createDataFrame([(f"q{i}", "ANNA came" if i < 3 else "nobody") for i in range(6)], "query_id string, text string")
+    out = roles.focus_roles(texts, many, part_rows=3_000)
+    assert out.count() == 300_000 and out.select("query_id").distinct().count() == 3
+    few = many.limit(5)
+    asked = spark.range(500).select(F.col("id").cast("string").alias("query_id"), F.lit("see anna").alias("text"))
+    assert roles.focus_roles(asked, few, part_rows=2).count() == 2_500
+
+
 def test_a_large_pool_equals_the_plain_top(spark, monkeypatch):
     from memlake.operators import sampling
     rows_ = [(f"e{i:03d}", (i * 37 % 50) / 50 + 0.001) for i in range(300)]
