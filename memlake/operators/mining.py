@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
@@ -143,6 +144,8 @@ def closed_itemsets(log: DataFrame, as_of: Column, min_size: int, min_support: f
 
 
 NODE = ["head", "core"]
+FEW_ROWS = 10_000
+FEW_ITEMS = 14
 
 
 def _later() -> Column:
@@ -166,7 +169,9 @@ def grown_sets(sets: DataFrame, min_size: int, least: float, support: str) -> Da
     before `core` is dropped, since that set grows from there: every closed set comes up once, and
     rounds need not be compared with each other. Extensions too few of whose rows can
     still reach `min_size` are dropped as well. A round is some grouped sums over (node, item);
-    rows of one node spread by their content, and each round is checkpointed.
+    rows of one node spread by their content, and each round is checkpointed. A closed set with at most
+    FEW_ROWS distinct rows and FEW_ITEMS items to add has at most 2^FEW_ITEMS closed sets below it: one
+    task finishes it by the same steps.
     """
     enough = lambda c: F.col(c) + 1e-6 >= least
     sets = with_frequent_items(sets, least, support).filter(F.size("items") >= min_size)
@@ -177,19 +182,25 @@ def grown_sets(sets: DataFrame, min_size: int, least: float, support: str) -> Da
     reach = F.size("head") + 1 + F.size(_later()) >= min_size
     closed = None
     while True:
-        db = checkpointed(_extended(rows))
+        rows = checkpointed(rows.filter(F.size(_later()) > 0))
+        size = rows.groupBy(*NODE).agg(F.count("*").alias("rows")).join(
+            rows.select(*NODE, F.explode(_later()).alias("item")).distinct().groupBy(*NODE).agg(F.count("*").alias("items")), NODE)
+        few = checkpointed(size.filter((F.col("rows") <= FEW_ROWS) & (F.col("items") <= FEW_ITEMS)).select(*NODE))
+        done = checkpointed(rows.join(few, NODE, "left_semi").groupBy(*NODE).applyInPandas(
+            _finisher(min_size, least, support), "whole array<bigint>, txns bigint, support double"))
+        closed = done if closed is None else closed.unionByName(done)
+        db = checkpointed(_extended(rows.join(few, NODE, "left_anti")))
+        if db.isEmpty():
+            break
         node = db.groupBy(*NODE).agg(F.sum("n").alias("txns"), F.sum("w").alias("weight"), F.sum(F.when(reach, F.col(support))).alias("hope"))
         node = checkpointed(node.filter(enough("hope")).drop("hope"))
-        if closed is not None and node.isEmpty():
-            break
         single = db.join(node.select(*NODE), NODE, "left_semi").withColumn("item", F.explode("out"))
         count = checkpointed(single.groupBy(*NODE, "item").agg(F.sum("n").alias("n"), F.sum("w").alias("w")))
         common = node.join(count.select(*NODE, "item", F.col("n").alias("_n")), NODE, "left").groupBy(*NODE, "txns", "weight").agg(
             F.array_sort(F.collect_list(F.when(F.col("_n") == F.col("txns"), F.col("item")))).alias("also"))
         grown = checkpointed(common.filter((F.size("also") == 0) | (F.array_min("also") > F.col("core"))).withColumn(
             "whole", F.array_sort(F.concat("head", F.array("core"), "also"))).drop("also"))
-        fresh = grown.filter(F.size("whole") >= min_size).select("whole", "txns", F.col("weight").alias("support"))
-        closed = fresh if closed is None else closed.unionByName(fresh)
+        closed = closed.unionByName(grown.filter(F.size("whole") >= min_size).select("whole", "txns", F.col("weight").alias("support")))
         left = count.filter(enough(support)).join(grown.select(*NODE, "whole", "txns"), NODE).filter(F.col("n") < F.col("txns")).select(*NODE, "item", "whole")
         rows = single.join(left, [*NODE, "item"]).groupBy("whole", "core", "out").agg(
             F.max("n").alias("n"), F.max("w").alias("w"), F.array_sort(F.collect_list("item")).alias("kept")).groupBy(
@@ -198,6 +209,38 @@ def grown_sets(sets: DataFrame, min_size: int, least: float, support: str) -> Da
     return named.groupBy("whole", "txns", "support").agg(F.array_sort(F.collect_list("name")).alias("subset")).select("subset", "txns", "support")
 
 
+def _finisher(min_size: int, least: float, support: str):
+    """All closed sets below one small closed set, depth first, by the steps of a round."""
+    def run(node: pd.DataFrame) -> pd.DataFrame:
+        rows = [(frozenset(o), n, w) for o, n, w in zip(node.out, node.n, node.w)]
+        todo, found = [(frozenset(node["head"].iloc[0]), int(node.core.iloc[0]), rows)], []
+        while todo:
+            head, last, rows = todo.pop()
+            for core in {i for out, _, _ in rows for i in out if i > last}:
+                own = [(out - {core}, n, w) for out, n, w in rows if core in out]
+                txns, weight = sum(n for _, n, _ in own), sum(w for _, _, w in own)
+                held = {i: [0, 0.0] for out, _, _ in own for i in out}
+                for out, n, w in own:
+                    for i in out:
+                        held[i][0] += n
+                        held[i][1] += w
+                also = {i for i, (n, _) in held.items() if n == txns}
+                if (txns if support == "n" else weight) + 1e-6 < least or min(also, default=core) < core:
+                    continue
+                whole = head | {core} | also
+                if len(whole) >= min_size:
+                    found.append((sorted(whole), txns, weight))
+                kept = {i for i, sums in held.items() if sums[support == "w"] + 1e-6 >= least} - also
+                less: dict[frozenset, list] = {}
+                for out, n, w in own:
+                    sums = less.setdefault(out & kept, [0, 0.0])
+                    sums[0] += n
+                    sums[1] += w
+                todo.append((whole, core, [(out, n, w) for out, (n, w) in less.items()]))
+        return pd.DataFrame(found, columns=["whole", "txns", "support"])
+    return run
+
+
 def frequent_subsets(log: DataFrame, min_size: int, min_support: int) -> DataFrame:
     """All intersections of transactions with their plain, undecayed support."""
     zero = F.lit("1970-01-01").cast("timestamp")

@@ -214,9 +214,10 @@ def plain_closed(sets, min_size, least):
     return {tuple(sorted(c)): n for c, n in seen.items() if len(c) >= min_size}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_grown_sets_equal_plain_closed_sets(spark, seed):
+@pytest.mark.parametrize("seed, few", [(1, 14), (2, 14), (3, 14), (3, 2)])
+def test_grown_sets_equal_plain_closed_sets(spark, seed, few, monkeypatch):
     import random
+    monkeypatch.setattr(mining, "FEW_ITEMS", few)
     rng = random.Random(seed)
     items = [f"i{k}" for k in range(9)]
     sets = [sorted(set(rng.choices(items, weights=range(9, 0, -1), k=rng.randint(1, 9)))) for _ in range(40)]
