@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from memlake.config import DEFAULT, MemoryConfig
 from memlake.functions import vectors
-from memlake.operators.ordered import running_total
+from memlake.operators.ordered import row_position, running_total
 from memlake.session import checkpointed
 
 
@@ -158,14 +158,35 @@ def prefix_chain(edges: DataFrame, visible: DataFrame, roots: DataFrame, cfg: Me
         "root", "prefix_id", F.col("m.depth").alias("depth"), F.col("m.path").alias("path"))
 
 
+def _successors(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(event_id, succ, k): known successors and newly closed events, each once, in the order of `k`."""
+    fresh = edges.select(F.col("prefix_id").alias("event_id"), F.col("event_id").alias("succ"), F.lit(1).alias("age"),
+                         F.lit(0).alias("block"), F.col("event_id").alias("at"))
+    block = F.col("block_no") if "block_no" in known.columns else F.lit(0)
+    old = known.select("event_id", block.alias("block"), F.posexplode("successors").alias("i", "succ")).select(
+        "event_id", "succ", F.lit(0).alias("age"), "block", F.lpad(F.col("i").cast("string"), 9, "0").alias("at"))
+    return old.unionByName(fresh).groupBy("event_id", "succ").agg(F.min(F.struct("age", "block", "at")).alias("k"))
+
+
 def split_successor_link(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """Successor lists of prefixes with the newly closed events appended, each once, order kept."""
-    fresh = edges.select(F.col("prefix_id").alias("event_id"), F.col("event_id").alias("succ"), F.lit(1).alias("age"), F.col("event_id").alias("at"))
-    old = known.select("event_id", F.posexplode("successors").alias("i", "succ")).select(
-        "event_id", "succ", F.lit(0).alias("age"), F.lpad(F.col("i").cast("string"), 9, "0").alias("at"))
-    once = old.unionByName(fresh).groupBy("event_id", "succ").agg(F.min(F.struct("age", "at")).alias("k"))
+    """Successor lists of prefixes with the newly closed events appended, each once, order kept.
+
+    One list a prefix, whatever its length; `successor_blocks` gives lists of bounded size.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("k", "succ")))
-    return once.groupBy("event_id").agg(F.transform(ordered, lambda s: s["succ"]).alias("successors"))
+    return _successors(edges, known).groupBy("event_id").agg(F.transform(ordered, lambda s: s["succ"]).alias("successors"))
+
+
+def successor_blocks(edges: DataFrame, known: DataFrame, block: int = 1000) -> DataFrame:
+    """`split_successor_link` in lists of at most `block` events: (event_id, block_no, successors).
+
+    `known` may be such a table itself. A prefix of very many successors is
+    numbered and gathered by many tasks.
+    """
+    placed = row_position(_successors(edges, known).filter("event_id is not null"), ["event_id"], [F.col("k"), F.col("succ")], "rn")
+    ordered = F.array_sort(F.collect_list(F.struct("rn", "succ")))
+    return placed.groupBy("event_id", F.floor((F.col("rn") - 1) / block).cast("int").alias("block_no")).agg(
+        F.transform(ordered, lambda s: s["succ"]).alias("successors"))
 
 
 def split_prefix_inherit(unclosed: DataFrame, closing: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from memlake.session import checkpointed, written
 SLOT = "_slot"
 ROWS_PER_SLOT = 200_000
 CELLS = 4096
+BLOCK_CHARS = 1_000_000
 
 
 def by_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
@@ -54,6 +55,22 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     return running_total(df, keys, order, F.lit(1), out, rows_per_slot)
 
 
+def text_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], text: str, block_chars: int = BLOCK_CHARS,
+                sep: str = " ", rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """The texts of each key joined in `order`, as rows of bounded size: keys, `block_no` from 0, `text`.
+
+    A text stands in the block where the characters before it, separators included, place it, so
+    a block is less than `block_chars` and one text; numbers rise and pass over blocks that one long text
+    fills. Blocks joined by `sep` give the whole. Null texts and null keys have no block; `order` is unique in a key.
+    """
+    keys = list(keys)
+    size = (F.length(text) + len(sep)).cast("long")
+    placed = running_total(df.filter(F.col(text).isNotNull()), keys, order, size, "_upto", rows_per_slot)
+    lines = F.array_sort(F.collect_list(F.struct("_upto", F.col(text).alias("t"))))
+    return placed.groupBy(*keys, F.floor((F.col("_upto") - size) / block_chars).cast("int").alias("block_no")).agg(
+        F.array_join(F.transform(lines, lambda s: s["t"]), sep).alias("text"))
+
+
 def global_position(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     """1-based position of every row in the order of the whole table, which ends with something unique.
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from memlake.functions import ids, text as tx
+from memlake.operators.ordered import BLOCK_CHARS, text_blocks
 from memlake.session import checkpointed
 
 BLOCK_NAMES = 100_000
@@ -127,19 +128,41 @@ def role_words(event_role: DataFrame, role: DataFrame) -> DataFrame:
     ).withColumn("words", F.concat_ws(" ", "role_id", "n"))
 
 
-def entity_text(event: DataFrame, event_role: DataFrame, role: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
-    """Entity-band text of events; abstract events use the roles of their leaves, others fall back to their id."""
+def _entity_words(event_role: DataFrame, role: DataFrame, leaves: DataFrame | None) -> DataFrame:
+    """Role words of each event in the order (`via`, `pos`); abstract events have those of their leaves."""
     words = role_words(event_role, role)
     own = words.select("event_id", F.lit("").alias("via"), "pos", "words")
-    if leaves is not None:
-        lent = leaves.join(words, "event_id").select(F.col("root").alias("event_id"), F.col("event_id").alias("via"), "pos", "words")
-        own = own.unionByName(lent)
+    if leaves is None:
+        return own
+    return own.unionByName(leaves.join(words, "event_id").select(
+        F.col("root").alias("event_id"), F.col("event_id").alias("via"), "pos", "words"))
+
+
+def entity_text(event: DataFrame, event_role: DataFrame, role: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """Entity-band text of events; abstract events use the roles of their leaves, others fall back to their id.
+
+    One value an event, whatever its leaves; `entity_blocks` gives rows of bounded size.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("via", "pos", "words")))
-    text = own.groupBy("event_id").agg(F.array_join(F.transform(ordered, lambda s: s["words"]), " ").alias("t"))
+    text = _entity_words(event_role, role, leaves).groupBy("event_id").agg(F.array_join(F.transform(ordered, lambda s: s["words"]), " ").alias("t"))
     return event.select("event_id").join(text, "event_id", "left").select(
         "event_id", F.coalesce(F.nullif("t", F.lit("")), F.col("event_id")).alias("entity_text"))
 
 
+def entity_blocks(event: DataFrame, event_role: DataFrame, role: DataFrame, leaves: DataFrame | None = None,
+                  block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """`entity_text` in rows of bounded size (`event_id`, `block_no`, `entity_text`), cut between roles.
+
+    Blocks joined by a blank in their order give the whole text. An event of
+    very many leaves is sorted and joined by many tasks.
+    """
+    words = _entity_words(event_role, role, leaves)
+    order = [F.col("via"), F.col("pos"), F.col("words")]
+    blocks = text_blocks(words, ["event_id"], order, "words", block_chars).filter("text <> ''")
+    return event.select("event_id").join(blocks, "event_id", "left").select(
+        "event_id", F.coalesce("block_no", F.lit(0)).alias("block_no"), F.coalesce("text", "event_id").alias("entity_text"))
+
+
 def query_valence(queries: DataFrame, focus: DataFrame, event_role: DataFrame) -> DataFrame:
     """Mean valence of the focus entries of a query, 0 without any."""
     per_role = event_role.groupBy("role_id").agg(F.sum("valence").alias("s"), F.count("valence").alias("n"))

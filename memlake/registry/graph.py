@@ -146,6 +146,24 @@ def entity_text(t):
     return roles.entity_text(events, t.event_role.filter("event_type <> 'signup'"), t.role, leaves)
 
 
+_WORDS = "select event_id, pos, r.role_id||coalesce(' '||array_to_string([name]||aliases,' '),'') as words from event_role r left join role using (role_id)"
+
+
+@query("entity_text_blocks", with_ctes("""
+    select e.event_id, coalesce(x.block_no, 0) as block_no, coalesce(x.t, e.event_id) as entity_text
+    from (select event_id from event union all select distinct 'ABS-'||(n//7) from event) e
+    left join (select event_id, block_no, string_agg(words, ' ' order by via, pos) as t from (
+        select *, ((sum(length(words)+1) over (partition by event_id order by via, pos))::bigint - length(words) - 1)//100 as block_no from (
+          select event_id, '' as via, pos, words from words where event_id in (select event_id from event where event_type<>'signup')
+          union all select 'ABS-'||(n//7), event_id, pos, words from words join (select event_id, n from event where event_type<>'signup') using (event_id)))
+      group by event_id, block_no) x using (event_id)""", "event_role", "role", words=_WORDS))
+def entity_text_blocks(t):
+    leaves = t.event.select(F.concat(F.lit("ABS-"), F.floor(F.col("n") / 7)).alias("root"), "event_id")
+    events = t.event.select("event_id").unionByName(leaves.select(F.col("root").alias("event_id")).distinct())
+    out = roles.entity_blocks(events, t.event_role.filter("event_type <> 'signup'"), t.role, leaves, block_chars=100)
+    return out.withColumn("block_no", F.col("block_no").cast("bigint"))
+
+
 # -- split chains ------------------------------------------------------------------
 _CHAIN_EDGE = "select 'DOC-'||doc_id as event_id, 'DOC-'||(doc_id-1) as prefix_id from documents where doc_id%4<>0"
 _CHAIN = """select e1.event_id as root, e1.prefix_id, 1 as depth from ce e1 join vis v1 on v1.event_id=e1.prefix_id
@@ -216,6 +234,22 @@ def split_successor_link(t):
     return graph.split_successor_link(chain_edges(t), known).select("event_id", F.array_join("successors", "|").alias("successors"))
 
 
+@query("split_successor_blocks", with_ctes("""
+    select event_id, (rn-1)//2 as block_no, string_agg(succ, '|' order by rn) as successors from (
+      select event_id, succ, row_number() over (partition by event_id order by age, pos, succ) as rn from (
+        select event_id, succ, min((age, pos))[1] as age, min((age, pos))[2] as pos from (
+          select 'DOC-'||doc_id as event_id, 'OLD-'||doc_id as succ, 0 as age, '0' as pos from documents where doc_id%6=0
+          union all select 'DOC-'||doc_id, 'DOC-'||(doc_id+1), 0, '1' from documents where doc_id%6=0
+          union all select 'DOC-'||doc_id, 'TOP-'||doc_id, 0, '2' from documents where doc_id%6=0
+          union all select prefix_id, event_id, 1, event_id from ce) group by event_id, succ)) group by event_id, block_no""", ce=_CHAIN_EDGE))
+def split_successor_blocks(t):
+    d = F.col("doc_id")
+    known = t.raw("documents").filter("doc_id % 6 = 0").select(F.concat(F.lit("DOC-"), d).alias("event_id"), F.array(
+        F.concat(F.lit("OLD-"), d), F.concat(F.lit("DOC-"), d + 1), F.concat(F.lit("TOP-"), d)).alias("successors"))
+    return graph.successor_blocks(chain_edges(t), known, block=2).select(
+        "event_id", F.col("block_no").cast("bigint").alias("block_no"), F.array_join("successors", "|").alias("successors"))
+
+
 @query("split_prefix_inherit", with_ctes("""
     select c.fragment_id, md5(concat_ws(chr(10), nullif(u.content,''), c.content)) as content_md5,
       case when u.doc_id%4=0 then 'EVT-'||u.doc_id else '' end as prefixes

@@ -502,6 +502,37 @@ def test_a_name_of_very_many_roles(spark):
     assert roles.focus_roles(asked, few, part_rows=2).count() == 2_500
 
 
+def test_text_of_very_many_leaves_in_blocks(spark):
+    leaves = spark.range(100_000).select(F.lit("A").alias("root"), F.format_string("E%06d", "id").alias("event_id"))
+    entry = leaves.select("event_id", F.lit(0).alias("pos"), F.lit("R").alias("role_id"))
+    role = spark.createDataFrame([("R", "Ann", None)], "role_id string, name string, aliases array<string>")
+    event = spark.createDataFrame([("A",), ("none",)], "event_id string")
+    out = {(r.event_id, r.block_no): r.entity_text for r in roles.entity_blocks(event, entry, role, leaves, block_chars=10_000).collect()}
+    parts = [out[k] for k in sorted(out) if k[0] == "A"]
+    assert max(map(len, parts)) <= 10_001 and len(parts) > 15 and out[("none", 0)] == "none"
+    whole = {r.event_id: r.entity_text for r in roles.entity_text(event, entry, role, leaves).collect()}
+    assert " ".join(parts) == whole["A"]
+
+
+def test_text_blocks_in_many_slots_and_with_long_texts(spark):
+    from memlake.operators.ordered import text_blocks
+    texts = [("k", i, "x" * (25 if i == 3 else i % 4)) for i in range(12)] + [("k", 12, None), (None, 1, "lost"), ("z", 0, "")]
+    df = spark.createDataFrame(texts, "key string, i int, t string")
+    for slot in (2, 100):
+        got = {(r["key"], r.block_no): r.text for r in text_blocks(df, ["key"], [F.col("i")], "t", 10, rows_per_slot=slot).collect()}
+        assert " ".join(got[k] for k in sorted(got) if k[0] == "k") == " ".join(t for k, _, t in texts[:12])
+        assert {k[0] for k in got} == {"k", "z"} and got[("z", 0)] == ""
+
+
+def test_successors_in_blocks_append_to_blocks(spark):
+    known = spark.createDataFrame([("P", ["b", "a"]), ("Q", ["x"])], "event_id string, successors array<string>")
+    edges = spark.createDataFrame([("c", "P"), ("a", "P"), ("d", "P")], "event_id string, prefix_id string")
+    first = graph.successor_blocks(edges, known, block=2)
+    assert rows(first) == [("P", 0, ["b", "a"]), ("P", 1, ["c", "d"]), ("Q", 0, ["x"])]
+    more = spark.createDataFrame([("e", "P"), ("c", "P")], "event_id string, prefix_id string")
+    assert rows(graph.successor_blocks(more, first, block=2)) == [("P", 0, ["b", "a"]), ("P", 1, ["c", "d"]), ("P", 2, ["e"]), ("Q", 0, ["x"])]
+
+
 def test_a_large_pool_equals_the_plain_top(spark, monkeypatch):
     from memlake.operators import sampling
     rows_ = [(f"e{i:03d}", (i * 37 % 50) / 50 + 0.001) for i in range(300)]
